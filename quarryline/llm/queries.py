@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from quarryline.llm.mixing import op10_mixing
 from quarryline.llm.token_files import op3_token_files
+from quarryline.llm.warc import op2_warc
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op3_token_files": op3_token_files,
     "op10_mixing": op10_mixing,
 }
