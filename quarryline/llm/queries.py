@@ -5,6 +5,7 @@ from __future__ import annotations
 from quarryline.llm.bloom_lm import op1_lm_score
 from quarryline.llm.mixing import op10_mixing
 from quarryline.llm.simhash import op9_simhash
+from quarryline.llm.token_counts import op8_token_counts
 from quarryline.llm.token_files import op3_token_files
 from quarryline.llm.warc import op2_warc
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_warc": op2_warc,
     "op3_token_files": op3_token_files,
+    "op8_token_counts": op8_token_counts,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
 }
