@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from quarryline.llm.bloom_lm import op1_lm_score
+from quarryline.llm import decontaminate
+from quarryline.llm.decontaminate import op7_decontaminate
 from quarryline.llm.mixing import op10_mixing
 from quarryline.llm.simhash import op9_simhash
 from quarryline.llm.token_counts import op8_token_counts
@@ -13,10 +15,13 @@ QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_warc": op2_warc,
     "op3_token_files": op3_token_files,
+    "op7_decontaminate": op7_decontaminate,
     "op8_token_counts": op8_token_counts,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_decontaminate": decontaminate.ORACLE,
+}
