@@ -40,7 +40,7 @@ from quarryline.llm.shared import new_folder, open_fs, written
 
 END_ID = 1
 #: Most chunks that a worker keeps; then it starts its cache anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 #: Texts are encoded in groups of about so many characters.
 GROUP_CHARS = 2_000_000
 
