@@ -5,6 +5,7 @@ from __future__ import annotations
 from quarryline.llm.bloom_lm import op1_lm_score
 from quarryline.llm import decontaminate
 from quarryline.llm.decontaminate import op7_decontaminate
+from quarryline.llm.line_crf import op6_line_crf
 from quarryline.llm.mixing import op10_mixing
 from quarryline.llm.simhash import op9_simhash
 from quarryline.llm.token_counts import op8_token_counts
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_warc": op2_warc,
     "op3_token_files": op3_token_files,
+    "op6_line_crf": op6_line_crf,
     "op7_decontaminate": op7_decontaminate,
     "op8_token_counts": op8_token_counts,
     "op9_simhash": op9_simhash,
