@@ -7,6 +7,7 @@ from quarryline.llm import decontaminate
 from quarryline.llm.decontaminate import op7_decontaminate
 from quarryline.llm.line_crf import op6_line_crf
 from quarryline.llm.mixing import op10_mixing
+from quarryline.llm.quality_rules import op4_quality_rules
 from quarryline.llm.simhash import op9_simhash
 from quarryline.llm.token_counts import op8_token_counts
 from quarryline.llm.token_files import op3_token_files
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_warc": op2_warc,
     "op3_token_files": op3_token_files,
+    "op4_quality_rules": op4_quality_rules,
     "op6_line_crf": op6_line_crf,
     "op7_decontaminate": op7_decontaminate,
     "op8_token_counts": op8_token_counts,
