@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from quarryline.llm.bloom_lm import op1_lm_score
-from quarryline.llm import decontaminate
+from quarryline.llm import chat_format, decontaminate
+from quarryline.llm.chat_format import op5_chat_format
 from quarryline.llm.decontaminate import op7_decontaminate
 from quarryline.llm.line_crf import op6_line_crf
 from quarryline.llm.mixing import op10_mixing
@@ -18,6 +19,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_token_files": op3_token_files,
     "op4_quality_rules": op4_quality_rules,
+    "op5_chat_format": op5_chat_format,
     "op6_line_crf": op6_line_crf,
     "op7_decontaminate": op7_decontaminate,
     "op8_token_counts": op8_token_counts,
@@ -27,5 +29,6 @@ QUERIES = {
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op5_chat_format": chat_format.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
 }
