@@ -244,20 +244,21 @@ def train(docs: DataFrame, labels: DataFrame, **options) -> dict:
 
 def score(docs: DataFrame, model: dict, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of ``docs`` and ``__score``, for each row."""
+    names = [*keep, *(() if "text" in keep else ("text",))]
+    at = names.index("text")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = [x or b"" for x in batch.column(0).cast(pa.binary()).to_pylist()]
+            texts = [x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()]
             out = []
             for a in range(0, len(texts), 256):
                 out += score_texts(texts[a : a + 256], model).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, type=pa.float64())], names=[*batch.schema.names[1:], "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, type=pa.float64())], names=[*keep, "__score"])
 
-    kept = docs.select(F.col("text").cast("string").alias("__text"), *keep)
-    schema = kept.select(*keep, F.lit(0.0).alias("__score")).schema
-    return kept.mapInArrow(run, schema)
+    kept = docs.select(*names)
+    return kept.mapInArrow(run, kept.select(*keep, F.lit(0.0).alias("__score")).schema)
 
 
 def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,17 +87,19 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprints(docs: DataFrame, *, id_col="doc_id", text_col="text", shingle=SHINGLE, seed=SEED) -> DataFrame:
-    """doc_id, fp: one narrow row for each document."""
+def fingerprints(docs: DataFrame, *, id_col="doc_id", text_col="text", shingle=SHINGLE, seed=SEED, extra: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``extra``, fp: one narrow row for each document."""
 
     def compute(batches):
         import pyarrow as pa
 
         for batch in batches:
             values = [_signed(fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle, seed)) for x in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, type=pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(values, type=pa.int64())], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(compute, "doc_id long, fp long")
+    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *extra)
+    names = ["doc_id", *extra, "fp"]
+    return kept.mapInArrow(compute, kept.select("doc_id", *extra, F.lit(0).cast("long").alias("fp")).schema)
 
 
 # ---------------------------------------------------------------- the index
@@ -287,15 +289,15 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("fp"), F.col("b").alias("root")).union(pairs.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", shingle=SHINGLE, max_bits=MAX_BITS, seed=SEED) -> DataFrame:
-    """doc_id, fp, component_id for every document."""
-    rows = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed), "simhash-rows")
+def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", shingle=SHINGLE, max_bits=MAX_BITS, seed=SEED, extra: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``extra``, fp, component (its smallest fingerprint), component_id for every document."""
+    rows = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed, extra=extra), "simhash-rows")
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     roots = components(links(classes.select("fp"), max_bits))
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = written(rooted.join(named, "root").select("fp", "component_id"), "simhash-components")
-    return rows.join(table, "fp").select("doc_id", "fp", "component_id")
+    table = written(rooted.join(named, "root").select("fp", F.col("root").alias("component"), "component_id"), "simhash-components")
+    return rows.join(table, "fp").select("doc_id", *extra, "fp", "component", "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
