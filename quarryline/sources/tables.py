@@ -31,7 +31,7 @@ def database(spark: SparkSession, url: str, name: str, *, key: str | None = None
 
 def code_files(spark: SparkSession, path: str, repo_id: str) -> DataFrame:
     """Whole text files as repo_id, filename, content, seq (by file name)."""
-    found = spark.read.option("wholetext", True).text(path).select(F.lit(repo_id).alias("repo_id"), F.col("_metadata.file_path").alias("filename"), F.col("value").alias("content"))
+    found = spark.read.text(path, wholetext=True).select(F.lit(repo_id).alias("repo_id"), F.col("_metadata.file_path").alias("filename"), F.col("value").alias("content"))
     return found.withColumn("seq", F.xxhash64("filename"))
 
 
