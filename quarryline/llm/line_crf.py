@@ -242,8 +242,8 @@ def train(docs: DataFrame, labels: DataFrame, **options) -> dict:
     return fit(training_sample(docs, labels, **options))
 
 
-def score(docs: DataFrame, model: dict, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and ``__score``, for each row."""
+def score(docs: DataFrame, model: dict, *, keep: tuple[str, ...] = ("doc_id",), score_col: str = "__score") -> DataFrame:
+    """The columns ``keep`` of ``docs`` and ``score_col``, which is none of them, for each row."""
     names = [*keep, *(() if "text" in keep else ("text",))]
     at = names.index("text")
 
@@ -255,10 +255,10 @@ def score(docs: DataFrame, model: dict, *, keep: tuple[str, ...] = ("doc_id",))
             out = []
             for a in range(0, len(texts), 256):
                 out += score_texts(texts[a : a + 256], model).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, type=pa.float64())], names=[*keep, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, type=pa.float64())], names=[*keep, score_col])
 
     kept = docs.select(*names)
-    return kept.mapInArrow(run, kept.select(*keep, F.lit(0.0).alias("__score")).schema)
+    return kept.mapInArrow(run, kept.select(*keep, F.lit(0.0).alias(score_col)).schema)
 
 
 def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,14 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have; Spark's names differ by more than case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else. ``lower`` does that where all is ASCII, and is much faster there."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
