@@ -30,15 +30,22 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
     This cuts the lineage with a copy that outlives any executor, and gives
-    the planner the table's true size.
+    the planner the table's true size. ``batch_rows`` bounds the Arrow batches
+    of this one job's Python operators; the session keeps its own setting.
     """
     spark = df.sparkSession
-    path = new_folder(spark, what)
-    df.write.parquet(path)
+    path, key = new_folder(spark, what), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        if batch_rows:
+            spark.conf.set(key, batch_rows)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -18,8 +18,10 @@ local (shared mounts too), and reads them otherwise.
 
 White space never takes part in a token of the production vocabulary, and no
 pre-token spans it, so a text's ids are those of its white-space-separated
-chunks one after the other. The chunks are kept in a bounded cache of each
-worker; a chunk that is not in it is given to the tokenizers library.
+chunks one after the other. Each worker keeps chunks in a bounded cache of two
+generations: a full one becomes the old one, and what is used again moves from
+the old one to the new, so frequent chunks stay. A chunk in neither is given
+to the tokenizers library.
 ``whole_texts=True`` encodes every text in one call, for vocabularies without
 that property.
 
@@ -39,10 +41,12 @@ from pyspark.sql import functions as F
 from quarryline.llm.shared import new_folder, open_fs, written
 
 END_ID = 1
-#: Most chunks that a worker keeps; then it starts its cache anew.
-CACHE_WORDS = 1_000_000
+#: Chunks in each of a worker's two cache generations, give or take one group's.
+CACHE_WORDS = 250_000
 #: Texts are encoded in groups of about so many characters.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 500_000
+#: Rows that go to a worker at once, which bounds its memory beside the cache.
+BATCH_ROWS = 1000
 
 #: ASCII marks that never join a letter or digit before them in one pre-token, nor begin a contraction.
 MARKS = b'.,;:!?*$%&#|()"'
@@ -64,6 +68,13 @@ class ChunkEncoder:
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole_texts, self.cache_words = whole_texts, cache_words
         self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _recall(self, chunks: set[bytes]) -> set[bytes]:
+        """Move the chunks of the old generation to the new one; the others are returned."""
+        known = chunks.intersection(self.old)
+        self.cache.update((x, self.old[x]) for x in known)
+        return chunks - known
 
     def _learn(self, chunks: set[bytes]) -> None:
         """Put the chunks into the cache. Trailing marks are pre-tokens of their own, so they are encoded apart."""
@@ -77,7 +88,7 @@ class ChunkEncoder:
             else:
                 parts[chunk] = (chunk,)
             need.update(x for x in parts[chunk] if x not in self.cache)
-        todo = list(need)
+        todo = list(self._recall(need))
         for i in range(0, len(todo), 2000):
             some = todo[i : i + 2000]
             found = self.tokenizer.encode([x.decode("utf-8", "replace") for x in some], is_pretokenized=True, add_special_tokens=False)
@@ -97,14 +108,14 @@ class ChunkEncoder:
         if self.whole_texts:
             return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.cache) > self.cache_words:
-            self.cache.clear()
+            self.old, self.cache = self.cache, {}
         split = []
         for text in texts:
             data = text.encode("utf-8", "replace")
             if self.lower and text.isascii() and not any(t in (low := data.lower()) for t in self.special):
                 data = low
             split.append(data.split())
-        missing = set().union(*split).difference(self.cache) if split else set()
+        missing = self._recall(set().union(*split).difference(self.cache))
         if missing:
             self._learn(missing)
         get = self.cache.__getitem__
@@ -122,11 +133,13 @@ def encoder(path: str, whole_texts: bool = False, cache_words: int = CACHE_WORDS
     return _encoders[key]
 
 
-def _groups(texts: list[str]):
-    """Slices of the list with about GROUP_CHARS characters each."""
+def _groups(texts):
+    """Slices of the Arrow column with about GROUP_CHARS bytes each."""
+    import pyarrow.compute as pc
+
     start = chars = 0
-    for i, text in enumerate(texts):
-        chars += len(text)
+    for i, length in enumerate(pc.binary_length(texts).to_pylist()):
+        chars += length or 0
         if chars >= GROUP_CHARS:
             yield start, i + 1
             start, chars = i + 1, 0
@@ -153,9 +166,8 @@ def _shard_writer(folder: str, path: str, end_id: int, whole_texts: bool):
                 out, end = fs.open_output_stream(f"{where}/{name}.bin"), np.array([end_id], dtype=enc.dtype).tobytes()
             ids.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
             nulls.append(batch.column(0).is_null().to_numpy(zero_copy_only=False).astype("u1"))
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in _groups(texts):
-                found = enc.encode(texts[a:b])
+            for a, b in _groups(batch.column(1)):
+                found = enc.encode([x or "" for x in batch.column(1).slice(a, b - a).to_pylist()])
                 lengths.append(np.array([len(x) for x in found], dtype=np.int64) // len(end) + 1)
                 out.write(end.join(found) + end)
         if out is None:
@@ -200,7 +212,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, id_c
     """Write the files to ``folder``; returns the manifest: one row for each shard, with its base."""
     spark = docs.sparkSession
     dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
-    shards = written(dealt.mapInArrow(_shard_writer(folder, tokenizer_path, end_id, whole_texts), MANIFEST), "token-shards")
+    shards = written(dealt.mapInArrow(_shard_writer(folder, tokenizer_path, end_id, whole_texts), MANIFEST), "token-shards", batch_rows=BATCH_ROWS)
     before = Window.partitionBy().orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
     based = shards.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     slots = max(1, spark.sparkContext.defaultParallelism)
