@@ -42,7 +42,7 @@ from quarryline.llm.shared import new_folder, open_fs, written
 
 END_ID = 1
 #: Chunks in each of a worker's two cache generations, give or take one group's.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 #: Texts are encoded in groups of about so many characters.
 GROUP_CHARS = 500_000
 #: Rows that go to a worker at once, which bounds its memory beside the cache.
