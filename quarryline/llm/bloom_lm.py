@@ -118,12 +118,19 @@ def segment(items, segments: int):
     return ((items >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
 
 
+def first_place(items, level):
+    """The first bit position of (item, level), and the step to each further one, both before the cut to a segment's bits."""
+    import numpy as np
+
+    g = mix(items ^ (np.asarray(level).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    return g & np.uint64(0xFFFFFFFF), (g >> np.uint64(32)) | np.uint64(1)
+
+
 def bit_places(items, level):
     """PROBES bit positions of (item, level) within its segment."""
     import numpy as np
 
-    g = mix(items ^ (np.asarray(level).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-    a, b = g & np.uint64(0xFFFFFFFF), (g >> np.uint64(32)) | np.uint64(1)
+    a, b = first_place(items, level)
     return [(a + np.uint64(i) * b) & np.uint64(SEGMENT_BYTES * 8 - 1) for i in range(PROBES)]
 
 
@@ -267,24 +274,33 @@ def train(texts: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
 
 
 def probe(shard: dict, segments: int, items):
-    """The level of each item by repeated membership probes; 0 for items of other shards."""
+    """The level of each item by repeated membership probes; 0 for items of other shards.
+
+    A probe of one bit rules out half of the absent items, so the next bit is
+    worked out for those alone that are still in.
+    """
     import numpy as np
 
+    levels = np.zeros(len(items), dtype=np.uint8)
     of = segment(items, segments).astype(np.int64)
     live = np.nonzero((of >= shard["first"]) & (of < shard["last"]))[0]
-    levels, level = np.zeros(len(items), dtype=np.uint8), 0
-    base = (of - shard["first"]) * SEGMENT_BYTES
+    bits, level = shard["bits"], 0
+    base, items = (of[live] - shard["first"]) * SEGMENT_BYTES, items[live]
     while len(live) and level < 250:
         level += 1
-        for places in range(PROBES):
-            if not len(live):
+        places, step = first_place(items, level)
+        kept = None
+        for number in range(PROBES):
+            at = (places & np.uint64(SEGMENT_BYTES * 8 - 1)).astype(np.int64)
+            byte = bits[(base if kept is None else base[kept]) + (at >> 3)]
+            hit = np.nonzero(byte & (1 << (at & 7)).astype(np.uint8))[0]
+            kept = hit if kept is None else kept[hit]
+            if not len(kept):
                 break
-            if places == 0:
-                all_places = bit_places(items[live], level)
-            at = all_places[places].astype(np.int64)
-            hit = (shard["bits"][base[live] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
-            live = live[hit]
-            all_places = [p[hit] for p in all_places]
+            if number + 1 < PROBES:
+                step = step[hit]
+                places = places[hit] + step
+        live, base, items = live[kept], base[kept], items[kept]
         levels[live] = level
     return levels
 
