@@ -45,8 +45,8 @@ MIN_PAIR = 2
 MU = 1.0
 #: Levels 1 to EXACT are counts; above, each level is RATIO times the one before.
 EXACT, RATIO = 5, 1.2
-#: Bits for each entry and probes for each entry: one false hit in about 300.
-BITS, PROBES = 12, 8
+#: Bits of filter for each entry and bits set by each entry, all in one 64-bit word. At most 7, of a hash's lower 44 bits.
+BITS, PROBES = 12, 6
 SEGMENT_BYTES = 1 << 20
 #: What is broadcast at once.
 SHARD_BYTES = 192 << 20
@@ -118,20 +118,21 @@ def segment(items, segments: int):
     return ((items >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
 
 
-def first_place(items, level):
-    """The first bit position of (item, level), and the step to each further one, both before the cut to a segment's bits."""
+def word_and_bits(items, level):
+    """Of (item, level): a 64-bit word of its segment, and PROBES bit positions in it."""
     import numpy as np
 
     g = mix(items ^ (np.asarray(level).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-    return g & np.uint64(0xFFFFFFFF), (g >> np.uint64(32)) | np.uint64(1)
+    word = (g >> np.uint64(44)) % np.uint64(SEGMENT_BYTES // 8)
+    return word, [(g >> np.uint64(6 * i)) & np.uint64(63) for i in range(PROBES)]
 
 
 def bit_places(items, level):
     """PROBES bit positions of (item, level) within its segment."""
     import numpy as np
 
-    a, b = first_place(items, level)
-    return [(a + np.uint64(i) * b) & np.uint64(SEGMENT_BYTES * 8 - 1) for i in range(PROBES)]
+    word, bits = word_and_bits(items, level)
+    return [word * np.uint64(64) + b for b in bits]
 
 
 def level_of(n):
@@ -276,31 +277,23 @@ def train(texts: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
 def probe(shard: dict, segments: int, items):
     """The level of each item by repeated membership probes; 0 for items of other shards.
 
-    A probe of one bit rules out half of the absent items, so the next bit is
-    worked out for those alone that are still in.
+    All bits of a probe lie in one 64-bit word, so a probe reads memory once.
     """
     import numpy as np
 
     levels = np.zeros(len(items), dtype=np.uint8)
     of = segment(items, segments).astype(np.int64)
     live = np.nonzero((of >= shard["first"]) & (of < shard["last"]))[0]
-    bits, level = shard["bits"], 0
-    base, items = (of[live] - shard["first"]) * SEGMENT_BYTES, items[live]
+    words, level = shard["bits"].view("<u8"), 0
+    base, items = (of[live] - shard["first"]) * (SEGMENT_BYTES // 8), items[live]
     while len(live) and level < 250:
         level += 1
-        places, step = first_place(items, level)
-        kept = None
-        for number in range(PROBES):
-            at = (places & np.uint64(SEGMENT_BYTES * 8 - 1)).astype(np.int64)
-            byte = bits[(base if kept is None else base[kept]) + (at >> 3)]
-            hit = np.nonzero(byte & (1 << (at & 7)).astype(np.uint8))[0]
-            kept = hit if kept is None else kept[hit]
-            if not len(kept):
-                break
-            if number + 1 < PROBES:
-                step = step[hit]
-                places = places[hit] + step
-        live, base, items = live[kept], base[kept], items[kept]
+        word, bits = word_and_bits(items, level)
+        mask = np.uint64(1) << bits[0]
+        for b in bits[1:]:
+            mask |= np.uint64(1) << b
+        hit = np.nonzero((words[base + word.astype(np.int64)] & mask) == mask)[0]
+        live, base, items = live[hit], base[hit], items[hit]
         levels[live] = level
     return levels
 
