@@ -363,6 +363,7 @@ def score(docs: DataFrame, model: Model, mu: float = MU) -> DataFrame:
         state = state.mapInArrow(scorer(shard, first, last), schema)
         if not last:
             state = written(state, "lm-pass")
+            shard.destroy()  # the pass is written, so nothing reads this shard again
     return state.withColumn("train_tokens", F.lit(n).cast("long"))
 
 
