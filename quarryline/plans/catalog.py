@@ -31,7 +31,7 @@ def _reports(spark: SparkSession, sf: str) -> DataFrame:
 
 def _findings(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.create_map(*[F.lit(x) for pair in FINDINGS.items() for x in pair])
-    found = table(spark, sf, "events").where(F.col("event_type").isin(*FINDINGS) & (F.col("event_id") % 7 < 2))
+    found = table(spark, sf, "events").where(F.col("event_type").isin(*FINDINGS))
     return found.select("event_id", F.col("user_id").alias("scan_id"), F.lower(F.try_element_at(kind, "event_type")).alias("vulnerability_type"))
 
 

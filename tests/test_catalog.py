@@ -51,3 +51,14 @@ def test_redaction_stays_in_generated_code(spark):
 def test_top_k_limits_before_the_shuffle(spark):
     assert plan(catalog.retrieve_topk(spark, SF)).count("WindowGroupLimit") >= 2
     assert plan(catalog.quota_admission(spark, SF)).count("WindowGroupLimit") >= 2
+
+
+def test_every_finding_event_is_mapped_and_scored(spark, duck):
+    """Against counts of the whole table, not ORACLE_SQL."""
+    penalty = "CASE event_type WHEN 'error' THEN 25 WHEN 'signup' THEN 30 WHEN 'purchase' THEN 20 ELSE 10 END"
+    found = f"SELECT event_id, user_id, {penalty} AS penalty FROM events WHERE event_type IN ('error', 'signup', 'purchase', 'click')"
+    got = catalog.compliance_violations(spark, SF).select("event_id", "scan_id", "score_penalty").collect()
+    assert sorted(map(tuple, got)) == sorted(duck.sql(found).fetchall())
+    of_user = f"SELECT c_custkey, greatest(0, 100 - coalesce(sum(penalty), 0)), count(penalty) FROM customer LEFT JOIN ({found}) ON user_id = c_custkey GROUP BY 1"
+    got = catalog.compliance_score(spark, SF).select("scan_id", "score", "processed").collect()
+    assert sorted(map(tuple, got)) == sorted(duck.sql(of_user).fetchall())
