@@ -1,0 +1,197 @@
+"""Near-copies by shingles: documents whose sets of word shingles have a Jaccard similarity of 0.8 or more are linked.
+
+The search is exact. All shingles have one order, and two sets of similarity
+0.8 share a shingle among the first n - ceil(0.8 n) + 1 of either (n its
+size), so only those are shuffled. The order puts shingles that many documents
+share last; any order gives the same result.
+
+A node is a shingle with the documents that have it among their first. Each
+document is held against one that it meets there, which joins a large group by
+as many pairs as it has members; then the documents of a node that are still in different
+components are held against each other. Each pair is decided by its whole
+sets, and components are what links connect. Equal sets never meet: everything
+works on distinct ones.
+
+Defined results: fewer words than a shingle make one shingle; texts without
+words are copies of each other and of nothing else; an empty table gives no
+rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quarryline.llm.shared import new_folder, open_fs, written
+from quarryline.llm.simhash import SEED, components
+
+SHINGLE = 5
+#: Shingles that a task counts at a time.
+COUNT_SHINGLES = 1_000_000
+#: The order knows the counts of so many shingles at most, of those with LEAST_COUNT or more.
+ORDERED, LEAST_COUNT = 4_000_000, 16
+
+
+def shingles(data: bytes, shingle: int = SHINGLE):
+    """The sorted distinct shingle hashes of a UTF-8 text; words as in ``simhash.fingerprint``."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    words = data.lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.int64)
+    joined, ends, at = b" ".join(words), [], -1
+    for word in words:
+        at += len(word) + 1
+        ends.append(at)
+    last = ends[shingle - 1 :] or ends[-1:]
+    starts = [0, *[e + 1 for e in ends[: len(last) - 1]]]
+    hashes = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, last)), dtype=np.uint64, count=len(last))
+    return np.unique(hashes.view(np.int64))
+
+
+def _texts(batch, column: int):
+    import pyarrow as pa
+
+    for x in batch.column(column).cast(pa.binary()):
+        yield x.as_buffer().to_pybytes() if x.is_valid else b""
+
+
+def _key(found) -> int:
+    """The 64-bit name of a set."""
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(found.tobytes(), SEED) - (1 << 63) if len(found) else 0
+
+
+def _common(docs: DataFrame) -> str:
+    """A folder with h, n: the shingles that the order puts last. A task reports what it sees twice or more at a time."""
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def counted(held):
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            h, n, total = h[n > 1], n[n > 1], sum(map(len, held))
+            return pa.RecordBatch.from_arrays([pa.array([None, *h], type=pa.int64()), pa.array([total, *n], type=pa.int64())], names=["h", "n"])
+
+        held, size = [], 0
+        for batch in batches:
+            for data in _texts(batch, 0):
+                held.append(shingles(data))
+                size += len(held[-1])
+                if size >= COUNT_SHINGLES:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
+
+    counts = written(docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(f"h IS NULL OR n >= {LEAST_COUNT}"), "copies-counts")
+    total = (counts.where("h IS NULL").first() or {"n": 0})["n"]
+    path = new_folder(docs.sparkSession, "copies-common")
+    counts.where(F.col("h").isNotNull() & (F.col("n") * ORDERED >= total)).write.parquet(path)
+    return path
+
+
+def _prefixes(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``names``, key, n, first: each document's set by its name, its size and its first shingles in their order."""
+    common = _common(docs)
+
+    def order():
+        import numpy as np
+        import pyarrow.parquet as pq
+
+        fs, path = open_fs(common)
+        files = [x.path for x in fs.get_file_info(_selector(path)) if x.path.endswith(".parquet")]
+        tables = [pq.read_table(x, filesystem=fs) for x in files]
+        h = np.concatenate([np.zeros(0, np.int64), *[t["h"].to_numpy() for t in tables]])
+        n = np.concatenate([np.zeros(0, np.int64), *[t["n"].to_numpy() for t in tables]])
+        by = np.argsort(h)
+        return h[by], n[by]
+
+    def compute(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        h, n = order()
+        for batch in batches:
+            keys, sizes, firsts = [], [], []
+            for data in _texts(batch, 0):
+                found = shingles(data)
+                size = len(found)
+                keys.append(_key(found))
+                sizes.append(size)
+                if size and len(h):
+                    at = np.minimum(np.searchsorted(h, found), len(h) - 1)
+                    found = found[np.lexsort((found, np.where(h[at] == found, n[at], 0)))]
+                firsts.append(found[: size - (4 * size + 4) // 5 + 1] if size else found)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(keys, type=pa.int64()), pa.array(sizes, type=pa.int64()), pa.array(firsts, type=pa.list_(pa.int64()))], names=[*names, "key", "n", "first"])
+
+    kept = docs.select("text", *names)
+    empty = F.array().cast("array<bigint>").alias("first")
+    schema = kept.select(*names, F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("n"), empty).schema
+    return kept.mapInArrow(compute, schema)
+
+
+def _selector(path: str):
+    from pyarrow.fs import FileSelector
+
+    return FileSelector(path)
+
+
+def _sets(docs: DataFrame, rows: DataFrame, names: tuple[str, ...], wanted: DataFrame) -> DataFrame:
+    """key, items for each of the keys ``wanted``: the whole set, from one of its documents."""
+
+    def compute(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [shingles(data) for data in _texts(batch, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in found], type=pa.int64()), pa.array(found, type=pa.list_(pa.int64()))], names=["key", "items"])
+
+    one = rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*names)).alias("one")).select("one.*")
+    texts = docs.join(one, list(names), "left_semi").dropDuplicates(list(names)).select("text")
+    return written(texts.mapInArrow(compute, "key long, items array<long>"), "copies-sets")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs a, b whose sets have a similarity of 0.8 or more."""
+    side = lambda c: sets.select(F.col("key").alias(c), F.col("items").alias(f"set_{c}"))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    alike = 9 * both >= 4 * (F.size("set_a") + F.size("set_b"))  # both / (a + b - both) >= 4 / 5
+    return written(pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b"), "copies-links")
+
+
+def near_copies(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``names``, component for every document of ``docs`` (text, names); rows of equal names have equal texts."""
+    rows = written(_prefixes(docs, names), "copies-rows")
+    first = rows.select("key", "n", "first").dropDuplicates(["key"])
+    members = first.select("key", "n", F.posexplode("first").alias("pos", "h"))
+    node = Window.partitionBy("h")
+    hub, last = F.min(F.struct("key", "n")).over(node), F.max("key").over(node)
+    nodes = written(members.select("h", "key", "n", "pos", hub.alias("hub"), last.alias("last")).where("hub.key != last").drop("last"), "copies-nodes")
+
+    near = "5 * least({a}, {b}) >= 4 * greatest({a}, {b})"  # of two sizes
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    sets = _sets(docs, rows, names, nodes.select("key").distinct())
+    # each document with the one it meets in most nodes; what this leaves apart is compared below
+    met = nodes.where("key != hub.key").where(near.format(a="n", b="hub.n")).groupBy("key", F.col("hub.key").alias("other")).count()
+    most = met.groupBy("key").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
+    stars = written(most.select(*pair("key", "other")).distinct(), "copies-pairs")
+    links = _linked(stars, sets)
+
+    roots = components(links).withColumnRenamed("fp", "key")
+    placed = written(nodes.drop("hub").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "copies-placed")
+    by_root = placed.groupBy("h", "root").count()
+    mixed = by_root.groupBy("h").agg(F.count("*").alias("k"), F.max_by("root", F.struct("count", "root")).alias("main")).where("k > 1").drop("k")
+    left = written(placed.join(mixed, "h"), "copies-left")
+    x, y = left.where("root != main").alias("x"), left.alias("y")
+    apart = F.expr("x.root != y.root AND (y.root = y.main OR x.key < y.key)")
+    # at the first shingle that two sets share, what follows it bounds what they share
+    enough = F.expr("9 * (least(x.n - x.pos, y.n - y.pos)) >= 4 * (x.n + y.n)")
+    rest = x.join(y, F.expr("x.h = y.h") & apart & enough & F.expr(near.format(a="x.n", b="y.n"))).select(*pair("x.key", "y.key")).distinct()
+    more = _linked(written(rest.join(stars, ["a", "b"], "left_anti"), "copies-pairs"), sets)
+
+    found = components(links.union(more)).withColumnRenamed("fp", "key")
+    return rows.join(found, "key", "left").select(*names, F.coalesce("root", "key").alias("component"))
