@@ -3,25 +3,37 @@
 Training counts words and word pairs. Each count is quantised on a logarithmic
 scale (``level``), and an n-gram goes into the filter once for every level up
 to its own, so its count is read back by probing level 1, 2, ... until a probe
-misses. Probabilities are smoothed from the counts read back:
+misses. Probabilities are smoothed from the counts c read back, that of a pair
+clamped to the counts of its two words:
 
     p(w)     = (c(w) + 1) / (N + V + 1)
-    p(w | h) = d(h w) / (c(h) + MU) + (1 - D(h) / (c(h) + MU)) p(w)
-
-d(h w) is the pair's count less 1 (absolute discounting), for pairs seen
-MIN_PAIR times or more (a parameter of the model, the same at every size).
-D(h), the sum of d over the pairs of a history, is in the filter too, so what
-the pairs leave goes to the word distribution. The add-one base score needs exact word counts; these
-ride along as sorted arrays beside the filter.
-
-Filter and arrays are cut into segments by the n-gram's hash, and segments
-into shards of ``SHARD_BYTES`` at most. Only one shard is broadcast at a time,
-so what a worker holds is bounded whatever the corpus; with more than one
-shard, the documents pass through one after the other and carry the levels
-found so far. The result does not depend on the number of shards.
-
-N-grams are counted inside each task before they are shuffled, as one 64-bit
-key each, so no frequent word weighs more than one row for each task.
+    p(w | h) = (c(h w) + MU p(w)) / (c(h) + MU)
+
+Every pair of the training texts is in the filter, those seen once too, so
+with exact counts the p(w | h) of a history add up to 1. Quantised counts are
+off by 4 % at most above EXACT, and a filter has false hits (``false_hits``
+measures them), so the sums are near 1 and not 1. The add-one base score needs
+exact word counts; these ride along as sorted arrays beside the filter.
+
+The texts are read and tokenised once. Each task gathers documents into groups
+and writes, for each group, the numbers of its words in order and, for each of
+its *buckets* (ranges of the n-gram's hash, a fixed amount of text for each),
+the group's distinct n-grams with their training counts. From these rows
+
+* a bucket's counts are summed in one task, which writes the bucket's part of
+  the filter to a file of the shared folder;
+* buckets are joined into shards of ``SHARD_BYTES`` at most (one bucket where
+  it alone is larger), and shard after shard is read into one buffer of the
+  driver, broadcast, probed with those rows alone that belong to it, and
+  destroyed;
+* the levels found meet the group's word numbers again and give the scores.
+
+So every n-gram is probed once whatever the number of shards, no task holds
+more than a bucket, a shard and a group, and no frequent n-gram weighs more
+than one entry for each group. The result does not depend on the number of
+shards. Within a bucket a pair goes by 40 further bits of its hash: for the two
+million or so pairs of a bucket, one lookup in 500,000 meets another pair's
+entry, at every size of the input, as buckets do not grow.
 
 Defined results: a null or empty text is the end token alone; a null doc_id
 counts as empty text for the fold; equal rows have equal scores; with no
@@ -32,30 +44,36 @@ columns are ignored.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.shared import fold_of, written
+from quarryline.llm.shared import fold_of, new_folder, open_fs, written
 
 FOLDS, HELD_OUT = 7, 2
-#: Pairs seen less often are not in the model.
-MIN_PAIR = 2
-#: Added to a history's count, so that rare histories lean on the word distribution.
-MU = 1.0
+#: Pseudo-counts that the word distribution adds to each history.
+MU = 100.0
 #: Levels 1 to EXACT are counts; above, each level is RATIO times the one before.
-EXACT, RATIO = 5, 1.2
-#: Bits of filter for each entry and bits set by each entry, all in one 64-bit word. At most 7, of a hash's lower 44 bits.
-BITS, PROBES = 12, 6
-SEGMENT_BYTES = 1 << 20
-#: What is broadcast at once.
-SHARD_BYTES = 192 << 20
-#: Tokens that a task counts at a time, and characters scored at a time.
-COUNT_TOKENS, GROUP_CHARS = 4_000_000, 2_000_000
-
-WORD, PAIR, HISTORY = 1, 2, 3
+EXACT, RATIO = 16, 1.08
+TOP_LEVEL = 250
+#: Bits of filter for each entry and bits set by each entry, all in one 64-bit word.
+BITS, PROBES = 16, 6
+#: Text bytes for each bucket, and tokens of a group.
+BUCKET_BYTES, GROUP_TOKENS = 16_000_000, 1_000_000
+#: What is broadcast at once, and read into the driver's buffer at once.
+SHARD_BYTES, STRIP_BYTES = 32 << 20, 4 << 20
+#: Buckets whose rows share a folder.
+STRIPE = 8
+#: Bytes of a pair's hash that its bucket's rows carry.
+KEY_BYTES = 5
+
+WORD, PAIR = 1, 2
 END = b"\n"  # no word has white space
-COUNTS = "kind byte, key long, n long"
+#: Rows of a group: with bucket -1 its tokens, else the n-grams of one bucket.
+GROUPED = "stripe int, bucket int, gid long, words binary, word_counts binary, pairs binary, pair_counts binary, ids array<long>, held array<boolean>, lengths array<long>"
+ANSWER = "bucket int, gid long, counts binary, word_levels binary, pair_levels binary"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 # ---------------------------------------------------------------- tokens and hashes
@@ -74,79 +92,121 @@ def tokens(datas: list[bytes]):
     return np.concatenate(parts) if parts else end[:0], np.array(lengths, dtype=np.int64)
 
 
-def pairs(words, lengths):
-    """The key of each token with the token before it (the end token before the first): 32 bits of either hash."""
+def mix(x):
+    """splitmix64's finaliser."""
     import numpy as np
 
-    before = np.empty_like(words)
-    before[1:] = words[:-1]  # the token before a text's first is the end token of the text before
-    if len(before):
-        before[0] = words[-1]
-    return (before & np.uint64(0xFFFFFFFF00000000)) | (words >> np.uint64(32))
-
-
-def history(words):
-    return words & np_u64(0xFFFFFFFF00000000)
+    x = x.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def np_u64(x: int):
+def before(of_words):
+    """Of each token the one before it; a text's first follows the end token, which is also the last of all."""
     import numpy as np
 
-    return np.uint64(x)
+    return np.concatenate([of_words[-1:], of_words[:-1]])
 
 
-def mix(x):
-    """splitmix64's finaliser."""
+def pairs(words):
+    """The key of each token with the token before it."""
     import numpy as np
 
-    x = x.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    return mix(before(words) * np.uint64(0x9E3779B97F4A7C15) + words)
 
 
-def item(kind, key):
-    """The hash that an n-gram goes by in filter and arrays."""
+def bucket_cuts(keys, buckets: int):
+    """The sorted keys' buckets: where each begins, and the end."""
     import numpy as np
 
-    return mix(key.astype(np.uint64) + np.asarray(kind).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    of = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    return np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64))
+
 
+def short(keys) -> bytes:
+    """The low KEY_BYTES bytes of each key."""
+    return keys.astype("<u8").view("u1").reshape(-1, 8)[:, :KEY_BYTES].tobytes()
 
-def segment(items, segments: int):
+
+def widened(data: bytes):
+    """Keys from ``short``."""
     import numpy as np
 
-    return ((items >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
+    raw = np.frombuffer(data, dtype="u1").reshape(-1, KEY_BYTES)
+    wide = np.zeros((len(raw), 8), dtype="u1")
+    wide[:, :KEY_BYTES] = raw
+    return wide.reshape(-1).view("<u8")
 
 
-def word_and_bits(items, level):
-    """Of (item, level): a 64-bit word of its segment, and PROBES bit positions in it."""
+def item(kind: int, keys):
+    """The hash that an n-gram goes by in the filter."""
     import numpy as np
 
-    g = mix(items ^ (np.asarray(level).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-    word = (g >> np.uint64(44)) % np.uint64(SEGMENT_BYTES // 8)
-    return word, [(g >> np.uint64(6 * i)) & np.uint64(63) for i in range(PROBES)]
+    return mix((keys & np.uint64((1 << 8 * KEY_BYTES) - 1)) + np.uint64(kind * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
 
 
-def bit_places(items, level):
-    """PROBES bit positions of (item, level) within its segment."""
+def word_and_mask(items, level: int, words: int):
+    """Of (item, level): one of the bucket's 64-bit words, and the PROBES bits of it that the entry sets."""
     import numpy as np
 
-    word, bits = word_and_bits(items, level)
-    return [word * np.uint64(64) + b for b in bits]
+    g = mix(items ^ np.uint64(level * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+    mask = np.uint64(1) << (g & np.uint64(63))
+    for i in range(1, PROBES):
+        mask |= np.uint64(1) << ((g >> np.uint64(6 * i)) & np.uint64(63))
+    return ((g >> np.uint64(6 * PROBES)) % np.uint64(words)).astype(np.int64), mask
 
 
 def level_of(n):
-    """The level of a count, as a column."""
-    high = F.lit(EXACT) + F.floor(F.log(n / F.lit(float(EXACT))) / F.lit(math.log(RATIO)))
-    return F.least(F.when(n <= EXACT, n).otherwise(high), F.lit(250)).cast("int")
+    """The levels of counts."""
+    import numpy as np
+
+    n = np.asarray(n, dtype=np.int64)
+    high = EXACT + np.floor(np.log(np.maximum(n, 1) / EXACT) / math.log(RATIO) + 1e-9)
+    return np.minimum(np.where(n <= EXACT, n, high), TOP_LEVEL).astype(np.int64)
 
 
 def counts_of_levels():
     """The count that each level stands for; level 0 for none."""
     import numpy as np
 
-    high = EXACT * RATIO ** (np.arange(251) - EXACT + 0.5)
-    return np.where(np.arange(251) <= EXACT, np.arange(251), high)
+    level = np.arange(TOP_LEVEL + 1)
+    return np.where(level < EXACT, level, EXACT * RATIO ** (level - EXACT + 0.5))
+
+
+def probe(words, items):
+    """The level of each item by repeated membership probes of one bucket's filter."""
+    import numpy as np
+
+    levels, live, level = np.zeros(len(items), dtype=np.uint8), np.arange(len(items)), 0
+    while len(live) and level < TOP_LEVEL:
+        level += 1
+        at, mask = word_and_mask(items, level, len(words))
+        hit = np.nonzero((words[at] & mask) == mask)[0]
+        live, items = live[hit], items[hit]
+        levels[live] = level
+    return levels
+
+
+def built(found: list, bits: int = BITS):
+    """The filter's words for (items, levels) of each kind, BITS bits for each entry."""
+    import numpy as np
+
+    items, levels = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(-levels, kind="stable")
+    items, levels = items[order], levels[order]
+    size = max(1, -(-int(levels.sum()) * bits // 64))
+    out, level = np.zeros(size, dtype=np.uint64), 0
+    while len(items):
+        level += 1
+        items = items[: np.searchsorted(-levels, -level, side="right")]  # those of this level or above
+        for a in range(0, len(items), 1 << 18):
+            at, mask = word_and_mask(items[a : a + (1 << 18)], level, size)
+            np.bitwise_or.at(out, at, mask)
+    return out
+
+
+# ---------------------------------------------------------------- groups of documents
 
 
 def _datas(column) -> list[bytes]:
@@ -155,218 +215,265 @@ def _datas(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-# ---------------------------------------------------------------- training
+def _squeezed(array) -> bytes:
+    import pyarrow as pa
 
+    return pa.compress(array.tobytes(), codec="zstd", asbytes=True)
 
-def count_ngrams(texts: DataFrame) -> DataFrame:
-    """kind, key, n of words, kept pairs and their histories over all rows of the one-column table."""
 
-    def count(batches):
+def _expanded(data: bytes, dtype: str, length: int):
+    import numpy as np
+    import pyarrow as pa
+
+    dtype = np.dtype(dtype)
+    return np.frombuffer(pa.decompress(data, decompressed_size=length * dtype.itemsize, codec="zstd"), dtype=dtype)
+
+
+def grouped(docs: DataFrame, buckets: int) -> DataFrame:
+    """GROUPED rows of ``docs`` (doc_id, held_out, text)."""
+
+    def run(batches):
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        held, size = [], 0
+        schema = pa.schema(
+            [("stripe", pa.int32()), ("bucket", pa.int32()), ("gid", pa.int64()), ("words", pa.binary()), ("word_counts", pa.binary()), ("pairs", pa.binary()), ("pair_counts", pa.binary())]
+            + [("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64()))]
+        )
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
 
         def flush():
-            for kind, keys in ((WORD, [w for w, _ in held]), (PAIR, [p for _, p in held])):
-                keys, n = np.unique(np.concatenate(keys), return_counts=True)
-                for a in range(0, len(keys), 200_000):
-                    b = min(len(keys), a + 200_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, kind, np.int8)), pa.array(keys[a:b].view(np.int64)), pa.array(n[a:b].astype(np.int64))], names=["kind", "key", "n"])
+            ids, out = [i for x in held for i in x[0]], [h for x in held for h in x[1]]
+            words, lengths = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
+            train = np.repeat(~np.array(out, dtype=bool), lengths)
+            one, back = np.unique(words, return_inverse=True)
+            two, back2 = np.unique(pairs(words), return_inverse=True)
+            n1, n2 = (np.bincount(b[train], minlength=len(x)).astype("<u4") for b, x in ((back, one), (back2, two)))
+            row = {"stripe": [-1], "bucket": [-1], "gid": [number], "words": [one.astype("<u8").tobytes()], "word_counts": [_squeezed(back.astype("<u4"))], "pairs": [None], "pair_counts": [None], "ids": [ids], "held": [out], "lengths": [lengths]}
+            yield pa.RecordBatch.from_pydict(row, schema=schema)
+            c1, c2 = bucket_cuts(one, buckets), bucket_cuts(two, buckets)
+            for a in range(0, buckets, 64):
+                some = [k for k in range(a, min(buckets, a + 64)) if c1[k] < c1[k + 1] or c2[k] < c2[k + 1]]
+                cut = lambda x, c: [x[c[k] : c[k + 1]] for k in some]
+                row = {"stripe": [k // STRIPE for k in some], "bucket": some, "gid": [number] * len(some), "words": [x.astype("<u8").tobytes() for x in cut(one, c1)], "word_counts": [x.tobytes() for x in cut(n1, c1)]}
+                row |= {"pairs": [short(x) for x in cut(two, c2)], "pair_counts": [x.tobytes() for x in cut(n2, c2)], "ids": [None] * len(some), "held": [None] * len(some), "lengths": [None] * len(some)}
+                yield pa.RecordBatch.from_pydict(row, schema=schema)
 
         for batch in batches:
-            datas = _datas(batch.column(0))
-            for a in range(0, len(datas), 500):
-                words, lengths = tokens(datas[a : a + 500])
-                if len(words):
-                    held.append((words, pairs(words, lengths)))
-                    size += len(words)
-                if size >= COUNT_TOKENS:
+            ids, out, datas = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), _datas(batch.column("text"))
+            for a in range(0, len(datas), 100):
+                words, lengths = tokens(datas[a : a + 100])
+                held.append((ids[a : a + 100], out[a : a + 100], words, lengths))
+                size += len(words)
+                if size >= GROUP_TOKENS:
                     yield from flush()
-                    held, size = [], 0
-        if held:
+                    number, held, size = number + 1, [], 0
+        if size:
             yield from flush()
 
-    found = texts.mapInArrow(count, COUNTS).groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    kept = written(found.where((F.col("kind") == WORD) | (F.col("n") >= MIN_PAIR)), "lm-counts")
-    top = F.col("key").bitwiseAND(F.lit(-(1 << 32)))
-    histories = kept.where(F.col("kind") == PAIR).groupBy(top.alias("key")).agg(F.sum(F.col("n") - 1).alias("n")).select(F.lit(HISTORY).cast("byte").alias("kind"), "key", "n")
-    return kept.unionByName(histories)
-
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, GROUPED)
 
-def build_segments(counts: DataFrame, segments: int) -> DataFrame:
-    """segment, bits, items, counts: the filter's bits and the exact word counts of each segment."""
 
-    def place(batches):
-        import numpy as np
-        import pyarrow as pa
+# ---------------------------------------------------------------- training
 
-        for batch in batches:
-            kind, key, n, level = (c.to_numpy() for c in batch.columns)
-            items = item(kind, key.view(np.uint64))
-            exact = np.where(kind == WORD, n, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(segment(items, segments).astype(np.int32)), pa.array(items.view(np.int64)), pa.array(level), pa.array(exact)], names=["segment", "item", "level", "n"])
 
-    def build(batches):
+@dataclass
+class Model:
+    """Where the buckets' files are; n and v: training tokens and distinct ones."""
+
+    folder: str
+    buckets: list[tuple[int, str, int, int]]  # bucket, file, 64-bit words of filter, distinct words
+    n: int
+    v: int
+
+    def shards(self, shard_bytes: int = SHARD_BYTES) -> list[list[tuple[int, str, int, int]]]:
+        """The buckets in runs of ``shard_bytes`` at most."""
+        out, size = [], 0
+        for row in sorted(self.buckets):
+            own = 8 * row[2] + 16 * row[3]
+            if not out or size + own > shard_bytes:
+                out.append([])
+                size = 0
+            out[-1].append(row)
+            size += own
+        return out
+
+    def read(self, shard: list[tuple[int, str, int, int]]):
+        """(the bytes of a shard, {bucket: (start, words of filter, distinct words)}): file by file, strip by strip, into one buffer."""
         import numpy as np
-        import pyarrow as pa
-
-        def close(number, parts):
-            items, level, n = (np.concatenate(x) for x in zip(*parts))
-            items, bits = items.view(np.uint64), np.zeros(SEGMENT_BYTES * 8, dtype=bool)
-            for j in range(1, int(level.max()) + 1):
-                for places in bit_places(items[level >= j], j):
-                    bits[places] = True
-            words = np.nonzero(n > 0)[0]
-            words = words[np.argsort(items[words], kind="stable")]
-            row = {"segment": [number], "bits": [np.packbits(bits, bitorder="little").tobytes()], "items": [items[words].tobytes()], "counts": [n[words].astype("<i8").tobytes()]}
-            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("segment", pa.int32()), ("bits", pa.binary()), ("items", pa.binary()), ("counts", pa.binary())]))
-
-        now, parts = None, []
-        for batch in batches:
-            number, *columns = (c.to_numpy() for c in batch.columns)
-            cuts = np.concatenate([[0], np.nonzero(np.diff(number))[0] + 1, [len(number)]]) if len(number) else [0]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if number[a] != now:
-                    if parts:
-                        yield close(now, parts)
-                    now, parts = int(number[a]), []
-                parts.append([c[a:b] for c in columns])
-        if parts:
-            yield close(now, parts)
 
-    placed = counts.select("kind", "key", "n", level_of(F.col("n")).alias("level")).mapInArrow(place, "segment int, item long, level int, n long")
-    return placed.repartition("segment").sortWithinPartitions("segment").mapInArrow(build, "segment int, bits binary, items binary, counts binary")
+        fs, where = open_fs(self.folder)
+        out, places, at = np.empty(sum(8 * b + 16 * w for _, _, b, w in shard), dtype=np.uint8), {}, 0
+        for bucket, name, bits, words in shard:
+            places[bucket] = (at, bits, words)
+            end = at + 8 * bits + 16 * words
+            with fs.open_input_stream(f"{where}/{name}") as f:
+                while at < end:
+                    strip = f.read(min(STRIP_BYTES, end - at))
+                    if not strip:
+                        raise OSError(f"{name} ends early")
+                    out[at : at + len(strip)] = np.frombuffer(strip, dtype=np.uint8)
+                    at += len(strip)
+        return out, places
+
+
+def parts(data, place):
+    """(filter, sorted words, their counts) of a bucket in a shard's bytes."""
+    at, bits, words = place
+    cut = lambda n: data[at : at + 8 * n]
+    one = cut(bits).view("<u8")
+    at += 8 * bits
+    two = cut(words).view("<u8")
+    at += 8 * words
+    return one, two, cut(words).view("<i8")
+
+
+MANIFEST = "bucket int, name string, bits long, words long, n long"
+
+
+def _summed(keys: list, counts: list):
+    """Distinct keys with a count above 0, sorted, and their counts."""
+    import numpy as np
 
+    keys, counts = np.concatenate(keys), np.concatenate(counts)
+    keys, counts = keys[counts > 0], counts[counts > 0].astype(np.int64)
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    starts = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1])
+    return keys[starts], np.add.reduceat(counts, starts)
 
-class Model:
-    """Where the segments are, and what all shards share."""
 
-    def __init__(self, segments: DataFrame, number: int, shards: int, n: int, v: int):
-        self.segments, self.number, self.shards, self.n, self.v = segments, number, shards, n, v
+def train(rows: DataFrame, bits: int = BITS) -> Model:
+    """The model of the GROUPED ``rows``: each bucket's part is written by the task that sums its counts."""
+    spark = rows.sparkSession
+    folder = new_folder(spark, "lm-filter")
 
-    def shard(self, s: int) -> dict:
-        """The arrays of one shard, SHARD_BYTES at most by the choice of ``shards``."""
+    def count(batches):
         import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        fs, where = open_fs(folder)
+        fs.create_dir(where, recursive=True)
+        task, now, held = TaskContext.get().taskAttemptId(), None, []
+
+        def close():
+            w, n = _summed([np.frombuffer(x[0], "<u8") for x in held], [np.frombuffer(x[1], "<u4") for x in held])
+            p, m = _summed([widened(x[2]) for x in held], [np.frombuffer(x[3], "<u4") for x in held])
+            words = built([(item(WORD, w), level_of(n)), (item(PAIR, p), level_of(m))], bits)
+            name = f"bucket-{now:07d}-{task}.bin"
+            with fs.open_output_stream(f"{where}/{name}") as f:
+                for x in (words, w.astype("<u8"), n.astype("<i8")):
+                    f.write(x.tobytes())
+            return pa.RecordBatch.from_pydict({"bucket": pa.array([now], pa.int32()), "name": [name], "bits": [len(words)], "words": [len(w)], "n": [int(n.sum())]})
 
-        a, b = self.bounds(s)
-        rows = sorted(self.segments.where((F.col("segment") >= a) & (F.col("segment") < b)).collect())
-        bits = np.zeros((b - a) * SEGMENT_BYTES, dtype=np.uint8)
-        for row in rows:
-            bits[(row[0] - a) * SEGMENT_BYTES : (row[0] - a + 1) * SEGMENT_BYTES] = np.frombuffer(row[1], dtype=np.uint8)
-        join = lambda k, kind: np.frombuffer(b"".join(row[k] for row in rows), dtype=kind)
-        return {"first": a, "last": b, "bits": bits, "items": join(2, "<u8"), "counts": join(3, "<i8")}
-
-    def bounds(self, s: int) -> tuple[int, int]:
-        each = -(-self.number // self.shards)
-        return min(self.number, s * each), min(self.number, (s + 1) * each)
-
+        for batch in batches:
+            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != now and held:
+                    yield close()
+                    held = []
+                now = bucket
+                held.append(row)
+        if held:
+            yield close()
 
-def train(texts: DataFrame, shard_bytes: int = SHARD_BYTES) -> Model:
-    counts = count_ngrams(texts)
-    of_words = F.when(F.col("kind") == WORD, F.col("n"))
-    n, v, entries = counts.agg(F.coalesce(F.sum(of_words), F.lit(0)), F.count(of_words), F.coalesce(F.sum(level_of(F.col("n"))), F.lit(0))).first()
-    number = max(1, -(-entries * BITS // (SEGMENT_BYTES * 8)))
-    shards = min(number, max(1, -(-(number * SEGMENT_BYTES + 16 * v) // shard_bytes)))
-    return Model(written(build_segments(counts, number), "lm-segments"), number, shards, n, v)
+    keyed = rows.where("bucket >= 0").select("bucket", "words", "word_counts", "pairs", "pair_counts")
+    manifest = written(keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, MANIFEST), "lm-manifest").collect()  # one short row for each bucket
+    return Model(folder, [(r.bucket, r.name, r.bits, r.words) for r in manifest], sum(r.n for r in manifest), sum(r.words for r in manifest))
 
 
 # ---------------------------------------------------------------- scoring
 
 
-def probe(shard: dict, segments: int, items):
-    """The level of each item by repeated membership probes; 0 for items of other shards.
-
-    All bits of a probe lie in one 64-bit word, so a probe reads memory once.
-    """
-    import numpy as np
-
-    levels = np.zeros(len(items), dtype=np.uint8)
-    of = segment(items, segments).astype(np.int64)
-    live = np.nonzero((of >= shard["first"]) & (of < shard["last"]))[0]
-    words, level = shard["bits"].view("<u8"), 0
-    base, items = (of[live] - shard["first"]) * (SEGMENT_BYTES // 8), items[live]
-    while len(live) and level < 250:
-        level += 1
-        word, bits = word_and_bits(items, level)
-        mask = np.uint64(1) << bits[0]
-        for b in bits[1:]:
-            mask |= np.uint64(1) << b
-        hit = np.nonzero((words[base + word.astype(np.int64)] & mask) == mask)[0]
-        live, base, items = live[hit], base[hit], items[hit]
-        levels[live] = level
-    return levels
-
+def answers(rows: DataFrame, model: Model, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """ANSWER rows: for the n-grams of each bucket of each group, the exact counts of its words and the levels of all."""
+    spark = rows.sparkSession
+    path = new_folder(spark, "lm-answers")
+    for shard in model.shards(shard_bytes):
+        held = spark.sparkContext.broadcast(model.read(shard))
 
-def exact_counts(shard: dict, items):
-    import numpy as np
-
-    if not len(shard["items"]):
-        return np.zeros(len(items), dtype=np.int64)
-    at = np.minimum(np.searchsorted(shard["items"], items), len(shard["items"]) - 1)
-    return np.where(shard["items"][at] == items, shard["counts"][at], 0)
-
-
-def score(docs: DataFrame, model: Model, mu: float = MU) -> DataFrame:
-    """Adds n_tokens, n_known, base_score and score to ``docs`` (doc_id, held_out, text), and drops the text."""
-    spark = docs.sparkSession
-    segments, n, v = model.number, model.n, model.v
-
-    def scorer(shard, first: bool, last: bool):
-        def run(batches):
+        def look_up(batches, held=held):
             import numpy as np
             import pyarrow as pa
 
-            value, at = counts_of_levels(), shard.value
+            data, places = held.value
             for batch in batches:
-                datas, ids, held = _datas(batch.column("text")), batch.column("doc_id"), batch.column("held_out")
-                start = 0
-                while start < len(datas):
-                    stop, chars = start, 0
-                    while stop < len(datas) and (stop == start or chars < GROUP_CHARS):
-                        chars += len(datas[stop])
-                        stop += 1
-                    words, lengths = tokens(datas[start:stop])
-                    cuts = np.concatenate([[0], np.cumsum(lengths)])
-                    one, back1 = np.unique(words, return_inverse=True)
-                    two, back2 = np.unique(pairs(words, lengths), return_inverse=True)
-                    top, back3 = np.unique(history(one), return_inverse=True)
-                    exact = exact_counts(at, item(WORD, one))[back1]
-                    found = np.stack([probe(at, segments, item(k, x))[back] for k, x, back in ((WORD, one, back1), (PAIR, two, back2), (HISTORY, top, back3[back1]))])
-                    sums = lambda x: np.add.reduceat(x, cuts[:-1])
-                    logs, known = sums(np.log10(exact + 1.0)), sums((exact > 0).astype(np.int64))
-                    if not first:
-                        part = slice(start, stop)
-                        logs = logs + batch.column("logs").to_numpy()[part]
-                        known = known + batch.column("n_known").to_numpy()[part]
-                        found = found | np.concatenate([np.frombuffer(x, dtype=np.uint8).reshape(3, -1) for x in batch.column("levels").to_pylist()[part]], axis=1)
-                    out = {"doc_id": ids[start:stop], "held_out": held[start:stop]}
-                    if last:
-                        word, pair, total = value[found]
-                        of_history, left = (np.concatenate([x[-1:], x[:-1]]) for x in (word, total))  # of the token before, as in pairs()
-                        p = (word + 1) / (n + v + 1)
-                        pair = np.maximum(pair - 1, 0) / (of_history + mu)
-                        p = np.minimum(1.0, pair + np.maximum(1 - left / (of_history + mu), 0.01) * p)
-                        out |= {"n_tokens": lengths, "n_known": known, "base_score": logs - lengths * math.log10(n + v + 1), "score": sums(np.log10(p))}
-                    else:
-                        out |= {"text": batch.column("text")[start:stop], "logs": logs, "n_known": known, "levels": [found[:, a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]}
-                    yield pa.RecordBatch.from_pydict(out)
-                    start = stop
-
-        return run
-
-    state = docs.select("doc_id", "held_out", "text")
-    for s in range(model.shards):
-        first, last = s == 0, s == model.shards - 1
-        shard = spark.sparkContext.broadcast(model.shard(s))
-        schema = "doc_id long, held_out boolean, " + ("n_tokens long, n_known long, base_score double, score double" if last else "text string, logs double, n_known long, levels binary")
-        state = state.mapInArrow(scorer(shard, first, last), schema)
-        if not last:
-            state = written(state, "lm-pass")
-            shard.destroy()  # the pass is written, so nothing reads this shard again
-    return state.withColumn("train_tokens", F.lit(n).cast("long"))
-
-
-def op1_lm_score(spark: SparkSession, sf_dir: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+                out = {"bucket": batch.column(0), "gid": batch.column(1), "counts": [], "word_levels": [], "pair_levels": []}
+                for bucket, words, two in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3))):
+                    filled, known, counts = parts(data, places[bucket])
+                    one = np.frombuffer(words, "<u8")
+                    at = np.minimum(np.searchsorted(known, one), max(0, len(known) - 1))
+                    out["counts"].append(_squeezed(np.where(known[at] == one, counts[at], 0) if len(known) else np.zeros(len(one), "<i8")))
+                    out["word_levels"].append(probe(filled, item(WORD, one)).tobytes())
+                    out["pair_levels"].append(_squeezed(probe(filled, item(PAIR, widened(two)))))
+                yield pa.RecordBatch.from_pydict(out)
+
+        first, last = shard[0][0], shard[-1][0]
+        own = rows.where(F.col("stripe").between(first // STRIPE, last // STRIPE) & F.col("bucket").between(first, last))
+        own.select("bucket", "gid", "words", "pairs").mapInArrow(look_up, ANSWER).write.mode("append").parquet(path)
+        held.destroy()  # its rows are written, so nothing reads this shard again
+    return spark.read.schema(ANSWER).parquet(path) if model.buckets else spark.createDataFrame([], ANSWER)
+
+
+def combined(rows: DataFrame, found: DataFrame, model: Model, buckets: int, mu: float = MU) -> DataFrame:
+    """SCORES of all documents, from the groups' tokens and what was found for their n-grams in so many buckets."""
+    n, v = model.n, model.v
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        value = counts_of_levels()
+
+        def scores(group, found):
+            lengths, one = np.array(group["lengths"], dtype=np.int64), np.frombuffer(group["words"], "<u8")
+            size, starts = int(lengths.sum()), np.cumsum(lengths) - lengths
+            back = _expanded(group["word_counts"], "<u4", size)
+            two, back2 = np.unique(pairs(one[back]), return_inverse=True)
+            levels = np.frombuffer(b"".join(x["word_levels"] for x in found), "u1")
+            cuts = np.diff(bucket_cuts(two, buckets))
+            cuts = cuts[(cuts > 0) | (np.diff(bucket_cuts(one, buckets)) > 0)]
+            exact = np.concatenate([_expanded(x["counts"], "<i8", len(x["word_levels"])) for x in found])[back]
+            pair = np.concatenate([_expanded(x["pair_levels"], "u1", int(c)) for x, c in zip(found, cuts, strict=True)])
+            word, pair = value[levels][back], value[pair][back2]
+            of_history = before(word)
+            pair = np.minimum(pair, np.minimum(word, of_history))  # no pair is more frequent than its words
+            p = np.minimum(1.0, (pair + mu * ((word + 1) / (n + v + 1))) / (of_history + mu))
+            sums = lambda x: np.add.reduceat(x, starts)
+            base = sums(np.log10(exact + 1.0)) - lengths * math.log10(n + v + 1)
+            out = {"doc_id": pa.array(group["ids"], pa.int64()), "held_out": pa.array(group["held"], pa.bool_()), "n_tokens": lengths, "n_known": sums((exact > 0).astype(np.int64)), "base_score": base, "score": sums(np.log10(p))}
+            return pa.RecordBatch.from_pydict(out)
+
+        group, held = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["bucket"] == -1:  # the first row of a group
+                    if group:
+                        yield scores(group, held)
+                    group, held = row, []
+                else:
+                    held.append(row)
+        if group:
+            yield scores(group, held)
+
+    own = rows.where("stripe = -1").select("bucket", "gid", "words", "word_counts", "ids", "held", "lengths")
+    both = own.unionByName(found, allowMissingColumns=True)
+    return both.repartition("gid").sortWithinPartitions("gid", "bucket").mapInArrow(run, SCORES).withColumn("train_tokens", F.lit(n).cast("long"))
+
+
+def score(docs: DataFrame, *, mu: float = MU, bits: int = BITS, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """SCORES and train_tokens of ``docs`` (doc_id, held_out, text) by the model of those not held out."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 1 + size // bucket_bytes
+    rows = written(grouped(docs, buckets), "lm-groups", by=("stripe",))
+    model = train(rows, bits)
+    return combined(rows, answers(rows, model, shard_bytes), model, buckets, mu)
+
+
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), (fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "text")
-    return score(docs, train(docs.where(~F.col("held_out")).select("text"), shard_bytes))
+    return score(docs)

@@ -30,8 +30,8 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str, batch_rows: int | None = None) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again.
+def written(df: DataFrame, what: str, batch_rows: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder, a folder for each value of the columns ``by``, and read it again.
 
     This cuts the lineage with a copy that outlives any executor, and gives
     the planner the table's true size. ``batch_rows`` bounds the Arrow batches
@@ -43,7 +43,7 @@ def written(df: DataFrame, what: str, batch_rows: int | None = None) -> DataFram
     try:
         if batch_rows:
             spark.conf.set(key, batch_rows)
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
     finally:
         spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
