@@ -15,11 +15,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests in local mode) a folder of this machine is
-    made and set.
+    Only where it is unset and everything runs on this machine (tests in local
+    mode) a folder of this machine is made and set; on a cluster it must be set.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
         where = "file://" + tempfile.mkdtemp(prefix="quarryline-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -30,22 +33,15 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str, batch_rows: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+def written(df: DataFrame, what: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder, a folder for each value of the columns ``by``, and read it again.
 
     This cuts the lineage with a copy that outlives any executor, and gives
-    the planner the table's true size. ``batch_rows`` bounds the Arrow batches
-    of this one job's Python operators; the session keeps its own setting.
+    the planner the table's true size.
     """
     spark = df.sparkSession
-    path, key = new_folder(spark, what), "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    try:
-        if batch_rows:
-            spark.conf.set(key, batch_rows)
-        df.write.partitionBy(*by).parquet(path)
-    finally:
-        spark.conf.set(key, before)
+    path = new_folder(spark, what)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -18,21 +18,28 @@ local (shared mounts too), and reads them otherwise.
 
 White space never takes part in a token of the production vocabulary, and no
 pre-token spans it, so a text's ids are those of its white-space-separated
-chunks one after the other. Each worker keeps chunks in a bounded cache of two
-generations: a full one becomes the old one, and what is used again moves from
-the old one to the new, so frequent chunks stay. A chunk in neither is given
-to the tokenizers library.
+chunks one after the other. The chunks of a batch are cut out and numbered by
+Arrow, and each distinct one is looked up once: each worker keeps chunks in a
+bounded cache of two generations (a full one becomes the old one, and what is
+used again moves from the old one to the new, so frequent chunks stay). A
+chunk in neither goes to the tokenizers library. Where it is of printable
+ASCII and Latin-1 letters alone, what normalising and pre-tokenising do to it
+is known: it is lower-cased and cut by ``PRE_TOKENS``, and the pieces go to the
+library's model directly; any other chunk takes the library's whole way.
 ``whole_texts=True`` encodes every text in one call, for vocabularies without
 that property.
 
 Defined results: a null text is empty and has the end id alone; ids that tie
-are ordered by text; null ids come first; an empty table writes no files and
-returns no rows; other columns are ignored.
+are ordered by text, and are dealt to several tasks where they differ in their
+first TIE_CHARS characters; null ids come first; an empty table writes no files
+and returns no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import struct
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -43,83 +50,123 @@ from quarryline.llm.shared import new_folder, open_fs, written
 END_ID = 1
 #: Chunks in each of a worker's two cache generations, give or take one group's.
 CACHE_WORDS = 250_000
-#: Texts are encoded in groups of about so many characters.
-GROUP_CHARS = 500_000
-#: Rows that go to a worker at once, which bounds its memory beside the cache.
-BATCH_ROWS = 1000
+#: Texts are encoded in groups of about so many bytes.
+GROUP_BYTES = 4_000_000
 
-#: ASCII marks that never join a letter or digit before them in one pre-token, nor begin a contraction.
-MARKS = b'.,;:!?*$%&#|()"'
-ALNUM = frozenset(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+#: Chunks whose normal form is known: printable ASCII and the letters of Latin-1, all composed already.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: Marks that are one pre-token where they end such a chunk after a letter.
+MARKS = ".,;:!?*$%&#|()\""
+#: The vocabulary's pre-tokens of such a chunk, lower-cased.
+PRE_TOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+#: Characters of a text that deal out rows of one id (or of none).
+TIE_CHARS = 64
 
 _encoders: dict[tuple, "ChunkEncoder"] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: itself where it can be seen, else one from U+0100 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    unseen = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(unseen)}
+
+
 class ChunkEncoder:
-    """Texts to the bytes of their ids, chunk by chunk through a cache."""
+    """Texts to ids, chunk by chunk through a cache."""
 
     def __init__(self, path: str, whole_texts: bool, cache_words: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        parts = json.loads(self.tokenizer.to_str())
         top = max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
         self.dtype = "<u2" if top < 1 << 16 else "<u4"
-        self.lower = "Lowercase" in json.dumps(json.loads(self.tokenizer.to_str())["normalizer"])
-        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.code = "H" if self.dtype == "<u2" else "I"
+        special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
+        rule = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+        before = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.known = "Lowercase" in json.dumps(parts["normalizer"]) and before[:1] == [rule] and [x["type"] for x in before[1:]] == ["ByteLevel"] and all(x[:1] == "<" for x in special)
+        self.letters = _byte_letters()
         self.whole_texts, self.cache_words = whole_texts, cache_words
-        self.cache: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _recall(self, chunks: set[bytes]) -> set[bytes]:
-        """Move the chunks of the old generation to the new one; the others are returned."""
-        known = chunks.intersection(self.old)
-        self.cache.update((x, self.old[x]) for x in known)
-        return chunks - known
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        """Put the chunks into the cache. Trailing marks are pre-tokens of their own, so they are encoded apart."""
+        self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of one pre-token, by the cache."""
+        found = self.cache.get(piece)
+        if found is None:
+            found = self.old.get(piece)
+            if found is None:
+                word = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+                ids = [t.id for t in self.model.tokenize(word)]
+                found = struct.pack(f"<{len(ids)}{self.code}", *ids)
+            self.cache[piece] = found
+        return found
+
+    def _plain(self, chunk: str) -> bytes | None:
+        """The ids of a chunk whose normal form is known, else None."""
+        if not self.known or not (PLAIN.fullmatch(chunk)):
+            return None
+        low = chunk.lower()
+        if low.isalpha():  # no special token is
+            return self._piece(low)
+        core = low.rstrip(MARKS)
+        if core and core.isalpha():
+            return self._piece(core) + self._piece(low[len(core) :])
+        return None if self.special.search(low) else b"".join(map(self._piece, PRE_TOKENS.findall(low)))
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks."""
         import numpy as np
 
-        parts, need = {}, set()
-        for chunk in chunks:
-            core = chunk.rstrip(MARKS)
-            if core and len(core) < len(chunk) and core[-1] in ALNUM:
-                parts[chunk] = (core, chunk[len(core) :])
+        cache, hard = self.cache, []
+        out = [*map(cache.get, chunks)]
+        for i in [i for i, x in enumerate(out) if x is None]:
+            chunk = chunks[i]
+            found = self.old.get(chunk)
+            if found is None:
+                found = self._plain(chunk)
+            if found is None:
+                hard.append(i)
             else:
-                parts[chunk] = (chunk,)
-            need.update(x for x in parts[chunk] if x not in self.cache)
-        todo = list(self._recall(need))
-        for i in range(0, len(todo), 2000):
-            some = todo[i : i + 2000]
-            found = self.tokenizer.encode([x.decode("utf-8", "replace") for x in some], is_pretokenized=True, add_special_tokens=False)
+                out[i] = cache[chunk] = found
+        for a in range(0, len(hard), 2000):
+            some = hard[a : a + 2000]
+            found = self.tokenizer.encode([chunks[i] for i in some], is_pretokenized=True, add_special_tokens=False)
             ids, of = np.array(found.ids, dtype=self.dtype), np.array([-1 if w is None else w for w in found.word_ids], dtype=np.int64)
-            ends = np.searchsorted(of, np.arange(len(some)), side="right").tolist()
-            data, width, at = ids.tobytes(), ids.itemsize, 0
-            for word, end in zip(some, ends):
-                self.cache[word] = data[at * width : end * width]
+            ends, at = np.searchsorted(of, np.arange(len(some)), side="right").tolist(), 0
+            for i, end in zip(some, ends):
+                cache[chunks[i]] = out[i] = ids[at:end].tobytes()
                 at = end
-        for chunk, x in parts.items():
-            if len(x) == 2:
-                self.cache[chunk] = self.cache[x[0]] + self.cache[x[1]]
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts, end_id: int):
+        """(the ids of all texts of the Arrow column one after the other, each with the end id; the number of ids of each)."""
         import numpy as np
+        import pyarrow.compute as pc
 
+        texts = pc.fill_null(texts, "")
         if self.whole_texts:
-            return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            found = [np.array([*e.ids, end_id], dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate(found), np.array(list(map(len, found)), dtype=np.int64)
         if len(self.cache) > self.cache_words:
             self.old, self.cache = self.cache, {}
-        split = []
-        for text in texts:
-            data = text.encode("utf-8", "replace")
-            if self.lower and text.isascii() and not any(t in (low := data.lower()) for t in self.special):
-                data = low
-            split.append(data.split())
-        missing = self._recall(set().union(*split).difference(self.cache))
-        if missing:
-            self._learn(missing)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        split = pc.ascii_split_whitespace(texts)
+        numbered = pc.dictionary_encode(split.flatten())
+        known = self._chunks(numbered.dictionary.to_pylist())
+        width = np.dtype(self.dtype).itemsize
+        sizes = np.array([*map(len, known), width], dtype=np.int64) // width
+        flat = np.frombuffer(b"".join(known) + np.array([end_id], dtype=self.dtype).tobytes(), dtype=self.dtype)
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        order = np.insert(numbered.indices.to_numpy(zero_copy_only=False), ends, len(known))  # the end id is the last entry
+        counts, first = sizes[order], (np.cumsum(sizes) - sizes)[order]
+        upto = np.cumsum(counts)
+        ids = flat[np.repeat(first - upto + counts, counts) + np.arange(upto[-1])]
+        return ids, np.diff(upto[ends + np.arange(len(ends))], prepend=0)
 
 
 def encoder(path: str, whole_texts: bool = False, cache_words: int = CACHE_WORDS) -> ChunkEncoder:
@@ -134,15 +181,15 @@ def encoder(path: str, whole_texts: bool = False, cache_words: int = CACHE_WORDS
 
 
 def _groups(texts):
-    """Slices of the Arrow column with about GROUP_CHARS bytes each."""
+    """Slices of the Arrow column with about GROUP_BYTES each."""
     import pyarrow.compute as pc
 
-    start = chars = 0
+    start = size = 0
     for i, length in enumerate(pc.binary_length(texts).to_pylist()):
-        chars += length or 0
-        if chars >= GROUP_CHARS:
+        size += length or 0
+        if size >= GROUP_BYTES:
             yield start, i + 1
-            start, chars = i + 1, 0
+            start, size = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
 
@@ -163,13 +210,13 @@ def _shard_writer(folder: str, path: str, end_id: int, whole_texts: bool):
                 enc = encoder(path, whole_texts)
                 name = f"shard-{task.partitionId():07d}-{task.taskAttemptId()}"
                 fs.create_dir(where, recursive=True)
-                out, end = fs.open_output_stream(f"{where}/{name}.bin"), np.array([end_id], dtype=enc.dtype).tobytes()
+                out = fs.open_output_stream(f"{where}/{name}.bin")
             ids.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
             nulls.append(batch.column(0).is_null().to_numpy(zero_copy_only=False).astype("u1"))
             for a, b in _groups(batch.column(1)):
-                found = enc.encode([x or "" for x in batch.column(1).slice(a, b - a).to_pylist()])
-                lengths.append(np.array([len(x) for x in found], dtype=np.int64) // len(end) + 1)
-                out.write(end.join(found) + end)
+                found, sizes = enc.encode(batch.column(1).slice(a, b - a), end_id)
+                lengths.append(sizes)
+                out.write(found.tobytes())
         if out is None:
             return
         out.close()
@@ -211,8 +258,8 @@ def _index_writer(folder: str):
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, id_col="doc_id", text_col="text", end_id=END_ID, whole_texts=False) -> DataFrame:
     """Write the files to ``folder``; returns the manifest: one row for each shard, with its base."""
     spark = docs.sparkSession
-    dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
-    shards = written(dealt.mapInArrow(_shard_writer(folder, tokenizer_path, end_id, whole_texts), MANIFEST), "token-shards", batch_rows=BATCH_ROWS)
+    dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("id", F.left("text", F.lit(TIE_CHARS))).sortWithinPartitions("id", "text")
+    shards = written(dealt.mapInArrow(_shard_writer(folder, tokenizer_path, end_id, whole_texts), MANIFEST), "token-shards")
     before = Window.partitionBy().orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
     based = shards.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     slots = max(1, spark.sparkContext.defaultParallelism)
