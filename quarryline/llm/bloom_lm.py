@@ -31,9 +31,10 @@ the group's distinct n-grams with their training counts. From these rows
 So every n-gram is probed once whatever the number of shards, no task holds
 more than a bucket, a shard and a group, and no frequent n-gram weighs more
 than one entry for each group. The result does not depend on the number of
-shards. Within a bucket a pair goes by 40 further bits of its hash: for the two
-million or so pairs of a bucket, one lookup in 500,000 meets another pair's
-entry, at every size of the input, as buckets do not grow.
+shards. Within a bucket a pair goes by KEY_BITS further bits of its hash: among
+the two million pairs or so of a bucket, one lookup in 30,000 meets another
+pair's entry, at every size of the input, as buckets do not grow. Words go by
+64 bits.
 
 Defined results: a null or empty text is the end token alone; a null doc_id
 counts as empty text for the fold; equal rows have equal scores; with no
@@ -44,6 +45,7 @@ columns are ignored.
 from __future__ import annotations
 
 import math
+import struct
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,13 +62,13 @@ TOP_LEVEL = 250
 #: Bits of filter for each entry and bits set by each entry, all in one 64-bit word.
 BITS, PROBES = 16, 6
 #: Text bytes for each bucket, and tokens of a group.
-BUCKET_BYTES, GROUP_TOKENS = 16_000_000, 1_000_000
+BUCKET_BYTES, GROUP_TOKENS = 16_000_000, 2_000_000
 #: What is broadcast at once, and read into the driver's buffer at once.
 SHARD_BYTES, STRIP_BYTES = 32 << 20, 4 << 20
 #: Buckets whose rows share a folder.
 STRIPE = 8
-#: Bytes of a pair's hash that its bucket's rows carry.
-KEY_BYTES = 5
+#: Bits of a pair's hash that it goes by within its bucket.
+KEY_BITS = 36
 
 WORD, PAIR = 1, 2
 END = b"\n"  # no word has white space
@@ -116,34 +118,58 @@ def pairs(words):
     return mix(before(words) * np.uint64(0x9E3779B97F4A7C15) + words)
 
 
-def bucket_cuts(keys, buckets: int):
-    """The sorted keys' buckets: where each begins, and the end."""
+def bucket_cuts(keys, bucket_bits: int):
+    """The buckets of sorted keys, by their top bits: where each begins, and the end."""
     import numpy as np
 
-    of = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    return np.searchsorted(of, np.arange(buckets + 1, dtype=np.uint64))
+    of = keys >> np.uint64(64 - bucket_bits) if bucket_bits else np.zeros(len(keys), dtype=np.uint64)
+    return np.searchsorted(of, np.arange((1 << bucket_bits) + 1, dtype=np.uint64))
 
 
-def short(keys) -> bytes:
-    """The low KEY_BYTES bytes of each key."""
-    return keys.astype("<u8").view("u1").reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+def rest_of(keys, bucket_bits: int):
+    """The KEY_BITS bits after those that give a key's bucket; the order within a bucket stays."""
+    import numpy as np
+
+    return (keys << np.uint64(bucket_bits)) >> np.uint64(64 - KEY_BITS)
+
+
+def _squeezed(array) -> bytes:
+    """An array with its length, compressed byte plane by byte plane."""
+    import numpy as np
+    import pyarrow as pa
 
+    planes = np.ascontiguousarray(array.view("u1").reshape(len(array), array.itemsize).T)
+    return struct.pack("<q", len(array)) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
-def widened(data: bytes):
-    """Keys from ``short``."""
+
+def _expanded(data: bytes, dtype: str):
     import numpy as np
+    import pyarrow as pa
 
-    raw = np.frombuffer(data, dtype="u1").reshape(-1, KEY_BYTES)
-    wide = np.zeros((len(raw), 8), dtype="u1")
-    wide[:, :KEY_BYTES] = raw
-    return wide.reshape(-1).view("<u8")
+    (length,), dtype = struct.unpack_from("<q", data), np.dtype(dtype)
+    planes = np.frombuffer(pa.decompress(memoryview(data)[8:], decompressed_size=length * dtype.itemsize, codec="zstd"), dtype="u1")
+    return np.ascontiguousarray(planes.reshape(dtype.itemsize, length).T).reshape(-1).view(dtype)
+
+
+def _steps(keys) -> bytes:
+    """Sorted keys by their differences, compressed."""
+    import numpy as np
+
+    return _squeezed(np.diff(keys.astype("<u8"), prepend=np.uint64(0)))
+
+
+def _keys(data: bytes):
+    """Keys from ``_steps``."""
+    import numpy as np
+
+    return np.cumsum(_expanded(data, "<u8"), dtype=np.uint64)
 
 
 def item(kind: int, keys):
-    """The hash that an n-gram goes by in the filter."""
+    """The hash that an n-gram goes by in its bucket's filter."""
     import numpy as np
 
-    return mix((keys & np.uint64((1 << 8 * KEY_BYTES) - 1)) + np.uint64(kind * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    return mix(keys + np.uint64(kind * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
 
 
 def word_and_mask(items, level: int, words: int):
@@ -215,22 +241,8 @@ def _datas(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def _squeezed(array) -> bytes:
-    import pyarrow as pa
-
-    return pa.compress(array.tobytes(), codec="zstd", asbytes=True)
-
-
-def _expanded(data: bytes, dtype: str, length: int):
-    import numpy as np
-    import pyarrow as pa
-
-    dtype = np.dtype(dtype)
-    return np.frombuffer(pa.decompress(data, decompressed_size=length * dtype.itemsize, codec="zstd"), dtype=dtype)
-
-
-def grouped(docs: DataFrame, buckets: int) -> DataFrame:
-    """GROUPED rows of ``docs`` (doc_id, held_out, text)."""
+def grouped(docs: DataFrame, bucket_bits: int) -> DataFrame:
+    """GROUPED rows of ``docs`` (doc_id, held_out, text), with 2 ** bucket_bits buckets."""
 
     def run(batches):
         import numpy as np
@@ -250,14 +262,15 @@ def grouped(docs: DataFrame, buckets: int) -> DataFrame:
             one, back = np.unique(words, return_inverse=True)
             two, back2 = np.unique(pairs(words), return_inverse=True)
             n1, n2 = (np.bincount(b[train], minlength=len(x)).astype("<u4") for b, x in ((back, one), (back2, two)))
-            row = {"stripe": [-1], "bucket": [-1], "gid": [number], "words": [one.astype("<u8").tobytes()], "word_counts": [_squeezed(back.astype("<u4"))], "pairs": [None], "pair_counts": [None], "ids": [ids], "held": [out], "lengths": [lengths]}
+            row = {"stripe": [-1], "bucket": [-1], "gid": [number], "words": [_steps(one)], "word_counts": [_squeezed(back.astype("<u4"))], "pairs": [None], "pair_counts": [None], "ids": [ids], "held": [out], "lengths": [lengths]}
             yield pa.RecordBatch.from_pydict(row, schema=schema)
-            c1, c2 = bucket_cuts(one, buckets), bucket_cuts(two, buckets)
-            for a in range(0, buckets, 64):
-                some = [k for k in range(a, min(buckets, a + 64)) if c1[k] < c1[k + 1] or c2[k] < c2[k + 1]]
+            c1, c2 = bucket_cuts(one, bucket_bits), bucket_cuts(two, bucket_bits)
+            two = rest_of(two, bucket_bits)
+            for a in range(0, 1 << bucket_bits, 64):
+                some = [k for k in range(a, min(1 << bucket_bits, a + 64)) if c1[k] < c1[k + 1] or c2[k] < c2[k + 1]]
                 cut = lambda x, c: [x[c[k] : c[k + 1]] for k in some]
-                row = {"stripe": [k // STRIPE for k in some], "bucket": some, "gid": [number] * len(some), "words": [x.astype("<u8").tobytes() for x in cut(one, c1)], "word_counts": [x.tobytes() for x in cut(n1, c1)]}
-                row |= {"pairs": [short(x) for x in cut(two, c2)], "pair_counts": [x.tobytes() for x in cut(n2, c2)], "ids": [None] * len(some), "held": [None] * len(some), "lengths": [None] * len(some)}
+                row = {"stripe": [k // STRIPE for k in some], "bucket": some, "gid": [number] * len(some), "words": [_steps(x) for x in cut(one, c1)], "word_counts": [_squeezed(x) for x in cut(n1, c1)]}
+                row |= {"pairs": [_steps(x) for x in cut(two, c2)], "pair_counts": [_squeezed(x) for x in cut(n2, c2)], "ids": [None] * len(some), "held": [None] * len(some), "lengths": [None] * len(some)}
                 yield pa.RecordBatch.from_pydict(row, schema=schema)
 
         for batch in batches:
@@ -361,8 +374,8 @@ def train(rows: DataFrame, bits: int = BITS) -> Model:
         task, now, held = TaskContext.get().taskAttemptId(), None, []
 
         def close():
-            w, n = _summed([np.frombuffer(x[0], "<u8") for x in held], [np.frombuffer(x[1], "<u4") for x in held])
-            p, m = _summed([widened(x[2]) for x in held], [np.frombuffer(x[3], "<u4") for x in held])
+            w, n = _summed([_keys(x[0]) for x in held], [_expanded(x[1], "<u4") for x in held])
+            p, m = _summed([_keys(x[2]) for x in held], [_expanded(x[3], "<u4") for x in held])
             words = built([(item(WORD, w), level_of(n)), (item(PAIR, p), level_of(m))], bits)
             name = f"bucket-{now:07d}-{task}.bin"
             with fs.open_output_stream(f"{where}/{name}") as f:
@@ -404,11 +417,11 @@ def answers(rows: DataFrame, model: Model, shard_bytes: int = SHARD_BYTES) -> Da
                 out = {"bucket": batch.column(0), "gid": batch.column(1), "counts": [], "word_levels": [], "pair_levels": []}
                 for bucket, words, two in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3))):
                     filled, known, counts = parts(data, places[bucket])
-                    one = np.frombuffer(words, "<u8")
+                    one = _keys(words)
                     at = np.minimum(np.searchsorted(known, one), max(0, len(known) - 1))
                     out["counts"].append(_squeezed(np.where(known[at] == one, counts[at], 0) if len(known) else np.zeros(len(one), "<i8")))
-                    out["word_levels"].append(probe(filled, item(WORD, one)).tobytes())
-                    out["pair_levels"].append(_squeezed(probe(filled, item(PAIR, widened(two)))))
+                    out["word_levels"].append(_squeezed(probe(filled, item(WORD, one))))
+                    out["pair_levels"].append(_squeezed(probe(filled, item(PAIR, _keys(two)))))
                 yield pa.RecordBatch.from_pydict(out)
 
         first, last = shard[0][0], shard[-1][0]
@@ -418,8 +431,8 @@ def answers(rows: DataFrame, model: Model, shard_bytes: int = SHARD_BYTES) -> Da
     return spark.read.schema(ANSWER).parquet(path) if model.buckets else spark.createDataFrame([], ANSWER)
 
 
-def combined(rows: DataFrame, found: DataFrame, model: Model, buckets: int, mu: float = MU) -> DataFrame:
-    """SCORES of all documents, from the groups' tokens and what was found for their n-grams in so many buckets."""
+def combined(rows: DataFrame, found: DataFrame, model: Model, mu: float = MU) -> DataFrame:
+    """SCORES of all documents, from the groups' tokens and what was found for their n-grams."""
     n, v = model.n, model.v
 
     def run(batches):
@@ -429,16 +442,11 @@ def combined(rows: DataFrame, found: DataFrame, model: Model, buckets: int, mu:
         value = counts_of_levels()
 
         def scores(group, found):
-            lengths, one = np.array(group["lengths"], dtype=np.int64), np.frombuffer(group["words"], "<u8")
-            size, starts = int(lengths.sum()), np.cumsum(lengths) - lengths
-            back = _expanded(group["word_counts"], "<u4", size)
-            two, back2 = np.unique(pairs(one[back]), return_inverse=True)
-            levels = np.frombuffer(b"".join(x["word_levels"] for x in found), "u1")
-            cuts = np.diff(bucket_cuts(two, buckets))
-            cuts = cuts[(cuts > 0) | (np.diff(bucket_cuts(one, buckets)) > 0)]
-            exact = np.concatenate([_expanded(x["counts"], "<i8", len(x["word_levels"])) for x in found])[back]
-            pair = np.concatenate([_expanded(x["pair_levels"], "u1", int(c)) for x, c in zip(found, cuts, strict=True)])
-            word, pair = value[levels][back], value[pair][back2]
+            lengths, one, back = np.array(group["lengths"], dtype=np.int64), _keys(group["words"]), _expanded(group["word_counts"], "<u4")
+            starts = np.cumsum(lengths) - lengths
+            joined = lambda c, dtype: np.concatenate([_expanded(x[c], dtype) for x in found])  # noqa: E731  bucket by bucket is in the order of the keys
+            back2 = np.unique(pairs(one[back]), return_inverse=True)[1]
+            exact, word, pair = joined("counts", "<i8")[back], value[joined("word_levels", "u1")][back], value[joined("pair_levels", "u1")][back2]
             of_history = before(word)
             pair = np.minimum(pair, np.minimum(word, of_history))  # no pair is more frequent than its words
             p = np.minimum(1.0, (pair + mu * ((word + 1) / (n + v + 1))) / (of_history + mu))
@@ -468,10 +476,10 @@ def combined(rows: DataFrame, found: DataFrame, model: Model, buckets: int, mu:
 def score(docs: DataFrame, *, mu: float = MU, bits: int = BITS, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """SCORES and train_tokens of ``docs`` (doc_id, held_out, text) by the model of those not held out."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 1 + size // bucket_bytes
-    rows = written(grouped(docs, buckets), "lm-groups", by=("stripe",))
+    bucket_bits = (size // bucket_bytes).bit_length()
+    rows = written(grouped(docs, bucket_bits), "lm-groups", by=("stripe",))
     model = train(rows, bits)
-    return combined(rows, answers(rows, model, shard_bytes), model, buckets, mu)
+    return combined(rows, answers(rows, model, shard_bytes), model, mu)
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,11 +36,10 @@ def test_shards_and_buckets_leave_the_result_alone(spark, monkeypatch):
         assert r["base_score"] == many[k]["base_score"] and r["n_known"] == many[k]["n_known"]
         assert math.isclose(r["score"], many[k]["score"], rel_tol=1e-3)  # false hits differ
     monkeypatch.setattr(lm, "GROUP_TOKENS", 1000)
-    buckets = 12
-    rows = lm.written(lm.grouped(docs, buckets), "groups", by=("stripe",))
+    rows = lm.written(lm.grouped(docs, 4), "groups", by=("stripe",))
     model = lm.train(rows)
-    assert len(model.shards(1 << 30)) == 1 and len(model.shards(1)) == len(model.buckets) == buckets
-    some = [by_id(lm.combined(rows, lm.answers(rows, model, size), model, buckets)) for size in (1 << 30, 400_000, 1)]
+    assert len(model.shards(1 << 30)) == 1 and len(model.shards(1)) == len(model.buckets) == 16
+    some = [by_id(lm.combined(rows, lm.answers(rows, model, size), model)) for size in (1 << 30, 400_000, 1)]
     assert some[0] == some[1] == some[2]
 
 
