@@ -1,30 +1,49 @@
 """Operator 9: SimHash near-duplicates through a Gray-order hierarchical index.
 
 A text's fingerprint has bit i set if more than half the XXH64 hashes of its
-word shingles (repeats included) have it set. Documents of one fingerprint are
-one class; distinct fingerprints are linked at ``max_bits`` differing bits or
-fewer, and a component is what links connect.
-
-The search is exact. Cut into max_bits + 1 blocks, two linked fingerprints
-agree on at least one whole block. That agreed block is the shared masked
-pattern of a top node of the index: each distinct fingerprint goes to one top
-node for each block, as (block number, block value). Nodes with more than
-``NODE_ROWS`` fingerprints are cut again by the blocks of the remaining bits,
-which keeps exactness for the same reason. Within a node the fingerprints are
-sorted by Gray rank, so that neighbours share most bits, and a tree is laid
-over them: each upper node holds the mask of the bits that all below it share,
-and their pattern. Group is held against group from the root down, and a pair
-of groups goes as soon as their shared bits alone differ in more than
-``max_bits`` places; what is left is compared bit by bit.
+word shingles have it set. Distinct fingerprints are linked by the bits they
+differ in, and a component is what links connect. Each distinct fingerprint
+goes to one top node of the index for each block of its bits, as (block
+number, block value): the block is the masked pattern that all below the node
+share. Within a node the fingerprints are sorted by Gray rank, so that
+neighbours share most bits, and a tree is laid over them: each upper node holds
+the mask of the bits that all below it share, and their pattern. Group is held
+against group from the root down, and a pair of groups goes as soon as the
+differences of their shared bits, added up word by word, exceed the bound, or
+where all of both groups are linked up already; what is left is compared bit by
+bit. Before that, a few fingerprints spread over the node are held against
+all of it, which links a dense group by one row for each member.
 
 A node gives a spanning forest of its links (at most one row for each member),
 never its pairs; the forests of all nodes connect what all links connect.
 Components come from alternating large-star and small-star rounds over written
-tables. Copies of a fingerprint never meet: everything after the fingerprints
-works on distinct ones, pre-aggregated.
+tables. Copies never meet: everything after the fingerprints works on distinct
+ones, pre-aggregated. Tables that are joined on a key that may be hot are
+written first, so that both sides are plain shuffles, which Spark splits where
+they are skewed.
+
+``near_duplicates`` is exact: 64 bits, repeats counted, links at ``max_bits``
+differing bits or fewer. Cut into max_bits + 1 blocks, two linked fingerprints
+agree on at least one whole block; nodes with more than ``NODE_ROWS``
+fingerprints are cut again by the blocks of the remaining bits, which is exact
+for the same reason.
+
+``similar_documents`` links sets of word shingles by their Jaccard similarity.
+At 0.8, some 15 % of bits differ, too many for exact blocks. Its fingerprints,
+of distinct shingles, have ``WIDE_WORDS`` words, the blocks 13 bits, and a pair
+is a candidate where the words together differ in ``WIDE_BITS`` or fewer; a
+pair of similarity 0.8 agrees on one of the 30 blocks with a probability of
+0.98 and passes the bound with one of 0.99, pairs that are more alike nearly
+always. Forests grow by rising bounds, so the closest candidates are kept, and
+each of their pairs is decided by the whole sets: no link is wrong, and the
+recall is measured in the tests and stated in the README. Nodes with more than
+``NODE_ROWS`` members are dealt out by pairs of slices. The work in nodes grows
+with the square of their size; for far more than 10**8 distinct documents,
+longer blocks and more words are the parameters to raise.
 
 Defined results: fewer words than a shingle make one shingle, no words (null
-or empty text) the fingerprint zero, which links like any other; ties and
+or empty text) the fingerprint zero, which links like any other in
+``near_duplicates`` and to its copies alone in ``similar_documents``; ties and
 repeated rows have equal rows; null ids never name a component unless it has
 no other; an empty table gives no rows; other columns are ignored.
 """
@@ -43,31 +62,53 @@ SEED = 42
 NODE_ROWS = 20_000
 #: Fingerprints in a leaf of the tree, and children of an upper node.
 LEAF, FANOUT = 16, 4
+#: Fingerprints that are held against all of their node first.
+PIVOTS = 8
+#: Of similar_documents: words of a shingle, words of a fingerprint, blocks of each, and differing bits of a candidate pair.
+WIDE_SHINGLE, WIDE_WORDS, WIDE_BLOCKS, WIDE_BITS = 5, 6, 5, 76
+#: The similarity that links, in fifths.
+FIFTHS = 4
 
 
 # ---------------------------------------------------------------- fingerprints
 
 
-def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The 64-bit fingerprint of a UTF-8 text."""
+def shingle_hashes(data: bytes, shingle: int, seed: int = SEED):
+    """XXH64 of each word shingle of a UTF-8 text, repeats included."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
     words = data.lower().split()  # bytes: A-Z and ASCII white space alone
-    n = len(words)
-    if not n:
-        return 0
-    if n <= shingle:
-        return xxh64_intdigest(b" ".join(words), seed)
-    joined = b" ".join(words)
-    starts = [0] * (n + 1)
-    at = 0
-    for i, word in enumerate(words):
-        starts[i] = at
+    if not words:
+        return np.zeros(0, dtype="<u8")
+    joined, ends, at = b" ".join(words), [], -1
+    for word in words:
         at += len(word) + 1
-    starts[n] = at
-    hashes = np.fromiter((xxh64_intdigest(joined[a : b - 1], seed) for a, b in zip(starts, starts[shingle:])), dtype="<u8", count=n - shingle + 1)
-    return majority(hashes)
+        ends.append(at)
+    last = ends[shingle - 1 :] or ends[-1:]
+    starts = [0, *[e + 1 for e in ends[: len(last) - 1]]]
+    return np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, last)), dtype="<u8", count=len(last))
+
+
+def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The 64-bit fingerprint of a UTF-8 text."""
+    hashes = shingle_hashes(data, shingle, seed)
+    return majority(hashes) if len(hashes) else 0
+
+
+def wide_fingerprint(hashes, words: int = WIDE_WORDS) -> list[int]:
+    """The fingerprint of some distinct hashes: its first word by themselves, the others by hashes of them."""
+    import numpy as np
+
+    out = []
+    for k in range(words):
+        x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        if k:
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x = x ^ (x >> np.uint64(31))
+        out.append(majority(x) if len(x) else 0)
+    return out
 
 
 def majority(hashes) -> int:
@@ -131,7 +172,7 @@ def gray_rank(values):
 
 
 def tree(values):
-    """Levels of the index over sorted values, leaves first: (pattern, shared mask) arrays for each level."""
+    """Levels of the index over sorted rows of words, leaves first: (pattern, shared mask) arrays for each level."""
     import numpy as np
 
     levels, conj, disj, step = [], values, values, LEAF
@@ -144,12 +185,37 @@ def tree(values):
         step = FANOUT
 
 
-def linked_pairs(values, max_bits: int):
-    """Index pairs (i < j) of Gray-sorted distinct values at max_bits differing bits or fewer, in pieces."""
+def near(x, y, masks, max_bits: int):
+    """Which rows of words differ in max_bits places or fewer, in all or under the masks; word by word, while any is left."""
+    import numpy as np
+
+    left, sums = np.arange(len(x[0])), np.zeros(len(x[0]), dtype=np.int64)
+    for k in range(x[1].shape[1]):
+        i, j = x[0][left], y[0][left]
+        differ = x[1][i, k] ^ y[1][j, k]
+        if masks is not None:
+            differ &= masks[i, k] & masks[j, k]
+        sums[left] += np.bitwise_count(differ)
+        left = left[sums[left] <= max_bits]
+        if not len(left):
+            break
+    return left
+
+
+def linked_pairs(values, max_bits: int, labels=None):
+    """Index pairs (i < j) of Gray-sorted distinct rows of words at max_bits differing bits or fewer, in pieces.
+
+    With labels, pairs of groups that lie in one and the same label are left out.
+    """
     import numpy as np
 
-    levels = tree(values)
-    far = lambda level, a, b: np.bitwise_count((level[0][a] ^ level[0][b]) & level[1][a] & level[1][b]) > max_bits
+    levels, bounds = tree(values), []
+    if labels is not None:
+        low = high = labels
+        for k in range(len(levels)):
+            cuts = np.arange(0, len(low), FANOUT if k else LEAF)
+            low, high = np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
+            bounds.append((low, high))
     stack = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         depth, a, b = stack.pop()
@@ -157,7 +223,12 @@ def linked_pairs(values, max_bits: int):
             half = len(a) // 2
             stack += [(depth, a[:half], b[:half]), (depth, a[half:], b[half:])]
             continue
-        keep = ~far(levels[depth], a, b)
+        if labels is not None:
+            low, high = bounds[depth]
+            open_ = ~((low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b]))
+            a, b = a[open_], b[open_]
+        pattern, mask = levels[depth]
+        keep = near((a, pattern), (b, pattern), mask, max_bits)
         a, b = a[keep], b[keep]
         if not len(a):
             continue
@@ -170,36 +241,97 @@ def linked_pairs(values, max_bits: int):
         if depth:
             stack.append((depth - 1, x, y))
         else:
-            near = np.bitwise_count(values[x] ^ values[y]) <= max_bits
-            if near.any():
-                yield x[near], y[near]
+            found = near((x, values), (y, values), None, max_bits)
+            if len(found):
+                yield x[found], y[found]
 
 
-def forest(values, max_bits: int):
-    """Spanning edges (index pairs) of the links among Gray-sorted distinct values."""
+def forest(values, bounds: tuple[int, ...]):
+    """Spanning edges (index pairs) of the links among Gray-sorted distinct rows of words; the links of each bound come before those of the next."""
     import numpy as np
 
-    root = np.arange(len(values))
+    n = len(values)
+    labels, out_a, out_b = np.arange(n), [], []
+
+    def joined(x, y):
+        """Add the edges x, y that a spanning forest needs; labels stay the least index of each tree."""
+        nonlocal labels
+        apart = labels[x] != labels[y]
+        x, y = x[apart], y[apart]
+        root: dict[int, int] = {}
+
+        def find(i: int) -> int:
+            while (up := root.get(i, i)) != i:
+                root[i] = root.get(up, up)
+                i = up
+            return i
+
+        u, v = labels[x], labels[y]
+        _, first = np.unique(np.minimum(u, v) * n + np.maximum(u, v), return_index=True)
+        for i in first.tolist():
+            p, q = find(int(u[i])), find(int(v[i]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out_a.append(int(x[i]))
+                out_b.append(int(y[i]))
+        if root:
+            old = np.array(sorted(root))
+            new = np.array([find(int(i)) for i in old])
+            at = np.minimum(np.searchsorted(old, labels), len(old) - 1)
+            labels = np.where(old[at] == labels, new[at], labels)
+
+    for max_bits in bounds:
+        if n > 4 * LEAF:
+            for p in np.linspace(0, n - 1, PIVOTS).astype(np.int64):
+                every = np.arange(n)
+                found = near((every, values), (np.full(n, p), values), None, max_bits)
+                found = found[found != p]
+                if len(found):
+                    joined(np.full(len(found), p), found)
+        for x, y in linked_pairs(values, max_bits, labels if n > 4 * LEAF else None):
+            joined(x, y)
+    return np.array(out_a, dtype=np.int64), np.array(out_b, dtype=np.int64)
+
+
+def _searcher(bounds: tuple[int, ...], words: int):
+    """Rows (four columns that name a node, key, fingerprint words as bytes) in the order of their nodes to spanning edges a, b between keys."""
+
+    def edges(keys, values):
+        import numpy as np
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+        order = np.argsort(gray_rank(values[:, 0]), kind="stable")
+        keys, values = keys[order], values[order]
+        i, j = forest(values, bounds)
+        return keys[i], keys[j]
 
-    for x, y in linked_pairs(values, max_bits):
-        x, y = root[x], root[y]  # flat: every entry is a root
-        apart = x != y
-        if not apart.any():
-            continue
-        for i, j in np.unique(np.stack([x[apart], y[apart]], axis=1), axis=0).tolist():
-            i, j = find(i), find(j)
-            if i != j:
-                root[max(i, j)] = min(i, j)
-        while (root[root] != root).any():
-            root = root[root]
-    member = np.nonzero(root != np.arange(len(values)))[0]
-    return member, root[member]
+    def search(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        now, held, found = None, [], []
+
+        def close():
+            if sum(len(k) for k, _ in held) > 1:
+                found.append(edges(np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held])))
+
+        for batch in batches:
+            nodes = np.stack([batch.column(c).to_numpy() for c in range(4)], axis=1)
+            keys = batch.column(4).to_numpy()
+            values = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, words) if words > 1 else keys.view(np.uint64).reshape(-1, 1)
+            starts = np.concatenate([[0], np.nonzero((nodes[1:] != nodes[:-1]).any(axis=1))[0] + 1, [len(keys)]]) if len(keys) else [0]
+            for s, e in zip(starts[:-1], starts[1:]):
+                if now is None or (nodes[s] != now).any():
+                    close()
+                    held, now = [], nodes[s]
+                held.append((keys[s:e], values[s:e]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b"])
+                found.clear()
+        close()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b"])
+
+    return search
 
 
 def _node_keys(distinct: DataFrame, max_bits: int) -> DataFrame:
@@ -220,41 +352,8 @@ def _node_keys(distinct: DataFrame, max_bits: int) -> DataFrame:
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """a, b: spanning edges among the distinct fingerprints ``fp``; all links are connected by them."""
-
-    def search(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        def edges(values):
-            values = np.frombuffer(values.tobytes(), dtype="<u8")
-            values = values[np.argsort(gray_rank(values), kind="stable")]
-            i, j = forest(values, max_bits)
-            return values[i].view("<i8"), values[j].view("<i8")
-
-        held, key = [], None
-        out_a, out_b = [], []
-        for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in range(4)], axis=1)
-            fps = batch.column(4).to_numpy()
-            starts = np.concatenate([[0], np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1, [len(fps)]]) if len(fps) else [0]
-            for s, e in zip(starts[:-1], starts[1:]):
-                if key is not None and (keys[s] == key).all():
-                    held.append(fps[s:e])
-                    continue
-                if sum(map(len, held)) > 1:
-                    a, b = edges(np.concatenate(held))
-                    out_a.append(a)
-                    out_b.append(b)
-                held, key = [fps[s:e]], keys[s]
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
-                out_a, out_b = [], []
-        if sum(map(len, held)) > 1:
-            a, b = edges(np.concatenate(held))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    nodes = _node_keys(distinct, max_bits).repartition("k", "v", "s", "w").sortWithinPartitions("k", "v", "s", "w")
-    return nodes.mapInArrow(search, "a long, b long")
+    nodes = _node_keys(distinct, max_bits).select("k", "v", "s", "w", "fp", F.lit(None).cast("binary").alias("words"))
+    return nodes.repartition("k", "v", "s", "w").sortWithinPartitions("k", "v", "s", "w").mapInArrow(_searcher((max_bits,), 1), "a long, b long")
 
 
 # ---------------------------------------------------------------- components
@@ -271,17 +370,17 @@ def components(edges: DataFrame) -> DataFrame:
         # large-star links each larger neighbour to the vertex's minimum; small-star the vertex and its smaller neighbours
         if larger:
             both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+            least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "components-least")
             return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         down = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(down.groupBy("a").agg(F.min("b").alias("m")), "components-least")
         joined = down.join(least, "a")
         return joined.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a != b").distinct()
 
     pairs = written(edges.where("a != b").distinct(), "components")
     state = None
     while True:
-        pairs = written(star(star(pairs, True), False), "components")
+        pairs = written(star(written(star(pairs, True), "components"), False), "components")
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             break
@@ -294,12 +393,92 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", shingl
     rows = written(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed, extra=extra), "simhash-rows")
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     roots = components(links(classes.select("fp"), max_bits))
-    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = written(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-rooted")
+    named = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-named")
     table = written(rooted.join(named, "root").select("fp", F.col("root").alias("component"), "component_id"), "simhash-components")
     return rows.join(table, "fp").select("doc_id", *extra, "fp", "component", "component_id")
 
 
+# ---------------------------------------------------------------- similar documents
+
+
+def _hashed_sets(texts):
+    """The sorted distinct shingle hashes of each text of an Arrow column."""
+    import numpy as np
+    import pyarrow as pa
+
+    for x in texts.cast(pa.binary()):
+        yield np.unique(shingle_hashes(x.as_buffer().to_pybytes() if x.is_valid else b"", WIDE_SHINGLE))
+
+
+def _set_key(found) -> int:
+    """The 64-bit name of a set."""
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(found.tobytes(), SEED) - (1 << 63) if len(found) else 0
+
+
+def wide_rows(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``names``, key (of the set of shingles), words (its wide fingerprint, big-endian) of each document of ``docs`` (text, names)."""
+
+    def compute(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keys, words = [], []
+            for found in _hashed_sets(batch.column(0)):
+                keys.append(_set_key(found))
+                words.append(b"".join(x.to_bytes(8, "big") for x in wide_fingerprint(found)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(keys, type=pa.int64()), pa.array(words, type=pa.binary())], names=[*names, "key", "words"])
+
+    kept = docs.select("text", *names)
+    return kept.mapInArrow(compute, kept.select(*names, F.lit(0).cast("long").alias("key"), F.lit(b"").alias("words")).schema)
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """a, b: keys of ``classes`` (key, words) whose wide fingerprints are near, as spanning forests of the index's nodes."""
+    size = 64 // WIDE_BLOCKS
+    word = lambda k: F.conv(F.hex(F.substring("words", 8 * k + 1, 8)), 16, -10).cast("long")
+    blocks = F.flatten(F.array(*[F.array(*[F.struct(F.lit(k * WIDE_BLOCKS + b).alias("k"), F.shiftright(word(k), b * size).bitwiseAND(F.lit((1 << size) - 1)).alias("v")) for b in range(WIDE_BLOCKS)]) for k in range(WIDE_WORDS)]))
+    keyed = classes.select(F.explode(blocks).alias("top"), "key", "words").select("top.k", "top.v", "key", "words")
+    large = written(keyed.groupBy("k", "v").count().where(F.col("count") > NODE_ROWS).select("k", "v", F.ceil(F.col("count") / NODE_ROWS).alias("slices")), "simhash-large")
+    own = F.pmod(F.xxhash64("key"), F.col("slices"))
+    slices = F.when(F.col("slices").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))
+    dealt = keyed.join(large, ["k", "v"], "left").withColumn("other", F.explode(slices)).withColumn("own", F.coalesce(own, F.lit(0).cast("long")))
+    nodes = dealt.select("k", "v", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("w"), "key", "words")
+    bounds = tuple(WIDE_BITS * i // 4 for i in (1, 2, 3, 4))
+    return nodes.repartition("k", "v", "s", "w").sortWithinPartitions("k", "v", "s", "w").mapInArrow(_searcher(bounds, WIDE_WORDS), "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Those of the pairs a, b of keys whose whole sets have a similarity of FIFTHS / 5 or more."""
+
+    def compute(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = list(_hashed_sets(batch.column(0)))
+            yield pa.RecordBatch.from_arrays([pa.array([_set_key(x) for x in found], type=pa.int64()), pa.array([x.view("<i8") for x in found], type=pa.list_(pa.int64()))], names=["key", "items"])
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    one = written(rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*names)).alias("one")).select("one.*"), "similar-wanted")
+    texts = docs.join(one, list(names), "left_semi").dropDuplicates(list(names)).select("text")
+    sets = written(texts.mapInArrow(compute, "key long, items array<long>"), "similar-sets")
+    side = lambda c: sets.select(F.col("key").alias(c), F.col("items").alias(f"set_{c}"))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    alike = (5 + FIFTHS) * both >= FIFTHS * (F.size("set_a") + F.size("set_b"))  # both / (a + b - both)
+    return written(pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b"), "similar-links")
+
+
+def similar_documents(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``names``, component for every document of ``docs`` (text, names); rows of equal names have equal texts."""
+    rows = written(wide_rows(docs, names), "similar-rows")
+    classes = written(rows.groupBy("key").agg(F.min("words").alias("words")).where("key != 0"), "similar-classes")
+    pairs = written(candidates(classes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
+    found = written(components(verified(pairs, docs, rows, names)).withColumnRenamed("fp", "key"), "similar-components")
+    return rows.join(found, "key", "left").select(*names, F.coalesce("root", "key").alias("component"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
