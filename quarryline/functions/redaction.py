@@ -22,22 +22,28 @@ def _mask_generic(text: Column, mask: str) -> Column:
     replacement pattern cannot replace within its match.
     """
     matches = F.regexp_extract_all(text, F.lit(GENERIC), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(GENERIC), F.lit(1))
-    masked = F.zip_with(matches, values, lambda m, v: F.replace(m, v, F.lit(mask)))
+    masked = F.transform(matches, lambda m: F.replace(m, F.regexp_extract(m, GENERIC, 1), F.lit(mask)))
     pieces = F.zip_with(F.split(text, GENERIC, -1), F.concat(masked, F.array(F.lit(""))), lambda a, b: F.concat(a, b))
-    return F.when(text.rlike(GENERIC), F.array_join(pieces, "")).otherwise(text)
+    return F.when(_generic_found(text), F.array_join(pieces, "")).otherwise(text)
+
+
+def _generic_found(text: Column) -> Column:
+    """Whether the generic pattern occurs; it ends in a quote, so a text without any is not searched."""
+    return (text.contains("'") | text.contains('"')) & text.rlike(GENERIC)
+
+
+def _keys_masked(text: Column, mask: str) -> Column:
+    """The text after the first two patterns; ``redact`` and ``secrets_found`` share it, so it is worked out once."""
+    literal = mask.replace("\\", "\\\\").replace("$", "\\$")
+    return F.regexp_replace(F.regexp_replace(text, CLOUD_KEY, literal), PAYMENT_KEY, literal)
 
 
 def redact(text: Column, mask: str = MASK) -> Column:
     """The text with all secrets masked; null stays null."""
-    literal = mask.replace("\\", "\\\\").replace("$", "\\$")
-    out = F.regexp_replace(F.regexp_replace(text, CLOUD_KEY, literal), PAYMENT_KEY, literal)
-    return _mask_generic(out, mask)
+    return _mask_generic(_keys_masked(text, mask), mask)
 
 
 def secrets_found(text: Column, mask: str = MASK) -> Column:
-    """Whether any pattern occurs, each looked for in the text as the ones before left it."""
-    literal = mask.replace("\\", "\\\\").replace("$", "\\$")
-    second = F.regexp_replace(text, CLOUD_KEY, literal)
-    third = F.regexp_replace(second, PAYMENT_KEY, literal)
-    return F.coalesce(text.rlike(CLOUD_KEY) | second.rlike(PAYMENT_KEY) | third.rlike(GENERIC), F.lit(False))
+    """Whether any pattern occurs, each looked for in the text as the ones before left it. The mask itself is no key, so a masked text differs."""
+    masked = _keys_masked(text, mask)
+    return F.coalesce((masked != text) | _generic_found(masked), F.lit(False))

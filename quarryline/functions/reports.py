@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,24 @@ NOT_READY = "CRITICAL FAIL (AUDIT BLOCKED)"
 AT_RISK = "AT RISK (REMEDIATION REQUIRED)"
 READY = "READY"
 
+NO_NAME = "unknown.py"
+NO_REPORT, NO_FIX = "Analysis unavailable.", "Error generating fix."
+COMMENT = """
+🚨 **{product} Automated Review** 🚨
+
+We detected a **{severity}** severity vulnerability in this Pull Request.
+
+**Vulnerability Analysis:**
+{report}...
+
+✅ **Self-Healing Code Fix Generated:**
+```python
+{fix}
+```
+
+*Please review the generated secure code above and commit the changes to proceed.*
+    """
+
 WEBHOOK_CHARS, COMMENT_CHARS, SECRET_CHARS = 1500, 500, 72
 
 
@@ -111,11 +131,21 @@ def webhook_payload(report: Column) -> Column:
     return F.substring(report, 1, WEBHOOK_CHARS)
 
 
-def review_comment(severity: Column, report: Column, fix: Column) -> Column:
-    """The text that a pull request gets: severity, the first characters of the report, the fix."""
-    return F.concat(
-        F.lit("We detected a **"), severity, F.lit("** severity vulnerability in this Pull Request.\n\n**Vulnerability Analysis:**\n"), F.substring(F.coalesce(report, F.lit("Analysis unavailable.")), 1, COMMENT_CHARS), F.lit("...\n\n**Code Fix:**\n```\n"), F.coalesce(fix, F.lit("Error generating fix.")), F.lit("\n```\n")
-    )
+def build_failed(code: Column, found: Column) -> Column:
+    """Whether a build stops: the service did not answer with 200, or it found vulnerabilities; an answer without the flag stops nothing."""
+    return (code != 200) | F.coalesce(found, F.lit(False))
+
+
+def hashable(secret: Column) -> Column:
+    """The characters of a password that its hash takes in."""
+    return F.substring(secret, 1, SECRET_CHARS)
+
+
+def review_comment(severity: Column, report: Column, fix: Column, product: str = "Code") -> Column:
+    """The text that a pull request gets: COMMENT with the severity, the first characters of the report, and the fix."""
+    values = {"product": F.lit(product), "severity": F.coalesce(severity, F.lit("None")), "report": F.substring(F.coalesce(report, F.lit(NO_REPORT)), 1, COMMENT_CHARS), "fix": F.coalesce(fix, F.lit(NO_FIX))}
+    parts = re.split(r"\{(\w+)\}", COMMENT)
+    return F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)])
 
 
 def fixed_1(value: Column) -> Column:

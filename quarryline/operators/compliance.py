@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions.reports import readiness
+from quarryline.names import fresh
 
 STARTING_SCORE = 100
 DEFAULT = "default_vulnerability"
@@ -34,8 +35,7 @@ def items(scans: DataFrame, key: str = "scan_id", column: str = "items") -> Data
     """
     # variant_explode takes objects apart too, so what is no array becomes an empty one first
     parsed = scans.select(key, F.try_parse_json(F.col(column)).alias("v")).withColumn("v", F.when(F.schema_of_variant("v").startswith("ARRAY"), F.col("v")))
-    parsed.createOrReplaceTempView("__quarryline_scans")
-    each = scans.sparkSession.sql(f"SELECT `{key}`, e.pos, e.value AS item FROM __quarryline_scans, LATERAL variant_explode(v) AS e")
+    each = parsed.lateralJoin(scans.sparkSession.tvf.variant_explode(F.col("v").outer())).select(key, "pos", F.col("value").alias("item"))
     item, kind = F.col("item"), F.schema_of_variant(F.col("item"))
     type_kind = F.schema_of_variant(F.try_variant_get(item, "$.type", "variant"))
     described = F.try_variant_get(item, "$.description", "variant")
@@ -56,9 +56,10 @@ def violations(found: DataFrame) -> DataFrame:
 
 def scores(scans: DataFrame, found: DataFrame, key: str = "scan_id", starting_score: int = STARTING_SCORE) -> DataFrame:
     """key, score, status, processed for every scan, those without findings too."""
-    sums = violations(found).groupBy(key).agg(F.sum("score_penalty").alias("__p"), F.count("*").alias("__n"))
-    score = F.greatest(F.lit(0).cast("long"), F.lit(starting_score) - F.coalesce("__p", F.lit(0)))
-    return scans.select(key).join(sums, key, "left").select(key, score.alias("score"), readiness(score).alias("status"), F.coalesce("__n", F.lit(0)).alias("processed"))
+    penalties, number = fresh("penalties", scans.select(key)), fresh("number", scans.select(key))
+    sums = violations(found).groupBy(key).agg(F.sum("score_penalty").alias(penalties), F.count("*").alias(number))
+    score = F.greatest(F.lit(0).cast("long"), F.lit(starting_score) - F.coalesce(penalties, F.lit(0)))
+    return scans.select(key).join(sums, key, "left").select(key, score.alias("score"), readiness(score).alias("status"), F.coalesce(number, F.lit(0)).alias("processed"))
 
 
 def reports(scans: DataFrame, found: DataFrame, key: str = "scan_id", starting_score: int = STARTING_SCORE) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.reports import fixed_1, severity_of_report
+from quarryline.names import fresh
 
 HEALED = "Auto-Healed"
 
@@ -28,16 +29,25 @@ def recent(scans: DataFrame, created: str, key: str, n: int = 5) -> DataFrame:
     return scans.orderBy(F.col(created).desc(), F.col(key).desc()).limit(n)
 
 
+def vault_by_org(vault: DataFrame, *, org: str, created: str, key: str) -> DataFrame:
+    """The vault rows of each organization, newest first by ``position``, once for all of its users."""
+    return vault.where(F.col(org).isNotNull()).withColumn("position", F.row_number().over(Window.partitionBy(org).orderBy(F.col(created).desc(), F.col(key).desc())))
+
+
 def vault_of_user(users: DataFrame, vault: DataFrame, *, org: str, created: str, key: str) -> DataFrame:
-    """Each user's vault rows through the organization, newest first by ``position``; users without one have none.
+    """The vault rows of the users who ask, newest first by ``position``; users without an organization have none.
 
-    Positions are those within the organization, so they are ranked there once,
-    not again for each user.
+    The result has a row for each user and row of the vault: for all users at
+    once, take ``vault_by_org`` and the users' organizations.
     """
-    from pyspark.sql import Window
+    return users.join(vault_by_org(vault, org=org, created=created, key=key), org)
+
 
-    placed = vault.withColumn("position", F.row_number().over(Window.partitionBy(org).orderBy(F.col(created).desc(), F.col(key).desc())))
-    return users.join(placed, org)
+def members(organizations: DataFrame, users: DataFrame, vault: DataFrame, *, org: str, org_key: str) -> DataFrame:
+    """Organizations with n_users and n_vault, 0 where they have none; both sides are counted before they are joined."""
+    n_users, n_vault = fresh("n_users", organizations), fresh("n_vault", organizations)
+    counted = lambda df, name: df.where(F.col(org).isNotNull()).groupBy(F.col(org).alias(org_key)).agg(F.count("*").alias(name))
+    return organizations.join(counted(users, n_users), org_key, "left").join(counted(vault, n_vault), org_key, "left").fillna(0, [n_users, n_vault])
 
 
 def profiles(users: DataFrame, organizations: DataFrame, *, org: str, org_key: str) -> DataFrame:
@@ -47,17 +57,18 @@ def profiles(users: DataFrame, organizations: DataFrame, *, org: str, org_key: s
 
 def conflicts(candidates: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """The candidates with status conflict (their key is taken) or new."""
-    taken = existing.select(key).where(F.col(key).isNotNull()).distinct().withColumn("__taken", F.lit(True))
-    return candidates.join(taken, key, "left").withColumn("status", F.when(F.col("__taken"), "conflict").otherwise("new")).drop("__taken")
+    name = fresh("taken", candidates)
+    taken = existing.select(key).where(F.col(key).isNotNull()).distinct().withColumn(name, F.lit(True))
+    return candidates.join(taken, key, "left").withColumn("status", F.when(F.col(name), "conflict").otherwise("new")).drop(name)
 
 
 def authenticated(requests: DataFrame, users: DataFrame, key_prefix: str) -> tuple[DataFrame, DataFrame]:
     """(requests with their user, requests that nobody matches): by api_key where the credential has the prefix, else by email."""
-    by_key = F.col("credential").startswith(key_prefix)
-    keyed = requests.withColumns({"__kind": F.when(by_key, "key").otherwise("email")})
-    ids = users.select(F.explode(F.array(F.struct(F.lit("key").alias("__kind"), F.col("api_key").alias("credential")), F.struct(F.lit("email").alias("__kind"), F.col("email").alias("credential")))).alias("c"), F.struct(*users.columns).alias("user")).select("c.*", "user")
-    on = ["__kind", "credential"]
-    return keyed.join(ids, on).drop("__kind"), keyed.join(ids, on, "left_anti").drop("__kind")
+    by_key, kind = F.col("credential").startswith(key_prefix), fresh("kind", requests)
+    keyed = requests.withColumn(kind, F.when(by_key, "key").otherwise("email"))
+    ids = users.select(F.explode(F.array(F.struct(F.lit("key").alias(kind), F.col("api_key").alias("credential")), F.struct(F.lit("email").alias(kind), F.col("email").alias("credential")))).alias("c"), F.struct(*users.columns).alias("user")).select("c.*", "user")
+    on = [kind, "credential"]
+    return keyed.join(ids, on).drop(kind), keyed.join(ids, on, "left_anti").drop(kind)
 
 
 def finding_counts(scans: DataFrame, *keys: str) -> DataFrame:

@@ -14,11 +14,14 @@ match.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.reports import patch_range
+
 SECRET, EVAL = "hardcoded_secret", "insecure_eval_call"
 ROWS = "node_type STRING, code_snippet STRING, start_line INT, end_line INT, risk_level STRING"
 
@@ -103,23 +106,25 @@ def _regex_may_start(before: list[Token]) -> bool:
 _OPEN, _CLOSE = frozenset("([{"), frozenset(")]}")
 
 
-def _closing(tokens: list[Token], i: int) -> int | None:
-    """The index of the token that closes the bracket at i."""
-    depth = 0
-    for k in range(i, len(tokens)):
-        t = tokens[k]
+def _closings(tokens: list[Token]) -> list[int | None]:
+    """For each token that opens a bracket, the index of the one that closes it; else null."""
+    out: list[int | None] = [None] * len(tokens)
+    open_: list[int] = []
+    for k, t in enumerate(tokens):
         if t.kind == "template":
-            depth += (t.text[0] == "`" or len(t.text) > 0) and t.text.endswith("${")
-            depth -= t.text.startswith("}")
-        elif t.kind == "sign":
-            depth += t.text in _OPEN
-            depth -= t.text in _CLOSE
-        if depth == 0:
-            return k
-    return None
+            opens, closes = t.text.endswith("${"), t.text.startswith("}")
+            if opens and closes:  # a piece between two values of one template
+                continue
+        else:
+            opens, closes = t.kind == "sign" and t.text in _OPEN, t.kind == "sign" and t.text in _CLOSE
+        if opens:
+            open_.append(k)
+        elif closes and open_:
+            out[open_.pop()] = k
+    return out
 
 
-def _declarators(tokens: list[Token], i: int) -> Iterator[tuple[Token, Token]]:
+def _declarators(tokens: list[Token], closing: list[int | None], i: int) -> Iterator[tuple[Token, Token]]:
     """(name, string) of the declarators after the keyword at i."""
     k = i + 1
     while k < len(tokens):
@@ -127,7 +132,7 @@ def _declarators(tokens: list[Token], i: int) -> Iterator[tuple[Token, Token]]:
         if name is None:
             if tokens[k].text not in ("{", "["):
                 return
-            end = _closing(tokens, k)
+            end = closing[k]
             if end is None:
                 return
             k = end
@@ -136,13 +141,13 @@ def _declarators(tokens: list[Token], i: int) -> Iterator[tuple[Token, Token]]:
             value, after = tokens[k + 1 : k + 2], tokens[k + 2 : k + 3]
             if name and value and value[0].kind == "string" and not (after and (after[0].kind == "template" or after[0].text in _GOES_ON)):
                 yield name, value[0]
-            k = _value_end(tokens, k + 1)
+            k = _value_end(tokens, closing, k + 1)
         if k >= len(tokens) or tokens[k].text != ",":
             return
         k += 1
 
 
-def _value_end(tokens: list[Token], k: int) -> int:
+def _value_end(tokens: list[Token], closing: list[int | None], k: int) -> int:
     """The index of the comma or end after the expression at k."""
     first = k
     while k < len(tokens):
@@ -152,7 +157,7 @@ def _value_end(tokens: list[Token], k: int) -> int:
         if t.kind == "sign" and t.text in (",", ";", ")", "]", "}"):
             return k
         if (t.kind == "sign" and t.text in _OPEN) or (t.kind == "template" and t.text.startswith("`") and t.text.endswith("${")):
-            end = _closing(tokens, k)
+            end = closing[k]
             if end is None:
                 return len(tokens)
             k = end
@@ -169,21 +174,23 @@ def scan(code: str | None) -> list[tuple[str, str, int, int, str]]:
     if not code:
         return []
     tokens, found = lex(code), []
+    closing = _closings(tokens)
     for i, t in enumerate(tokens):
         if t.kind != "name" or (i and tokens[i - 1].text in (".", "?.")):
             continue
         if t.text in ("var", "let", "const"):
-            for name, value in _declarators(tokens, i):
+            for name, value in _declarators(tokens, closing, i):
                 lower = name.text.lower()
                 if "password" in lower or "secret" in lower:
                     found.append((name.start, value.end, SECRET, "High"))
         elif t.text == "eval" and not (i and tokens[i - 1].text in ("new", "function", "class") or i > 1 and tokens[i - 1].text == "*" and tokens[i - 2].text == "function"):
             k = i + 2 if tokens[i + 1 : i + 2] and tokens[i + 1].text == "?." else i + 1
-            if k < len(tokens) and tokens[k].text == "(" and (end := _closing(tokens, k)) is not None:
+            if k < len(tokens) and tokens[k].text == "(" and (end := closing[k]) is not None:
                 after = tokens[end + 1] if end + 1 < len(tokens) else None
                 if not (after and after.text == "{" and not after.newline):  # a method of that name
                     found.append((t.start, tokens[end].end, EVAL, "Critical"))
-    line = lambda at: code.count("\n", 0, at) + 1
+    starts = [0, *(m.end() for m in re.finditer("\n", code))] if found else []
+    line = lambda at: bisect_right(starts, at)
     return [(kind, code[a:b], line(a), line(b), risk) for a, b, kind, risk in sorted(found)]
 
 
@@ -223,3 +230,14 @@ def register_udtf(spark, name: str = "scan_js") -> None:
 def patched(found: DataFrame, patches: DataFrame, *keys: str) -> DataFrame:
     """Hotspots with their patch by position in the file: an equi join, null where there is none."""
     return found.join(patches.withColumnRenamed("hotspot_index", "pos"), [*keys, "pos"], "left")
+
+
+def editor_ranges(found: DataFrame, patches: DataFrame, files: DataFrame, *keys: str, code: str = "code") -> DataFrame:
+    """keys, pos, start_line, start_char, end_line, end_char of each patch in an editor's units: lines from 0, UTF-16 units.
+
+    A patch of a hotspot that there is none of has no row.
+    """
+    line = F.get(F.split(F.col(code), "\r\n|\r|\n"), F.col("start_line") - 1)
+    placed = patched(found, patches, *keys).where(F.col("original_code").isNotNull()).join(files.select(*keys, code), list(keys))
+    at = patch_range(line, F.col("original_code"))
+    return placed.select(*keys, "pos", (F.col("start_line") - 1).alias("start_line"), at["start"].alias("start_char"), (F.col("end_line") - 1).alias("end_line"), at["end"].alias("end_char"))

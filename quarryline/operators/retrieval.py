@@ -5,27 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.functions.reports import context_text, file_id, tokens
-
-#: A query side of so many (query, token) rows at most is broadcast.
-BROADCAST_ROWS = 500_000
+from quarryline.functions.reports import NO_NAME, context_text, file_id, tokens
+from quarryline.names import fresh
 
 
 def latest_files(files: DataFrame) -> DataFrame:
     """repo_id, file_id, filename, content, place: the last content of each file, in the place of its first.
 
-    files: repo_id, filename, content, seq. A missing file name is
-    ``unknown.py`` and missing content empty.
+    files: repo_id, filename, content, seq (anything that has an order). A null
+    file name is that of ``sources.tables.ingest_requests`` for a missing one,
+    and null content is empty.
     """
-    named = files.withColumns({"filename": F.coalesce("filename", F.lit("unknown.py")), "content": F.coalesce("content", F.lit(""))})
+    named = files.withColumns({"filename": F.coalesce("filename", F.lit(NO_NAME)), "content": F.coalesce("content", F.lit(""))})
     return named.groupBy("repo_id", file_id(F.col("filename")).alias("file_id")).agg(F.max_by(F.struct("filename", "content"), "seq").alias("f"), F.min("seq").alias("place")).select("repo_id", "file_id", "f.*", "place")
 
 
 def term_counts(files: DataFrame, *keys: str, text: Column | str = "content") -> DataFrame:
     """keys, token, n, total for each distinct token of each row."""
     text = F.col(text) if isinstance(text, str) else text
-    found = files.select(*keys, tokens(text).alias("__t")).select(*keys, F.size("__t").cast("long").alias("total"), F.explode("__t").alias("token"))
-    return found.groupBy(*keys, "token").agg(F.count("*").alias("n"), F.first("total").alias("total"))
+    s, at = fresh("sorted", files.select(*keys)), fresh("starts", files.select(*keys))
+    # counted within the row: the sorted tokens are cut where they change
+    ordered = files.select(*keys, F.array_sort(tokens(text)).alias(s)).where(F.size(s) > 0)
+    places = F.sequence(F.lit(0), F.size(s) - 1)
+    starts = ordered.select(*keys, s, F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))).alias(at))
+    entries = F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("token"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("n")))
+    return starts.select(*keys, F.size(s).cast("long").alias("total"), F.inline(entries)).select(*keys, "token", "n", "total")
 
 
 def query_counts(queries: DataFrame, key: str, text: str) -> DataFrame:
@@ -37,11 +41,10 @@ def scores(index: DataFrame, queries: DataFrame, key: str, *file_keys: str) -> D
     """key, file_keys, score: the query's tokens, with multiplicity, times the term frequencies.
 
     The sum is over whole numbers and divided once, so it does not depend on
-    the order of the rows. The query side is small in practice; it is broadcast
-    only after its rows are counted.
+    the order of the rows. Spark broadcasts the query side where its size lets
+    it; then nothing is shuffled but the matches' sums.
     """
-    small = F.broadcast(queries) if queries.count() <= BROADCAST_ROWS else queries
-    return index.join(small, "token").groupBy(key, *file_keys).agg((F.sum(F.col("qn") * F.col("n")) / F.first("total")).alias("score"))
+    return index.join(queries, "token").groupBy(key, *file_keys).agg((F.sum(F.col("qn") * F.col("n")) / F.first("total")).alias("score"))
 
 
 def top_k(scored: DataFrame, key: str, place: str, k: int) -> DataFrame:

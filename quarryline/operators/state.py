@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.names import fresh
+
 FREE_SCANS = 5
 
 
@@ -14,9 +16,10 @@ def cache_hits(rows: DataFrame, keys: tuple[str, ...] = ("code_hash", "is_fix"),
     The first completed row of each key is aggregated before the shuffle and
     joined back, so a key that very many rows share gathers nothing.
     """
-    first = rows.where("status = 'completed'").groupBy(*keys).agg(F.min(order).alias("__first"))
-    hit = F.coalesce(F.col("__first") < F.col(order), F.lit(False))
-    return rows.join(first, list(keys), "left").withColumns({"hit": hit, "hit_id": F.when(hit, F.col("__first"))}).drop("__first")
+    name = fresh("first", rows)
+    first = rows.where("status = 'completed'").groupBy(*keys).agg(F.min(order).alias(name))
+    hit = F.coalesce(F.col(name) < F.col(order), F.lit(False))
+    return rows.join(first, list(keys), "left").withColumns({"hit": hit, "hit_id": F.when(hit, F.col(name))}).drop(name)
 
 
 def cached(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -28,7 +31,8 @@ def cached(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]
 def latest(events: DataFrame, key: str, *order: str) -> DataFrame:
     """The last row of each key; partial maxima keep hot keys small."""
     others = [c for c in events.columns if c != key]
-    return events.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("__last")).select(key, "__last.*")
+    last = fresh("last", events)
+    return events.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(*order)).alias(last)).select(key, f"{last}.*")
 
 
 def job_status(jobs: DataFrame) -> DataFrame:
@@ -45,8 +49,15 @@ def admitted_scans(requests: DataFrame, *, user: str, order: tuple[str, ...], ke
     turns into a group limit before the shuffle.
     """
     first = Window.partitionBy(user).orderBy(*order)
-    within = requests.where(~premium).withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= limit).where(used + F.col("__n") <= limit).select(key, F.lit(True).alias("__in"))
-    return requests.join(within, key, "left").withColumn("accepted", ~is_scan | premium | F.coalesce("__in", F.lit(False))).drop("__in")
+    n, found = fresh("n", requests), fresh("within", requests)
+    within = requests.where(~premium).withColumn(n, F.row_number().over(first)).where(F.col(n) <= limit).where(used + F.col(n) <= limit).select(key, F.lit(True).alias(found))
+    return requests.join(within, key, "left").withColumn("accepted", ~is_scan | premium | F.coalesce(found, F.lit(False))).drop(found)
+
+
+def scan_counts(requests: DataFrame, *, user: str, order: tuple[str, ...], key: str, is_scan: Column, premium: Column, used: Column, limit: int = FREE_SCANS) -> DataFrame:
+    """user, scan_count: what was used before and every accepted request of the user."""
+    judged = admitted_scans(requests, user=user, order=order, key=key, is_scan=is_scan, premium=premium, used=used, limit=limit)
+    return judged.groupBy(user).agg((F.max(used) + F.count_if("accepted")).alias("scan_count"))
 
 
 def round_robin(rows: DataFrame, n_keys: int, *order: str) -> DataFrame:

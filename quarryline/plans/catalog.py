@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions import redaction, reports
-from quarryline.operators import compliance, dashboard, hotspots, responder, retrieval, state, webhooks
+from quarryline.operators import compliance, dashboard, responder, retrieval, state, webhooks
+from quarryline.plans import workflows
 from quarryline.sources.tables import table
 from quarryline.streaming import jobs
 
@@ -104,9 +105,10 @@ def recent_scans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def org_vault(spark: SparkSession, sf: str) -> DataFrame:
-    users = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 10 != 0, F.col("c_nationkey")).alias("org_id"))
-    vault = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("org_id"), "s_suppkey", "s_acctbal")
-    return dashboard.vault_of_user(users, vault, org="org_id", created="s_acctbal", key="s_suppkey").select("c_custkey", "s_suppkey", "position")
+    """The vault of each organization once; a user's is that of the organization that ``user_profile`` gives."""
+    owners = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 10 != 0, F.col("c_nationkey")).alias("org_id"))
+    vault = table(spark, sf, "orders").join(owners, F.col("o_custkey") == F.col("c_custkey")).select("org_id", "o_orderkey", "o_orderdate")
+    return dashboard.vault_by_org(vault, org="org_id", created="o_orderdate", key="o_orderkey").select("org_id", "o_orderkey", "position")
 
 
 def user_profile(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,12 +136,6 @@ def pdf_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.sha2(reports.latin1(F.col("text")), 256).alias("sanitized_sha256"))
 
 
-def script_hotspots(spark: SparkSession, sf: str) -> DataFrame:
-    scripts = table(spark, sf, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*>(.*?)</script>"), F.lit(1))).alias("script", "code"))
-    probe = F.concat(F.col("code"), F.lit("\nconst page_secret = 'x';\neval(t);"))  # the pages' own scripts have no hotspots
-    return hotspots.hotspots(scripts.withColumn("code", probe), "page_id", "script")
-
-
 def responder_failover(spark: SparkSession, sf: str) -> DataFrame:
     """Four stub providers, each failing for some requests."""
     up = lambda name, every: F.when(F.col("event_id") % every != 0, F.lit(name))
@@ -165,9 +161,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         redact_documents, secret_hits_by_source, severity_breakdown, ci_gate, cache_hits, term_frequency, retrieve_topk, prompt_context, compliance_score, compliance_violations, quota_admission, dashboard_summary,
-        recent_scans, org_vault, user_profile, signup_conflicts, latest_job_state, webhook_route, pdf_text, script_hotspots, responder_failover, retention, findings_by_window, findings_rollup,
+        recent_scans, org_vault, user_profile, signup_conflicts, latest_job_state, webhook_route, pdf_text, responder_failover, retention, findings_by_window, findings_rollup,
     )
-}
+} | workflows.QUERIES
 
 _GENERIC = r"""(?i)(?:password|secret|api_key|token|auth)[\s\x1c-\x1f=:]+['"]([^'"]+)['"]""".replace("'", "''")
 _REDACTED = f"""
@@ -183,7 +179,7 @@ _ORDERS = """
                     CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS is_fix FROM orders)"""
 _TYPES = """
  found AS (SELECT event_id, user_id AS scan_id, CASE event_type WHEN 'error' THEN 'hardcoded_secret' WHEN 'signup' THEN 'sql_injection' WHEN 'purchase' THEN 'xss' WHEN 'click' THEN 'insecure_eval_call' END AS vulnerability_type
-           FROM events WHERE event_type IN ('error', 'signup', 'purchase', 'click') AND event_id % 7 < 2),
+           FROM events WHERE event_type IN ('error', 'signup', 'purchase', 'click')),
  dim(mapped, soc2, gdpr, iso27001, penalty) AS (VALUES {rows}),
  mapped AS (SELECT f.*, d.* FROM found f JOIN dim d ON d.mapped = CASE WHEN f.vulnerability_type IN (SELECT mapped FROM dim) THEN f.vulnerability_type ELSE 'default_vulnerability' END)""".format(
     rows=", ".join(str(row) for row in compliance.DIMENSION)
@@ -224,8 +220,8 @@ ORACLE_SQL = {
         SELECT event_id, user_id, event_type = 'click' OR user_id % 10 = 0 OR user_id % 3 + rn <= 5 AS accepted FROM r""",
     "dashboard_summary": "SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS healed, count(*) FILTER (o_orderstatus = 'F') / count(*) * 100 AS resolution_rate FROM orders",
     "recent_scans": "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 5",
-    "org_vault": """WITH v AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey DESC) AS position FROM supplier)
-        SELECT c_custkey, s_suppkey, CAST(position AS INTEGER) AS position FROM customer JOIN v ON c_nationkey = s_nationkey WHERE c_custkey % 10 <> 0""",
+    "org_vault": """SELECT c_nationkey AS org_id, o_orderkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS INTEGER) AS position
+        FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 10 <> 0""",
     "user_profile": "SELECT c_custkey, c_name, n_name AS org_name FROM customer LEFT JOIN nation ON n_nationkey = CASE WHEN c_custkey % 10 <> 0 THEN c_nationkey END",
     "signup_conflicts": "SELECT c_custkey AS key, CASE WHEN c_custkey IN (SELECT user_id FROM events) THEN 'conflict' ELSE 'new' END AS status FROM customer",
     "latest_job_state": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
@@ -238,4 +234,4 @@ ORACLE_SQL = {
         CASE WHEN event_id % 13 = 0 THEN 'Rate Limit Exceeded' WHEN event_id % 17 = 0 THEN 'Error' ELSE 'Auto-Healed' END AS status FROM events WHERE event_type <> 'purchase'""",
     "findings_by_window": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "findings_rollup": "SELECT l_returnflag AS vulnerability_type, l_linestatus AS risk_level, count(*) AS n, CAST(grouping(l_returnflag) * 2 + grouping(l_linestatus) AS BIGINT) AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
-}
+} | workflows.ORACLE_SQL

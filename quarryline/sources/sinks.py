@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.reports import webhook_payload
 
-RETRIES = 3
+#: How often, and how many seconds later, a delivery is tried again.
+RETRIES, RETRY_SECONDS = 3, 60
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -31,3 +32,8 @@ def retried(attempts: DataFrame, retries: int = RETRIES) -> tuple[DataFrame, Dat
     failed = F.col("error").isNotNull()
     again = failed & F.col("transient") & (F.col("attempt") < retries)
     return attempts.where(~failed), attempts.where(again).withColumn("attempt", F.col("attempt") + 1), attempts.where(failed & ~again)
+
+
+def due(attempts: DataFrame, failed_at: str, seconds: int = RETRY_SECONDS) -> DataFrame:
+    """Adds not_before: the time of the failure and the fixed delay."""
+    return attempts.withColumn("not_before", F.col(failed_at) + F.make_dt_interval(secs=F.lit(seconds)))

@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.functions.reports import NO_NAME
+from quarryline.schemas import SCAN_REQUEST
+
+T = TypeVar("T")
+#: How often a connection is tried, and the seconds between.
+ATTEMPTS, ATTEMPT_SECONDS = 5, 5.0
 #: Connections at once, as many as a pool with overflow gives.
 CONNECTIONS = 30
 
@@ -21,8 +31,28 @@ def json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def connected(connect: Callable[[], T], *, transient: tuple[type[Exception], ...] = (OSError,), attempts: int = ATTEMPTS, seconds: float = ATTEMPT_SECONDS, sleep: Callable[[float], None] = time.sleep) -> T:
+    """What ``connect`` returns, tried again after a fixed delay while it raises a transient error; the last error is raised, and any other at once."""
+    for attempt in range(1, attempts + 1):
+        try:
+            return connect()
+        except transient:
+            if attempt == attempts:
+                raise
+            sleep(seconds)
+    raise ValueError("attempts must be 1 or more")
+
+
+def scan_requests(spark: SparkSession, path: str) -> DataFrame:
+    """Code payloads as JSON lines, one request each."""
+    return json(spark, path, SCAN_REQUEST)
+
+
 def database(spark: SparkSession, url: str, name: str, *, key: str | None = None, low: int = 0, high: int = 0, **options: str) -> DataFrame:
-    """A table over JDBC, read by ranges of ``key`` with CONNECTIONS connections at most. The driver's jar must be on the class path."""
+    """A table over JDBC, read by ranges of ``key`` with CONNECTIONS connections at most. The driver's jar must be on the class path.
+
+    Its schema is read at once, so an unreachable server is an error here; ``connected`` tries again.
+    """
     reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
     if key:
         reader = reader.options(partitionColumn=key, lowerBound=str(low), upperBound=str(high), numPartitions=str(CONNECTIONS))
@@ -30,15 +60,16 @@ def database(spark: SparkSession, url: str, name: str, *, key: str | None = None
 
 
 def code_files(spark: SparkSession, path: str, repo_id: str) -> DataFrame:
-    """Whole text files as repo_id, filename, content, seq (by file name)."""
-    found = spark.read.text(path, wholetext=True).select(F.lit(repo_id).alias("repo_id"), F.col("_metadata.file_path").alias("filename"), F.col("value").alias("content"))
-    return found.withColumn("seq", F.xxhash64("filename"))
+    """Whole text files as repo_id, filename, content, seq: the order of ingestion, which is that of modification, then of the name."""
+    seq = F.struct(F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("path"))
+    return spark.read.text(path, wholetext=True).select(F.lit(repo_id).alias("repo_id"), F.col("_metadata.file_path").alias("filename"), F.col("value").alias("content"), seq.alias("seq"))
 
 
 def ingest_requests(requests: DataFrame) -> DataFrame:
-    """repo_id, filename, content, seq from rows of (request_id, repo_id, files: array of maps)."""
+    """repo_id, filename, content, seq from rows of (request_id, repo_id, files: array of maps); defaults stand where a key is missing, not where it is null."""
     each = requests.select("request_id", "repo_id", F.posexplode("files").alias("pos", "f"))
-    return each.select("repo_id", F.try_element_at("f", F.lit("filename")).alias("filename"), F.try_element_at("f", F.lit("content")).alias("content"), (F.col("request_id") * (1 << 20) + F.col("pos")).alias("seq"))
+    get = lambda key, default: F.when(F.map_contains_key("f", F.lit(key)), F.try_element_at("f", F.lit(key))).otherwise(F.lit(default)).alias(key)
+    return each.select("repo_id", get("filename", NO_NAME), get("content", ""), F.struct("request_id", "pos").alias("seq"))
 
 
 def saved_files(events: DataFrame) -> DataFrame:

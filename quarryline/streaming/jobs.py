@@ -2,14 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.schemas import EVENTS
+from quarryline.schemas import EVENTS, SCAN_REQUEST
+from quarryline.sources.sinks import append_once
 
 LATENESS = "10 minutes"
 
 
+def request_stream(spark: SparkSession, folder: str, files_at_once: int = 64) -> DataFrame:
+    """Code payloads as they arrive in a folder, as JSON lines."""
+    return spark.readStream.schema(SCAN_REQUEST).option("maxFilesPerTrigger", files_at_once).json(folder)
+
+
+def run_jobs(requests: DataFrame, responder: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
+    """The job runner: every request becomes a completed or failed row under ``path``, each batch once however often it is run.
+
+    Returns the started query; a restart with the same checkpoint goes on where it stopped.
+    """
+
+    def finish(batch: DataFrame, number: int) -> None:
+        answered = responder(batch)
+        status = F.when(F.col("error").isNull(), "completed").otherwise("failed")
+        append_once(path)(answered.select("request_id", status.alias("status"), F.coalesce("reply", "error").alias("report_text")), number)
+
+    return requests.writeStream.foreachBatch(finish).option("checkpointLocation", checkpoint).start()
+
+
 def event_stream(spark: SparkSession, folder: str, schema: str = EVENTS, files_at_once: int = 64) -> DataFrame:
     """Parquet files as they arrive in a folder."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(folder)
@@ -44,17 +66,14 @@ def quota(events: DataFrame, *, user: str, key: str, ts: str, is_scan: Column, p
     rows = events.withWatermark(ts, lateness).select(F.col(user).alias("user"), F.col(key).alias("key"), F.col(ts).alias("ts"), is_scan.alias("scan"), premium.alias("premium"), used.cast("long").alias("used"))
 
     def admit(group, batches, state):
+        import numpy as np
         import pandas as pd
 
-        count = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["ts", "key"])
-        out = []
-        for row in rows.itertuples():
-            count = row.used if count is None else count
-            ok = not row.scan or row.premium or count < limit
-            count += bool(ok)
-            out.append((group[0], row.key, ok))
-        state.update((int(count),))
-        yield pd.DataFrame(out, columns=["user", "key", "accepted"])
+        count = state.get[0] if state.exists else int(rows["used"].iloc[0])
+        # below the limit every row counts, so a row's number tells whether the limit is reached
+        ok = ~rows["scan"] | rows["premium"] | (count + np.arange(len(rows)) < limit)
+        state.update((count + int(ok.sum()),))
+        yield pd.DataFrame({"user": group[0], "key": rows["key"], "accepted": ok})
 
     return rows.groupBy("user").applyInPandasWithState(admit, "user long, key long, accepted boolean", "count long", "append", "NoTimeout")

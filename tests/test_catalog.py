@@ -35,8 +35,7 @@ def test_against_sql(spark, duck, name):
 
 def test_all_are_registered(spark):
     assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
-    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"script_hotspots"}
-    assert catalog.script_hotspots(spark, SF).count() > 0
+    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
 
 
 def plan(df):

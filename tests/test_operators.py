@@ -5,13 +5,13 @@ import random
 from pyspark.sql import functions as F
 
 from quarryline.functions.reports import AT_RISK, NOT_READY, READY
-from quarryline.operators import compliance, dashboard, responder, retrieval, state, webhooks
+from quarryline.operators import compliance, dashboard, hotspots, responder, retrieval, state, webhooks
 from quarryline.sources import sinks, tables
 
 FILES = [
-    ("r", "utils/auth.py", "def verify_token(token):\n    secret = 'SUPER_SECRET_KEY'\n    return token == secret", 1),
-    ("r", "routes/api.py", "from utils.auth import verify_token\ndef login():\n    pass", 2),
-    ("r", "docs/readme.md", "This is a simple documentation file with no code.", 3),
+    ("r", "shop/cart.js", "export const total = items => items.map(price).reduce(sum); // items, total", 1),
+    ("r", "shop/price.js", "const price = item => item.net * rate", 2),
+    ("r", "notes.txt", "Nothing to do with money here.", 3),
 ]
 
 
@@ -21,10 +21,11 @@ def retrieve(spark, files, text, k=2, repo="r"):
 
 
 def test_retrieval(spark):
-    got = retrieve(spark, FILES, "verify_token(user_input_token)").orderBy("rank").collect()
-    assert [(r.filename, r.score) for r in got] == [("utils/auth.py", 7 / 11), ("routes/api.py", 1 / 3)]
-    text = retrieval.context(retrieve(spark, FILES, "verify_token(user_input_token)")).first().context
-    assert text.startswith("--- File: utils/auth.py ---\ndef verify_token") and "\n--- File: routes/api.py ---\n" in text
+    # cart.js: export const total items items map price reduce sum items total (11); price.js: const price item item net rate (6)
+    got = retrieve(spark, FILES, "total_of(items, price, items)").orderBy("rank").collect()
+    assert [(r.filename, r.score) for r in got] == [("shop/cart.js", (2 + 2 * 3 + 1) / 11), ("shop/price.js", 1 / 6)]
+    text = retrieval.context(retrieve(spark, FILES, "total_of(items, price, items)")).first().context
+    assert text.startswith("--- File: shop/cart.js ---\nexport const") and "\n--- File: shop/price.js ---\n" in text
     assert retrieve(spark, FILES, "a bc").count() == 0
     assert retrieve(spark, FILES, "token", repo="other").count() == 0
 
@@ -153,7 +154,7 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "code/a.py").write_text("x = 1\ny = 2\n")
     assert [r.content for r in tables.code_files(spark, str(tmp_path / "code"), "r").collect()] == ["x = 1\ny = 2\n"]
     asked = spark.createDataFrame([(1, "r", [{"filename": "f", "content": "c"}, {"content": "d"}])], "request_id long, repo_id string, files array<map<string,string>>")
-    assert [(r.filename, r.content) for r in tables.ingest_requests(asked).orderBy("seq").collect()] == [("f", "c"), (None, "d")]
+    assert [(r.filename, r.content) for r in tables.ingest_requests(asked).orderBy("seq").collect()] == [("f", "c"), ("unknown.py", "d")]
     saved = spark.createDataFrame([("javascript", " ", "a/b"), ("python", "x", "a\\c.js")], "language string, code string, path string")
     assert tables.saved_files(saved).count() == 1 and [r.filename for r in tables.scan_commands(saved).collect()] == ["c.js"]
     rows = spark.range(3).select("id")
@@ -169,3 +170,73 @@ def test_sources_and_sinks(spark, tmp_path):
     finished = spark.createDataFrame([("a", "r" * 2000)], "email string, report_text string")
     users = spark.createDataFrame([("a", "http://x"), ("b", None)], "email string, webhook_url string")
     assert [(r.url, len(r.payload)) for r in sinks.webhook_rows(finished, users).collect()] == [("http://x", 1500)]
+
+
+def test_defaults_only_where_a_key_is_missing(spark):
+    asked = spark.createDataFrame([(1, "r", [{"filename": "f", "content": None}, {}])], "request_id long, repo_id string, files array<map<string,string>>")
+    assert [(r.filename, r.content) for r in tables.ingest_requests(asked).orderBy("seq").collect()] == [("f", None), ("unknown.py", "")]
+
+
+def test_files_keep_the_order_of_ingestion(spark, tmp_path):
+    import os
+
+    for i, name in enumerate(["b.py", "a.py", "c.py"]):
+        (tmp_path / name).write_text("same words")
+        os.utime(tmp_path / name, (10**9 + i, 10**9 + i))
+    found = retrieval.retrieve(tables.code_files(spark, str(tmp_path), "r"), spark.createDataFrame([(1, "same")], "query_id int, code string"), repo="r")
+    assert [os.path.basename(r.filename) for r in found.orderBy("rank").collect()] == ["b.py", "a.py", "c.py"]
+
+
+def test_helper_columns_do_not_clash(spark):
+    extra = [F.lit("own").alias(c) for c in ("first", "n", "within", "last", "taken", "kind", "penalties", "number")]
+    rows = spark.createDataFrame([(1, "h", False, "completed", 1), (2, "h", False, "completed", 1)], "id int, code_hash string, is_fix boolean, status string, user int").select("*", *extra)
+    assert {(r.first, r.hit_id) for r in state.cache_hits(rows).select("first", "hit_id").collect()} == {("own", None), ("own", 1)}
+    assert state.latest(rows, "code_hash", "id").first()["last"] == "own"
+    judged = state.admitted_scans(rows, user="user", order=("id",), key="id", is_scan=F.lit(True), premium=F.lit(False), used=F.lit(4))
+    assert sorted((r.id, r.n, r.within, r.accepted) for r in judged.collect()) == [(1, "own", "own", True), (2, "own", "own", False)]
+    assert {r.taken for r in dashboard.conflicts(rows.withColumn("email", F.lit("a")), spark.createDataFrame([("a",)], "email string"), "email").collect()} == {"own"}
+
+
+def test_connections_are_tried_again():
+    waits, tries = [], []
+
+    def connect(fail):
+        tries.append(1)
+        if len(tries) <= fail:
+            raise OSError("unreachable")
+        return "up"
+
+    assert tables.connected(lambda: connect(2), sleep=waits.append) == "up" and waits == [5.0, 5.0]
+    tries.clear()
+    waits.clear()
+    try:
+        tables.connected(lambda: connect(9), sleep=waits.append)
+    except OSError:
+        assert len(tries) == 5 and len(waits) == 4
+    try:
+        tables.connected(lambda: int("x"), sleep=waits.append)
+    except ValueError:
+        assert len(waits) == 4
+
+
+def test_database(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    rows = spark.range(1000).select("id", (F.col("id") % 7).alias("n"))
+    rows.write.format("jdbc").options(url=url, dbtable="numbers", driver=driver).save()
+    whole = tables.connected(lambda: tables.database(spark, url, "numbers", driver=driver))
+    parted = tables.database(spark, url, "numbers", key="id", low=0, high=1000, driver=driver)
+    assert parted.rdd.getNumPartitions() == tables.CONNECTIONS
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parted.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_long_scripts_take_linear_time():
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        assert len(hotspots.scan("eval(" * n + "x" + ")" * n)) == n
+        assert len(hotspots.scan("let secret = 'x';\n" * n)) == n
+        return time.process_time() - start
+
+    seconds(100)
+    assert seconds(8000) < 20 * max(seconds(1000), 0.02)

@@ -54,3 +54,45 @@ def test_quota(spark, folder, tmp_path):
     stream = jobs.quota(jobs.event_stream(spark, folder).where(kept), ts="ts", limit=state.FREE_SCANS, **terms)
     got = {(r.key, r.accepted) for r in collected(spark, stream, "append", "quota", tmp_path).collect()}
     assert got == want
+
+
+def test_sliding_windows_and_sessions(spark, folder, tmp_path):
+    rows, stream = spark.read.parquet(folder), jobs.event_stream(spark, folder)
+    want = {tuple(r) for r in jobs.finding_windows(rows, "event_type", slide="30 minutes").collect()}
+    got = collected(spark, jobs.finding_windows(stream, "event_type", slide="30 minutes"), "complete", "sliding", tmp_path)
+    assert {tuple(r) for r in got.collect()} == want and sum(r[3] for r in want) == 2 * rows.count()
+    want = {tuple(r) for r in jobs.finding_sessions(rows, "user_id", gap="6 hours").collect()}
+    got = collected(spark, jobs.finding_sessions(jobs.event_stream(spark, folder), "user_id", gap="6 hours"), "complete", "sessions", tmp_path)
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_jobs_run_once_over_a_restart(spark, tmp_path):
+    """Requests arrive, the runner stops, more arrive, it goes on; a batch that is run again replaces itself."""
+    import json
+
+    from quarryline.operators import responder
+    from quarryline.sources import sinks, tables
+
+    where, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    where.mkdir()
+
+    def arrive(name, ids):
+        lines = [json.dumps({"request_id": i, "ts": "2024-01-01T00:00:00", "email": "a", "kind": "scan", "code": "raise-error" if i % 3 == 0 else f"x{i}", "filename": "f"}) for i in ids]
+        (where / name).write_text("\n".join(lines))
+
+    def run():
+        query = jobs.run_jobs(jobs.request_stream(spark, str(where)), responder.stub("code"), out, checkpoint)
+        query.processAllAvailable()
+        query.stop()
+
+    arrive("1.json", range(5))
+    run()
+    arrive("2.json", range(5, 9))
+    run()
+    run()
+    rows = spark.read.parquet(out).collect()
+    assert sorted((r.request_id, r.status) for r in rows) == [(i, "failed" if i % 3 == 0 else "completed") for i in range(9)]
+    again = spark.createDataFrame([(r.request_id, r.status, r.report_text) for r in rows if r.batch == 0], "request_id long, status string, report_text string")
+    sinks.append_once(out)(again, 0)
+    assert spark.read.parquet(out).count() == 9
+    assert tables.scan_requests(spark, str(where)).count() == 9
