@@ -202,20 +202,18 @@ def near(x, y, masks, max_bits: int):
     return left
 
 
-def linked_pairs(values, max_bits: int, labels=None):
+def linked_pairs(values, max_bits: int, labels):
     """Index pairs (i < j) of Gray-sorted distinct rows of words at max_bits differing bits or fewer, in pieces.
 
-    With labels, pairs of groups that lie in one and the same label are left out.
+    Pairs of groups that lie in one and the same label are left out.
     """
     import numpy as np
 
-    levels, bounds = tree(values), []
-    if labels is not None:
-        low = high = labels
-        for k in range(len(levels)):
-            cuts = np.arange(0, len(low), FANOUT if k else LEAF)
-            low, high = np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
-            bounds.append((low, high))
+    levels, bounds, low, high = tree(values), [], labels, labels
+    for k in range(len(levels)):
+        cuts = np.arange(0, len(low), FANOUT if k else LEAF)
+        low, high = np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
+        bounds.append((low, high))
     stack = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         depth, a, b = stack.pop()
@@ -223,10 +221,9 @@ def linked_pairs(values, max_bits: int, labels=None):
             half = len(a) // 2
             stack += [(depth, a[:half], b[:half]), (depth, a[half:], b[half:])]
             continue
-        if labels is not None:
-            low, high = bounds[depth]
-            open_ = ~((low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b]))
-            a, b = a[open_], b[open_]
+        low, high = bounds[depth]
+        open_ = ~((low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b]))
+        a, b = a[open_], b[open_]
         pattern, mask = levels[depth]
         keep = near((a, pattern), (b, pattern), mask, max_bits)
         a, b = a[keep], b[keep]
@@ -268,7 +265,7 @@ def forest(values, bounds: tuple[int, ...]):
 
         u, v = labels[x], labels[y]
         _, first = np.unique(np.minimum(u, v) * n + np.maximum(u, v), return_index=True)
-        for i in first.tolist():
+        for i in sorted(first.tolist()):
             p, q = find(int(u[i])), find(int(v[i]))
             if p != q:
                 root[max(p, q)] = min(p, q)
@@ -280,15 +277,22 @@ def forest(values, bounds: tuple[int, ...]):
             at = np.minimum(np.searchsorted(old, labels), len(old) - 1)
             labels = np.where(old[at] == labels, new[at], labels)
 
+    if n <= 4 * LEAF:  # every pair at once, the closest first
+        x, y = np.triu_indices(n, 1)
+        found = near((x, values), (y, values), None, bounds[-1])
+        if len(found):
+            x, y = x[found], y[found]
+            order = np.argsort(np.bitwise_count(values[x] ^ values[y]).sum(axis=1), kind="stable")
+            joined(x[order], y[order])
+        return np.array(out_a, dtype=np.int64), np.array(out_b, dtype=np.int64)
     for max_bits in bounds:
-        if n > 4 * LEAF:
-            for p in np.linspace(0, n - 1, PIVOTS).astype(np.int64):
-                every = np.arange(n)
-                found = near((every, values), (np.full(n, p), values), None, max_bits)
-                found = found[found != p]
-                if len(found):
-                    joined(np.full(len(found), p), found)
-        for x, y in linked_pairs(values, max_bits, labels if n > 4 * LEAF else None):
+        for p in np.linspace(0, n - 1, PIVOTS).astype(np.int64):
+            every = np.arange(n)
+            found = near((every, values), (np.full(n, p), values), None, max_bits)
+            found = found[found != p]
+            if len(found):
+                joined(np.full(len(found), p), found)
+        for x, y in linked_pairs(values, max_bits, labels):
             joined(x, y)
     return np.array(out_a, dtype=np.int64), np.array(out_b, dtype=np.int64)
 
@@ -450,8 +454,8 @@ def candidates(classes: DataFrame) -> DataFrame:
     return nodes.repartition("k", "v", "s", "w").sortWithinPartitions("k", "v", "s", "w").mapInArrow(_searcher(bounds, WIDE_WORDS), "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """Those of the pairs a, b of keys whose whole sets have a similarity of FIFTHS / 5 or more."""
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Those of the pairs a, b of keys whose whole sets have a similarity of FIFTHS / 5 or more; ``one`` of ``classes`` names a document of each key."""
 
     def compute(batches):
         import pyarrow as pa
@@ -461,7 +465,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, names: tuple[st
             yield pa.RecordBatch.from_arrays([pa.array([_set_key(x) for x in found], type=pa.int64()), pa.array([x.view("<i8") for x in found], type=pa.list_(pa.int64()))], names=["key", "items"])
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    one = written(rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*names)).alias("one")).select("one.*"), "similar-wanted")
+    one = written(classes.join(wanted, "key", "left_semi").select("one.*"), "similar-wanted")
     texts = docs.join(one, list(names), "left_semi").dropDuplicates(list(names)).select("text")
     sets = written(texts.mapInArrow(compute, "key long, items array<long>"), "similar-sets")
     side = lambda c: sets.select(F.col("key").alias(c), F.col("items").alias(f"set_{c}"))
@@ -473,9 +477,9 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, names: tuple[st
 def similar_documents(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """``names``, component for every document of ``docs`` (text, names); rows of equal names have equal texts."""
     rows = written(wide_rows(docs, names), "similar-rows")
-    classes = written(rows.groupBy("key").agg(F.min("words").alias("words")).where("key != 0"), "similar-classes")
+    classes = written(rows.groupBy("key").agg(F.min("words").alias("words"), F.min(F.struct(*names)).alias("one")).where("key != 0"), "similar-classes")
     pairs = written(candidates(classes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
-    found = written(components(verified(pairs, docs, rows, names)).withColumnRenamed("fp", "key"), "similar-components")
+    found = written(components(verified(pairs, docs, classes, names)).withColumnRenamed("fp", "key"), "similar-components")
     return rows.join(found, "key", "left").select(*names, F.coalesce("root", "key").alias("component"))
 
 
