@@ -187,7 +187,8 @@ def _normaliser(folder: str):
         fs, where = open_fs(folder)
         attempt = TaskContext.get().taskAttemptId()
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):  # one archive's copies at a time
+                row = batch.slice(i, 1).to_pylist()[0]
                 refers, file = {c["record"]: c for c in row["copies"] or ()}, f"{row['file'].replace('raw-', 'warc-')}-{attempt}"
                 offset = count = 0
                 with fs.open_input_stream(f"{where}/{row['file']}.warc.gz", compression=None) as source, fs.open_output_stream(f"{where}/{file}.warc.gz", compression=None) as out, fs.open_output_stream(f"{where}/{file}.idx") as index:
@@ -216,11 +217,13 @@ def copies(rows: DataFrame, min_bytes: int = 0) -> DataFrame:
     """file, record, to_file, to_record, to_page for each record that another one stands for."""
     key = ["payload_digest", "payload_bytes"]
     place = F.struct(F.col("page_id"), F.col("file"), F.col("record"))
-    groups = rows.where(F.col("payload_bytes") >= min_bytes).groupBy(*key).agg(F.max(place).alias("__best"), F.count("*").alias("__n")).where("__n > 1")
+    groups = rows.where(F.col("payload_bytes") >= min_bytes).groupBy(*key).agg(F.max(place).alias("best"), F.count("*").alias("n")).where("n > 1")
+    # written, so that both sides of the join are plain shuffles: Spark splits the one of a payload that very many pages have
     return (
-        rows.join(groups, key)
-        .where((F.col("file") != F.col("__best.file")) | (F.col("record") != F.col("__best.record")))
-        .select("file", "record", F.col("__best.file").alias("to_file"), F.col("__best.record").alias("to_record"), F.col("__best.page_id").alias("to_page"))
+        rows.select("file", "record", *key)
+        .join(written(groups.select(*key, "best"), "warc-groups"), key)
+        .where((F.col("file") != F.col("best.file")) | (F.col("record") != F.col("best.record")))
+        .select("file", "record", F.col("best.file").alias("to_file"), F.col("best.record").alias("to_record"), F.col("best.page_id").alias("to_page"))
     )
 
 
