@@ -4,22 +4,25 @@ A ``Template`` says how a turn opens and closes, which roles carry loss, and
 which role may follow which. The machine walks over a conversation's roles in
 turn order; a conversation is valid if every step is allowed and it ends in an
 accepting state. Valid or not, its turns are emitted as text segments, each
-with a loss flag, and the formatted text is their concatenation.
+with a loss flag, and the formatted text is their concatenation. What is written
+is that text and its loss mask: the number of characters of each segment, with
+the segment's flag.
 
 Texts cannot forge control strings: every control string starts with the
 template's lead character, and no escaped text has one. The escape character
 and the lead character are written as the escape character and a digit, which
 is undone exactly. Roles are escaped likewise, their closing character too.
 
-Reading back splits the formatted text at the control strings, and takes the
-loss text from the segments with the flag.
+Reading back takes the turns from the formatted text alone, split at the control
+strings, and the loss text from the places in it that the mask marks.
 
 A conversation is one output text, so its turns meet in one row, which Spark
 bounds at 2 GB; conversations do not share anything else.
 
 Defined results: null text and null role are empty; null turns come first, and
-rows with equal turns are ordered by role and text; a null conv_id is a
-conversation of its own; an empty table gives no rows; other columns are
+rows with equal turns are ordered by role and text; a row with a null conv_id
+is a conversation of its own; the query's conversation -1 stays apart from one
+of that id in the table; an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -30,6 +33,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.llm.shared import fresh, written
+
 
 @dataclass(frozen=True)
 class Template:
@@ -79,11 +84,15 @@ def final_state(roles: Column, t: Template) -> Column:
     return F.aggregate(roles, F.lit("start"), lambda state, role: F.coalesce(F.try_element_at(table, F.concat(state, F.lit("\n"), role)), F.lit(FAILED)))
 
 
-def format_conversations(rows: DataFrame, *, conv_col="conv_id", turn_col="turn", role_col="role", text_col="text", template: Template = CHAT) -> DataFrame:
-    """conv_id, valid, segments (array of text and loss) and formatted for each conversation."""
+def format_conversations(rows: DataFrame, *, conv_col="conv_id", turn_col="turn", role_col="role", text_col="text", apart: tuple[str, ...] = (), template: Template = CHAT) -> DataFrame:
+    """conv_id, valid, segments (array of text and loss), formatted and mask (array of chars and loss) for each conversation.
+
+    Rows that differ in the columns ``apart`` belong to different conversations.
+    """
     t = template
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    turns = rows.groupBy(F.col(conv_col).alias("conv_id")).agg(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(turn_col).cast("long"), F.lit(-(2**63))).alias("turn"), empty(role_col).alias("role"), empty(text_col).alias("text")))).alias("turns"))
+    alone = F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id())
+    turns = rows.withColumn(fresh(rows, "alone"), alone).groupBy(F.col(conv_col).alias("conv_id"), fresh(rows, "alone"), *apart).agg(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(turn_col).cast("long"), F.lit(-(2**63))).alias("turn"), empty(role_col).alias("role"), empty(text_col).alias("text")))).alias("turns"))
 
     def segments(turn: Column) -> Column:
         part = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
@@ -91,11 +100,12 @@ def format_conversations(rows: DataFrame, *, conv_col="conv_id", turn_col="turn"
         return F.array(part(F.concat(F.lit(t.turn_open[0]), escape(turn["role"], t), F.lit(t.turn_open[1])), never), part(escape(turn["text"], t), turn["role"].isin(*t.loss_roles)), part(F.lit(t.turn_close), never))
 
     out = turns.select("conv_id", final_state(F.col("turns.role"), t).isin(*t.accepting).alias("valid"), F.flatten(F.transform("turns", segments)).alias("segments"))
-    return out.withColumn("formatted", F.array_join(F.col("segments.text"), ""))
+    mask = F.transform("segments", lambda s: F.struct(F.char_length(s["text"]).alias("chars"), s["loss"].alias("loss")))
+    return out.withColumns({"formatted": F.array_join(F.col("segments.text"), ""), "mask": mask})
 
 
 def read_back(formatted: DataFrame, template: Template = CHAT) -> DataFrame:
-    """Adds turns (array of role and text) parsed from ``formatted``, and loss_text from the segments."""
+    """Adds turns (array of role and text) parsed from ``formatted``, and loss_text: the text that ``mask`` marks in it."""
     t = template
     pieces = F.split("formatted", _quoted(t.turn_close))  # no text has the lead character, so these are the turns' ends
     pieces = F.slice(pieces, 1, F.size(pieces) - 1)
@@ -107,8 +117,12 @@ def read_back(formatted: DataFrame, template: Template = CHAT) -> DataFrame:
             unescape(F.substring(piece, end + len(t.turn_open[1]), F.char_length(piece)), t).alias("text"),
         )
 
-    loss = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"], t))
-    return formatted.withColumn("turns", F.transform(pieces, turn)).withColumn("loss_text", F.array_join(loss, ""))
+    def marked(piece: Column, k: Column) -> Column:
+        """What the mask marks in the k-th turn: its second of three segments, the one before it and the turn's closing string aside."""
+        before, own = F.get("mask", 3 * k), F.get("mask", 3 * k + 1)
+        return F.when(own["loss"], unescape(F.substring(piece, before["chars"] + 1, own["chars"]), t)).otherwise("")
+
+    return formatted.withColumn("turns", F.transform(pieces, turn)).withColumn("loss_text", F.array_join(F.transform(pieces, marked), ""))
 
 
 def _quoted(text: str) -> str:
@@ -117,12 +131,13 @@ def _quoted(text: str) -> str:
 
 def with_probe(rows: DataFrame) -> DataFrame:
     """The conversations and conversation -1, whose texts look like control strings."""
-    probe = rows.sparkSession.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
-    return rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(probe)
+    probe = rows.sparkSession.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"), F.lit(True).alias("probe"))
+    return rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text", F.lit(False).alias("probe")).unionByName(probe)
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = read_back(format_conversations(with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+    rows = with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    found = read_back(written(format_conversations(rows, apart=("probe",)).select("conv_id", "valid", "formatted", "mask"), "chat-formatted"))
     said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return found.select(
         "conv_id",
@@ -137,14 +152,14 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, false AS probe FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', NULL, true UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', NULL, true
 ), t AS (
   SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
          coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
          sum(7 + 2 + 8 + length(role) + length(text) + length(regexp_replace(role || text, '[^<>~]', '', 'g'))) AS formatted_chars,
          string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' ORDER BY turn, role, text) AS roles
-  FROM c GROUP BY conv_id
+  FROM c GROUP BY conv_id, alone, probe
 )
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
        CAST(formatted_chars AS BIGINT) AS formatted_chars, regexp_full_match(roles, 's?(ua)+') AS valid
