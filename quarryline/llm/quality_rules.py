@@ -29,8 +29,9 @@ no stratum is gathered. Everything about one text is computed within its row.
 
 Defined results: a null or empty text has no words and fails the fixed rules;
 a null language is a stratum of its own; labels without a document, and null
-labels, count nowhere; of labels that differ for one id, good counts; an
-empty table of either kind works; other columns are ignored.
+labels, count nowhere; of labels that differ for one id, good counts; rows
+that share an id are one draw of the holdout, the largest by stratum and
+counts; an empty table of either kind works; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -103,13 +104,24 @@ def base_failed() -> Column:
 def most_rejections(n: Column, alpha: float, level: Column) -> Column:
     """The largest k with P(Bin(n, alpha) <= k) <= level, -1 if there is none.
 
-    A fold over k = 0, 1, ... adds up the binomial's terms by their logarithms,
-    up to the mean, beyond which the sum is over a third.
+    A fold over k adds up the binomial's terms by their logarithms, up to the
+    mean, beyond which the sum is over a third. It begins at 0, or for a large
+    holdout 12 standard deviations below the mean, where the terms left out
+    come to less than 1e-30; so it has a number of steps that grows with the
+    root of n.
     """
     import math
 
     odds = math.log(alpha / (1 - alpha))
-    first = n * F.lit(math.log1p(-alpha))
+    low = F.floor(n * F.lit(alpha) - 12 * F.sqrt(n * F.lit(alpha * (1 - alpha))))
+    low = F.when(low >= 100, low).otherwise(0).cast("bigint")
+
+    def log_factorial(x: Column) -> Column:  # Stirling's series, exact to the last bits from 100 on
+        x = x.cast("double")
+        return x * F.log(x) - x + F.log(2 * math.pi * x) / 2 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+
+    at_low = log_factorial(n) - log_factorial(low) - log_factorial(n - low) + low * F.lit(math.log(alpha)) + (n - low) * F.lit(math.log1p(-alpha))
+    first = F.when(low > 0, at_low).otherwise(n * F.lit(math.log1p(-alpha)))
     zero = F.struct(first.cast("double").alias("log_p"), F.lit(float("-inf")).alias("log_sum"), F.lit(-1).cast("bigint").alias("k"))
 
     def step(acc: Column, k: Column) -> Column:
@@ -119,7 +131,7 @@ def most_rejections(n: Column, alpha: float, level: Column) -> Column:
         return F.struct(following.alias("log_p"), total.alias("log_sum"), F.when(total <= F.log(level), k).otherwise(acc["k"]).alias("k"))
 
     last = F.least(F.ceil(n * F.lit(alpha)), n - 1)
-    return F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.greatest(last, F.lit(0)).cast("bigint")), zero, step, lambda acc: acc["k"])
+    return F.aggregate(F.sequence(low, F.greatest(last, low).cast("bigint")), zero, step, lambda acc: acc["k"])
 
 
 def thresholds(rows: DataFrame, labels: DataFrame, *, alpha=ALPHA, delta=DELTA) -> DataFrame:
@@ -130,7 +142,8 @@ def thresholds(rows: DataFrame, labels: DataFrame, *, alpha=ALPHA, delta=DELTA)
     """
     rules = _rules()
     marks = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("__good"))
-    held = rows.where(~base_failed()).join(marks, "doc_id")
+    measured = [c for c in rows.columns if c != "doc_id"]
+    held = rows.where(~base_failed()).join(marks, "doc_id").groupBy("doc_id", "__good").agg(F.max(F.struct(*measured)).alias("m")).select("doc_id", "__good", "m.*")
     long = held.select("stratum", "__good", F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), value.cast("long").alias("value")) for name, value in rules.items()])).alias("r"))
     bins = written(long.groupBy("stratum", "r.rule", "r.value").agg(F.sum("__good").cast("long").alias("good"), F.sum(1 - F.col("__good")).cast("long").alias("bad")), "rule-bins")
     strata = bins.groupBy("stratum").agg((F.sum("good") / len(rules)).cast("bigint").alias("n")).where("n > 0")
