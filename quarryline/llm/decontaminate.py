@@ -15,7 +15,10 @@ over all documents. The join then is
 
 Steps 2 to 4 run in one pass over the texts: positions that miss never leave
 the generated code, and no text is shuffled. Each document also sends one row
-of its own, so documents without hits need no second pass.
+of its own, so documents without hits need no second pass. A hit is its place
+and the number of its window's set of items (windows of the same items share
+one set); the items themselves are joined when each document has each set but
+once.
 
 The windows are broadcast in pieces of ``PIECE_ROWS`` rows, each a bounded
 number of bytes but for the length of its words, counted before; a larger
@@ -47,7 +50,7 @@ def words_of(text: Column) -> Column:
 
 
 def benchmark_windows(items: DataFrame, *, id_col="item_id", text_col="text", window=WINDOW) -> DataFrame:
-    """window_words, items: each distinct window with the ids of its items."""
+    """window_words, items: each distinct window with the ids of its items, in order."""
     worded = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), words_of(F.col(text_col)).alias("words")).where(F.size("words") > 0)
     cut = F.when(F.size("words") < window, F.array("words")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - (window - 1), F.lit(1))), lambda i: F.slice("words", i, window)))
     return worded.select("item", F.explode(cut).alias("window_words")).groupBy("window_words").agg(F.array_sort(F.collect_set("item")).alias("items"))
@@ -64,18 +67,18 @@ def rarest_first(docs_text: DataFrame, windows: DataFrame) -> DataFrame:
     counts = seen.join(_size_checked(known, known.count(), COUNTED_ROWS), "h").groupBy("h").agg(F.count("*").alias("n"))
     shingles = windows.select("wid", F.posexplode("window_words").alias("offset", "w")).select("wid", "offset", F.xxhash64("w").alias("h"))
     first = shingles.join(counts, "h", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("offset"), F.col("h"))).alias("rare"))
-    return windows.join(first, "wid").select("wid", "window_words", "items", F.col("rare.h").alias("h"), F.col("rare.offset").alias("offset"))
+    return windows.join(first, "wid").select("wid", "window_words", "set", F.col("rare.h").alias("h"), F.col("rare.offset").alias("offset"))
 
 
 def _hits(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """rid, doc_id, n_words, wid, start, len, items for each verified window, and each document's own row."""
+    """rid, doc_id, n_words, set, span for each verified window, and each document's own row."""
     size, start, length = F.size("words"), F.col("pos") - F.col("offset"), F.size("window_words")
     whole = F.when((start >= 0) & (start + length <= size), F.slice("words", start + 1, length) == F.col("window_words")).otherwise(F.lit(False))
     placed = rows.select("rid", "doc_id", "words", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("pos", "w"))
     joined = placed.withColumn("h", F.xxhash64("w")).join(F.broadcast(keys), "h")
     own = F.col("wid") == OWN
     return joined.where(F.when(own, F.col("pos") == size).otherwise(whole)).select(
-        "rid", "doc_id", size.alias("n_words"), F.when(~own, F.col("wid")).alias("wid"), F.when(~own, F.struct(start.alias("start"), length.alias("len"))).alias("span"), F.when(~own, F.col("items")).alias("items")
+        "rid", "doc_id", size.alias("n_words"), F.when(~own, F.col("set")).alias("set"), F.when(~own, F.struct(start.alias("start"), length.alias("len"))).alias("span")
     )
 
 
@@ -89,23 +92,29 @@ def _covered(spans: Column) -> Column:
 def contamination(docs: DataFrame, items: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", item_text="text", window=WINDOW, keep_row: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of ``docs``."""
     texts = docs.select(F.col(text_col).alias("text"))
-    windows = written(benchmark_windows(items, id_col=item_col, text_col=item_text, window=window).select(F.monotonically_increasing_id().alias("wid"), "window_words", "items"), "decon-windows")
+    found = written(benchmark_windows(items, id_col=item_col, text_col=item_text, window=window).select(F.monotonically_increasing_id().alias("wid"), "window_words", "items"), "decon-windows")
+    sets = written(found.groupBy("items").agg(F.min("wid").alias("set")), "decon-sets")
+    windows = written(found.join(sets, "items").select("wid", "window_words", "set"), "decon-windows")
     keys = written(rarest_first(texts, windows), "decon-keys")
-    own = keys.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("h"), F.lit(OWN).cast("long").alias("wid"), F.lit(0).alias("offset"), F.array().cast("array<string>").alias("window_words"), F.array().cast("array<string>").alias("items"))
+    own = keys.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("h"), F.lit(OWN).cast("long").alias("wid"), F.lit(0).alias("offset"), F.array().cast("array<string>").alias("window_words"), F.lit(None).cast("long").alias("set"))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
     total, found = keys.count(), None
     pieces = max(1, -(-total // PIECE_ROWS))
     for piece in range(pieces):
         part = keys if pieces == 1 else keys.where(F.pmod(F.xxhash64("wid"), F.lit(pieces)) == piece)
-        part = part.select("h", "wid", "offset", "window_words", "items")
+        part = part.select("h", "wid", "offset", "window_words", "set")
         hits = _hits(rows, part.unionByName(own) if piece == 0 else part)
         found = hits if found is None else found.unionByName(hits)
-    by_window = found.groupBy("rid", "wid").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_set("span").alias("spans"), F.first("items").alias("items"))
-    by_row = by_window.groupBy("rid").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.max("n_words").cast("long").alias("n_words"),
-        _covered(F.array_distinct(F.flatten(F.collect_list("spans")))).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    by_set = found.groupBy("rid", "set").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_set("span").alias("spans"))
+    by_row = (
+        by_set.join(sets, "set", "left")
+        .groupBy("rid")
+        .agg(
+            F.first("doc_id").alias("doc_id"),
+            F.max("n_words").cast("long").alias("n_words"),
+            _covered(F.array_distinct(F.flatten(F.collect_list("spans")))).cast("long").alias("n_hit"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        )
     )
     return by_row.select(*(["rid"] if keep_row else []), "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
