@@ -32,13 +32,20 @@ def term_counts(files: DataFrame, *keys: str, text: Column | str = "content") ->
     return starts.select(*keys, F.size(s).cast("long").alias("total"), F.inline(entries)).select(*keys, "token", "n", "total")
 
 
+def occurrences(files: DataFrame, *keys: str, text: Column | str = "content") -> DataFrame:
+    """keys, token, n (1), total for each token of each row as often as it occurs: for ``scores``, which drops all but the queries' tokens at once."""
+    text = F.col(text) if isinstance(text, str) else text
+    found = fresh("found", files.select(*keys))
+    return files.select(*keys, tokens(text).alias(found)).select(*keys, F.size(found).cast("long").alias("total"), F.explode(found).alias("token")).select(*keys, "token", F.lit(1).cast("long").alias("n"), "total")
+
+
 def query_counts(queries: DataFrame, key: str, text: str) -> DataFrame:
     """key, token, qn: how often each query has each token."""
     return queries.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("qn"))
 
 
 def scores(index: DataFrame, queries: DataFrame, key: str, *file_keys: str) -> DataFrame:
-    """key, file_keys, score: the query's tokens, with multiplicity, times the term frequencies.
+    """key, file_keys, score: the query's tokens, with multiplicity, times the term frequencies (of ``term_counts`` or ``occurrences``).
 
     The sum is over whole numbers and divided once, so it does not depend on
     the order of the rows. Spark broadcasts the query side where its size lets
@@ -56,7 +63,7 @@ def top_k(scored: DataFrame, key: str, place: str, k: int) -> DataFrame:
 def retrieve(files: DataFrame, queries: DataFrame, *, repo: str, key: str = "query_id", text: str = "code", k: int = 3) -> DataFrame:
     """key, rank, filename, content, score: the context files of each query from one repository."""
     stored = latest_files(files.where(F.col("repo_id") == repo))
-    found = top_k(scores(term_counts(stored, "file_id", "place"), query_counts(queries, key, text), key, "file_id", "place"), key, "place", k)
+    found = top_k(scores(occurrences(stored, "file_id", "place"), query_counts(queries, key, text), key, "file_id", "place"), key, "place", k)
     return found.join(stored.select("file_id", "filename", "content"), "file_id").select(key, "rank", "filename", "content", "score")
 
 

@@ -67,7 +67,7 @@ def term_frequency(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _retrieved(spark: SparkSession, sf: str) -> DataFrame:
-    index = retrieval.term_counts(table(spark, sf, "documents"), "doc_id", text="text")
+    index = retrieval.occurrences(table(spark, sf, "documents"), "doc_id", text="text")
     asked = retrieval.query_counts(table(spark, sf, "benchmark"), "item_id", "text")
     return retrieval.top_k(retrieval.scores(index, asked, "item_id", "doc_id"), "item_id", "doc_id", TOP_K)
 
