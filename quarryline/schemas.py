@@ -9,11 +9,11 @@ CODE_VAULT = "id INT, org_id INT, vulnerable_code STRING, secure_code STRING, cr
 SCAN = "id STRING, fileName STRING, vulnerabilityType STRING, riskLevel STRING, status STRING, createdAt TIMESTAMP_NTZ"
 SCAN_REQUEST = "request_id BIGINT, ts TIMESTAMP_NTZ, email STRING, kind STRING, code STRING, filename STRING"
 CODE_FILE = "repo_id STRING, filename STRING, content STRING, seq BIGINT"
-HOTSPOT = "STRUCT<node_type: STRING, code_snippet: STRING, start_line: INT, end_line: INT, risk_level: STRING>"
-PATCH = "STRUCT<hotspot_index: INT, original_code: STRING, suggested_code: STRING, explanation: STRING>"
 EVENTS = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 #: Columns whose non-null values must differ between rows, and (column, table, column) references.
 UNIQUE = {"organization": ("name", "invite_code"), "users": ("email", "api_key"), "scan_cache": ("job_id",)}
 REFERENCES = {"users": (("org_id", "organization", "id"),), "code_vault": (("org_id", "organization", "id"),)}
 STATUSES = ("pending", "completed", "failed")
+#: The engine's tables by name.
+TABLES = {"organization": ORGANIZATION, "users": USERS, "scan_cache": SCAN_CACHE, "code_vault": CODE_VAULT, "scan": SCAN, "scan_request": SCAN_REQUEST, "code_file": CODE_FILE}

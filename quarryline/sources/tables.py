@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions.reports import NO_NAME
-from quarryline.schemas import SCAN_REQUEST
+from quarryline.schemas import SCAN_REQUEST, TABLES
 
 T = TypeVar("T")
 #: How often a connection is tried, and the seconds between.
@@ -23,6 +23,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def stored(spark: SparkSession, folder: str, name: str, kind: str = "parquet") -> DataFrame:
+    """One of the engine's own tables (``schemas.TABLES``) from a folder of files of any kind that Spark reads."""
+    return spark.read.schema(TABLES[name]).format(kind).load(f"{folder.rstrip('/')}/{name}")
+
+
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
 

@@ -127,6 +127,17 @@ def test_constraints(spark):
     assert got == {("organization", "name"): 2, ("organization", "invite_code"): 0, ("users", "email"): 0, ("users", "api_key"): 0, ("users", "org_id"): 1}
 
 
+def test_stored_tables(spark, tmp_path):
+    from quarryline.schemas import STATUSES, TABLES
+
+    rows = [(1, "h", "r", False, STATUSES[1], "j"), (2, "h", "r", False, STATUSES[0], "j")]
+    spark.createDataFrame(rows, "id int, code_hash string, report_text string, is_fix boolean, status string, job_id string").write.json(f"{tmp_path}/scan_cache")
+    cache = tables.stored(spark, str(tmp_path), "scan_cache", "json")
+    assert cache.schema == spark.createDataFrame([], TABLES["scan_cache"]).schema
+    assert [(r.id, r.hit_id) for r in state.cache_hits(cache).orderBy("id").collect()] == [(1, None), (2, 1)]
+    assert [(r.column, r.n) for r in dashboard.constraint_violations({"scan_cache": cache}).collect()] == [("job_id", 2)]
+
+
 def test_responder(spark):
     found = spark.createDataFrame([("f", 0, "hardcoded_secret", "High", "a"), ("f", 1, "x", "High", "raise-429"), ("f", 2, "x", "High", "raise-error")], "file_name string, pos int, node_type string, risk_level string, code_snippet string")
     scans, patches = responder.heal(found, responder.stub())
