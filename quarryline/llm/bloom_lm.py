@@ -11,9 +11,10 @@ clamped to the counts of its two words:
 
 Every pair of the training texts is in the filter, those seen once too, so
 with exact counts the p(w | h) of a history add up to 1. Quantised counts are
-off by 4 % at most above EXACT, and a filter has false hits (``false_hits``
-measures them), so the sums are near 1 and not 1. The add-one base score needs
-exact word counts; these ride along as sorted arrays beside the filter.
+off by 4 % at most above EXACT, and a filter has false hits, one in a million
+for an absent pair, so the sums are near 1 and not 1 (the tests find 0.97 to
+1.03). The add-one base score needs exact word counts; these ride along as
+sorted arrays beside the filter.
 
 The texts are read and tokenised once. Each task gathers documents into groups
 and writes, for each group, the numbers of its words in order and, for each of
@@ -51,7 +52,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.shared import fold_of, new_folder, open_fs, written
+from quarryline.llm.shared import discard, fold_of, new_folder, open_fs, written
 
 FOLDS, HELD_OUT = 7, 2
 #: Pseudo-counts that the word distribution adds to each history.
@@ -59,8 +60,8 @@ MU = 100.0
 #: Levels 1 to EXACT are counts; above, each level is RATIO times the one before.
 EXACT, RATIO = 16, 1.08
 TOP_LEVEL = 250
-#: Bits of filter for each entry and bits set by each entry, all in one 64-bit word.
-BITS, PROBES = 16, 6
+#: Bits of filter for each entry, and bits that each entry sets: about one absent n-gram in a million has a false hit.
+BITS, PROBES = 32, 12
 #: Text bytes for each bucket, and tokens of a group.
 BUCKET_BYTES, GROUP_TOKENS = 16_000_000, 2_000_000
 #: What is broadcast at once, and read into the driver's buffer at once.
@@ -172,15 +173,30 @@ def item(kind: int, keys):
     return mix(keys + np.uint64(kind * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
 
 
-def word_and_mask(items, level: int, words: int):
-    """Of (item, level): one of the bucket's 64-bit words, and the PROBES bits of it that the entry sets."""
+def hits(words, items, levels):
+    """Which (item, level) pairs are in a bucket's filter; every pair is probed until a probe misses."""
     import numpy as np
 
-    g = mix(items ^ np.uint64(level * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
-    mask = np.uint64(1) << (g & np.uint64(63))
-    for i in range(1, PROBES):
-        mask |= np.uint64(1) << ((g >> np.uint64(6 * i)) & np.uint64(63))
-    return ((g >> np.uint64(6 * PROBES)) % np.uint64(words)).astype(np.int64), mask
+    out, left = np.zeros(items.shape, dtype=bool), np.arange(items.size)
+    place, step = places(items.ravel(), np.broadcast_to(levels, items.shape).ravel())
+    size = np.uint64(64 * len(words))
+    for _ in range(PROBES):
+        bit = place % size
+        found = (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
+        left, place, step = left[found], place[found], step[found]
+        if not len(left):
+            return out
+        place = place + step
+    out.ravel()[left] = True
+    return out
+
+
+def places(items, levels):
+    """Of (item, level): its first place in the filter and the step to each next one."""
+    import numpy as np
+
+    first = mix(items ^ (levels.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    return first, mix(first) | np.uint64(1)
 
 
 def level_of(n):
@@ -201,35 +217,36 @@ def counts_of_levels():
 
 
 def probe(words, items):
-    """The level of each item by repeated membership probes of one bucket's filter."""
+    """The level of each item by repeated membership probes of one bucket's filter; the few that go far, several levels at a time."""
     import numpy as np
 
     levels, live, level = np.zeros(len(items), dtype=np.uint8), np.arange(len(items)), 0
     while len(live) and level < TOP_LEVEL:
-        level += 1
-        at, mask = word_and_mask(items, level, len(words))
-        hit = np.nonzero((words[at] & mask) == mask)[0]
-        live, items = live[hit], items[hit]
-        levels[live] = level
+        some = min(32, TOP_LEVEL - level, max(1, 1024 // len(live)))
+        found = hits(words, np.broadcast_to(items[:, None], (len(items), some)), np.arange(level + 1, level + some + 1))
+        reached = np.where(found.all(axis=1), some, np.argmin(found, axis=1))
+        levels[live] = level + reached
+        live, items, level = live[reached == some], items[reached == some], level + some
     return levels
 
 
 def built(found: list, bits: int = BITS):
-    """The filter's words for (items, levels) of each kind, BITS bits for each entry."""
+    """The filter's words for (items, levels) of each kind, so many bits for each entry."""
     import numpy as np
 
     items, levels = (np.concatenate(x) for x in zip(*found))
     order = np.argsort(-levels, kind="stable")
     items, levels = items[order], levels[order]
     size = max(1, -(-int(levels.sum()) * bits // 64))
-    out, level = np.zeros(size, dtype=np.uint64), 0
+    out, level = np.zeros(64 * size, dtype=bool), 0
     while len(items):
         level += 1
         items = items[: np.searchsorted(-levels, -level, side="right")]  # those of this level or above
-        for a in range(0, len(items), 1 << 18):
-            at, mask = word_and_mask(items[a : a + (1 << 18)], level, size)
-            np.bitwise_or.at(out, at, mask)
-    return out
+        place, step = places(items, np.full(len(items), level))
+        for _ in range(PROBES):
+            out[(place % np.uint64(64 * size)).astype(np.int64)] = True
+            place = place + step
+    return np.packbits(out, bitorder="little").view("<u8")
 
 
 # ---------------------------------------------------------------- groups of documents
@@ -479,7 +496,9 @@ def score(docs: DataFrame, *, mu: float = MU, bits: int = BITS, shard_bytes: int
     bucket_bits = (size // bucket_bytes).bit_length()
     rows = written(grouped(docs, bucket_bits), "lm-groups", by=("stripe",))
     model = train(rows, bits)
-    return combined(rows, answers(rows, model, shard_bytes), model, mu)
+    found = answers(rows, model, shard_bytes)
+    discard(model.folder, *[f"{rows.written_at}/stripe={i}" for i in {b // STRIPE for b, *_ in model.buckets}], spark=docs.sparkSession)  # what is left is the groups' tokens
+    return combined(rows, found, model, mu)
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,17 @@ def written(df: DataFrame, what: str, by: tuple[str, ...] = ()) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, what)
     df.write.partitionBy(*by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame | str, spark: SparkSession | None = None) -> None:
+    """Delete tables that ``written`` returned, or folders; for those that nothing reads any more, lazily either."""
+    for df in tables:
+        session = spark or df.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(df if isinstance(df, str) else df.written_at)
+        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def open_fs(uri: str):

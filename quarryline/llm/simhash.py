@@ -53,7 +53,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.shared import written
+from quarryline.llm.shared import discard, written
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -371,20 +371,25 @@ def components(edges: DataFrame) -> DataFrame:
     """
 
     def star(pairs: DataFrame, larger: bool) -> DataFrame:
+        """The next pairs, written; ``pairs`` goes."""
         # large-star links each larger neighbour to the vertex's minimum; small-star the vertex and its smaller neighbours
         if larger:
             both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
             least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "components-least")
-            return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+            out = written(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct(), "components")
+            discard(pairs, least)
+            return out
         down = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = written(down.groupBy("a").agg(F.min("b").alias("m")), "components-least")
         joined = down.join(least, "a")
-        return joined.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a != b").distinct()
+        out = written(joined.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a != b").distinct(), "components")
+        discard(pairs, least)
+        return out
 
     pairs = written(edges.where("a != b").distinct(), "components")
     state = None
     while True:
-        pairs = written(star(written(star(pairs, True), "components"), False), "components")
+        pairs = star(star(pairs, True), False)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             break
@@ -400,6 +405,7 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", shingl
     rooted = written(classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-rooted")
     named = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-named")
     table = written(rooted.join(named, "root").select("fp", F.col("root").alias("component"), "component_id"), "simhash-components")
+    discard(classes, rooted, named)
     return rows.join(table, "fp").select("doc_id", *extra, "fp", "component", "component_id")
 
 
@@ -471,7 +477,9 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, names: tuple
     side = lambda c: sets.select(F.col("key").alias(c), F.col("items").alias(f"set_{c}"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     alike = (5 + FIFTHS) * both >= FIFTHS * (F.size("set_a") + F.size("set_b"))  # both / (a + b - both)
-    return written(pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b"), "similar-links")
+    out = written(pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b"), "similar-links")
+    discard(one, sets)
+    return out
 
 
 def similar_documents(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -479,7 +487,10 @@ def similar_documents(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
     rows = written(wide_rows(docs, names), "similar-rows")
     classes = written(rows.groupBy("key").agg(F.min("words").alias("words"), F.min(F.struct(*names)).alias("one")).where("key != 0"), "similar-classes")
     pairs = written(candidates(classes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
-    found = written(components(verified(pairs, docs, classes, names)).withColumnRenamed("fp", "key"), "similar-components")
+    links = verified(pairs, docs, classes, names)
+    discard(pairs, classes)
+    found = written(components(links).withColumnRenamed("fp", "key"), "similar-components")
+    discard(links)
     return rows.join(found, "key", "left").select(*names, F.coalesce("root", "key").alias("component"))
 
 

@@ -29,12 +29,12 @@ def by_id(df):
 
 def test_shards_and_buckets_leave_the_result_alone(spark, monkeypatch):
     docs = documents(spark)
-    one = by_id(lm.score(docs, bits=256))
-    many = by_id(lm.score(docs, bits=256, shard_bytes=300_000, bucket_bytes=20_000))
+    one = by_id(lm.score(docs))
+    many = by_id(lm.score(docs, shard_bytes=300_000, bucket_bytes=20_000))
     assert one.keys() == many.keys()
     for k, r in one.items():
         assert r["base_score"] == many[k]["base_score"] and r["n_known"] == many[k]["n_known"]
-        assert math.isclose(r["score"], many[k]["score"], rel_tol=1e-3)  # false hits differ
+        assert math.isclose(r["score"], many[k]["score"], rel_tol=1e-4)  # false hits differ
     monkeypatch.setattr(lm, "GROUP_TOKENS", 1000)
     rows = lm.written(lm.grouped(docs, 4), "groups", by=("stripe",))
     model = lm.train(rows)
@@ -47,7 +47,7 @@ def test_score_is_the_stated_model(spark):
     value = lm.counts_of_levels()
     level = lambda n: value[int(lm.level_of(n))] if n else 0.0
     docs = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()]
-    got = by_id(lm.score(documents(spark), bits=512))
+    got = by_id(lm.score(documents(spark)))
     seen = [words(t) for i, t in docs if not got[i]["held_out"]]
     one = Counter(w for t in seen for w in t)
     two = Counter(p for t in seen for p in zip([None, *t], t))
@@ -59,7 +59,7 @@ def test_score_is_the_stated_model(spark):
             pair = min(level(two[h, w]), level(one[h]), level(one[w]))
             want += math.log10((pair + lm.MU * (level(one[w]) + 1) / (n + v + 1)) / (level(one[h]) + lm.MU))
         exact += math.isclose(got[i]["score"], want, rel_tol=1e-9)
-        assert got[i]["score"] >= want - 1e-6  # a false hit can only raise a count, and counts of histories are clamped from below by pairs
+        assert abs(got[i]["score"] - want) < 0.01 * len(t)  # a false hit moves one count by one level
     assert exact >= 0.98 * len(docs)
 
 
@@ -78,9 +78,37 @@ def test_false_hits():
     found = lm.probe(filled, lm.item(lm.PAIR, inside))
     assert (found >= levels).all() and (found == levels).mean() > 0.99
     absent = lm.probe(filled, lm.item(lm.PAIR, outside))
-    assert (absent > 0).mean() < 0.005, (absent > 0).mean()
+    assert (absent > 0).mean() < 5e-5, (absent > 0).mean()
 
 
 def test_no_training_rows(spark):
     docs = documents(spark).withColumn("held_out", F.lit(True))
     assert all(r["score"] == 0 and r["base_score"] == 0 and r["n_known"] == 0 for r in lm.score(docs).collect())
+
+
+def test_probabilities_of_a_history_add_up_to_nearly_one(spark):
+    """Over the whole vocabulary, false hits and quantised counts included."""
+    bits = 3
+    rows = lm.written(lm.grouped(documents(spark), bits), "groups", by=("stripe",))
+    model = lm.train(rows)
+    data, places = model.read(sorted(model.buckets))
+    parts = {b: lm.parts(data, p) for b, p in places.items()}
+    words = np.sort(np.concatenate([p[1] for p in parts.values()]))
+    value = lm.counts_of_levels()
+
+    def counts(kind, keys, names):
+        of, out = keys >> np.uint64(64 - bits), np.zeros(len(keys))
+        for b, (filled, _, _) in parts.items():
+            at = np.nonzero(of == b)[0]
+            out[at] = value[lm.probe(filled, lm.item(kind, names[at]))]
+        return out
+
+    of_word = counts(lm.WORD, words, words)
+    p = (of_word + 1) / (model.n + model.v + 1)
+    assert 0.97 < p.sum() < 1.03
+    sums = []
+    for i in np.argsort(-of_word)[[0, 1, 2, 10, 50, 200, 500, 1000]]:
+        keys = lm.pairs(np.stack([np.full_like(words, words[i]), words], axis=1).ravel())[1::2]
+        pair = np.minimum(counts(lm.PAIR, keys, lm.rest_of(keys, bits)), np.minimum(of_word, of_word[i]))
+        sums.append(float(((pair + lm.MU * p) / (of_word[i] + lm.MU)).sum()))
+    assert all(0.96 < s < 1.04 for s in sums), sums
