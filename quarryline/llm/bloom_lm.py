@@ -11,9 +11,11 @@ clamped to the counts of its two words:
 
 Every pair of the training texts is in the filter, those seen once too, so
 with exact counts the p(w | h) of a history add up to 1. Quantised counts are
-off by 4 % at most above EXACT, and a filter has false hits, one in a million
-for an absent pair, so the sums are near 1 and not 1 (the tests find 0.97 to
-1.03). The add-one base score needs exact word counts; these ride along as
+off by 4 % at most above EXACT, and a filter has false hits, some 1 in 100,000
+for absent pairs: over a vocabulary of V words they add V / 100,000 / (c(h) + MU)
+to the sum of a history, so the sums are near 1 and not 1 (the tests find 0.96
+to 1.04 on a small table; with many millions of words a rare history's is
+larger, unless BITS is raised). The add-one base score needs exact word counts; these ride along as
 sorted arrays beside the filter.
 
 The texts are read and tokenised once. Each task gathers documents into groups
@@ -33,7 +35,7 @@ So every n-gram is probed once whatever the number of shards, no task holds
 more than a bucket, a shard and a group, and no frequent n-gram weighs more
 than one entry for each group. The result does not depend on the number of
 shards. Within a bucket a pair goes by KEY_BITS further bits of its hash: among
-the two million pairs or so of a bucket, one lookup in 30,000 meets another
+the million pairs or so of a bucket, one lookup in 60,000 meets another
 pair's entry, at every size of the input, as buckets do not grow. Words go by
 64 bits.
 
@@ -60,10 +62,10 @@ MU = 100.0
 #: Levels 1 to EXACT are counts; above, each level is RATIO times the one before.
 EXACT, RATIO = 16, 1.08
 TOP_LEVEL = 250
-#: Bits of filter for each entry, and bits that each entry sets: about one absent n-gram in a million has a false hit.
-BITS, PROBES = 32, 12
+#: Bits of filter for each entry, and bits that an entry sets in each of two 64-bit words, so that a probe reads memory twice at most.
+BITS, PROBES = 40, 8
 #: Text bytes for each bucket, and tokens of a group.
-BUCKET_BYTES, GROUP_TOKENS = 16_000_000, 2_000_000
+BUCKET_BYTES, GROUP_TOKENS = 8_000_000, 2_000_000
 #: What is broadcast at once, and read into the driver's buffer at once.
 SHARD_BYTES, STRIP_BYTES = 32 << 20, 4 << 20
 #: Buckets whose rows share a folder.
@@ -173,30 +175,32 @@ def item(kind: int, keys):
     return mix(keys + np.uint64(kind * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
 
 
-def hits(words, items, levels):
-    """Which (item, level) pairs are in a bucket's filter; every pair is probed until a probe misses."""
+def places(items, levels, size: int):
+    """Of (item, level): two words of a filter of so many, and the bits that the entry sets in the first; it sets them in the second too, turned."""
     import numpy as np
 
-    out, left = np.zeros(items.shape, dtype=bool), np.arange(items.size)
-    place, step = places(items.ravel(), np.broadcast_to(levels, items.shape).ravel())
-    size = np.uint64(64 * len(words))
-    for _ in range(PROBES):
-        bit = place % size
-        found = (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
-        left, place, step = left[found], place[found], step[found]
-        if not len(left):
-            return out
-        place = place + step
-    out.ravel()[left] = True
-    return out
+    g = mix(items ^ (levels.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    mask = np.uint64(1) << (g & np.uint64(63))
+    for i in range(1, PROBES):
+        mask |= np.uint64(1) << ((g >> np.uint64(6 * i)) & np.uint64(63))
+    g = mix(g)
+    return ((g & np.uint64(0xFFFFFFFF)) % np.uint64(size)).astype(np.int64), ((g >> np.uint64(32)) % np.uint64(size)).astype(np.int64), mask
 
 
-def places(items, levels):
-    """Of (item, level): its first place in the filter and the step to each next one."""
+def turned(mask):
     import numpy as np
 
-    first = mix(items ^ (levels.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-    return first, mix(first) | np.uint64(1)
+    return (mask << np.uint64(21)) | (mask >> np.uint64(43))
+
+
+def hits(words, items, levels):
+    """Which (item, level) pairs are in a bucket's filter."""
+    first, second, mask = places(items, levels, len(words))
+    found = (words[first] & mask) == mask
+    if found.any():
+        some = turned(mask[found])
+        found[found] = (words[second[found]] & some) == some
+    return found
 
 
 def level_of(n):
@@ -223,7 +227,7 @@ def probe(words, items):
     levels, live, level = np.zeros(len(items), dtype=np.uint8), np.arange(len(items)), 0
     while len(live) and level < TOP_LEVEL:
         some = min(32, TOP_LEVEL - level, max(1, 1024 // len(live)))
-        found = hits(words, np.broadcast_to(items[:, None], (len(items), some)), np.arange(level + 1, level + some + 1))
+        found = hits(words, np.repeat(items, some), np.tile(np.arange(level + 1, level + some + 1), len(items))).reshape(-1, some)
         reached = np.where(found.all(axis=1), some, np.argmin(found, axis=1))
         levels[live] = level + reached
         live, items, level = live[reached == some], items[reached == some], level + some
@@ -238,15 +242,16 @@ def built(found: list, bits: int = BITS):
     order = np.argsort(-levels, kind="stable")
     items, levels = items[order], levels[order]
     size = max(1, -(-int(levels.sum()) * bits // 64))
-    out, level = np.zeros(64 * size, dtype=bool), 0
+    out, level = np.zeros(size, dtype=np.uint64), 0
     while len(items):
         level += 1
         items = items[: np.searchsorted(-levels, -level, side="right")]  # those of this level or above
-        place, step = places(items, np.full(len(items), level))
-        for _ in range(PROBES):
-            out[(place % np.uint64(64 * size)).astype(np.int64)] = True
-            place = place + step
-    return np.packbits(out, bitorder="little").view("<u8")
+        for a in range(0, len(items), 1 << 18):
+            some = items[a : a + (1 << 18)]
+            first, second, mask = places(some, np.full(len(some), level), size)
+            np.bitwise_or.at(out, first, mask)
+            np.bitwise_or.at(out, second, turned(mask))
+    return out
 
 
 # ---------------------------------------------------------------- groups of documents

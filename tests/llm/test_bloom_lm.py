@@ -71,14 +71,14 @@ def test_levels_keep_counts_within_four_percent():
 
 def test_false_hits():
     rng = np.random.default_rng(1)
-    keys = rng.integers(0, 1 << 63, 400_000, dtype=np.uint64)
+    keys = rng.integers(0, 1 << 63, 1_200_000, dtype=np.uint64)
     inside, outside = keys[:200_000], keys[200_000:]
     levels = lm.level_of(rng.geometric(0.5, len(inside)))
     filled = lm.built([(lm.item(lm.PAIR, inside), levels)])
     found = lm.probe(filled, lm.item(lm.PAIR, inside))
-    assert (found >= levels).all() and (found == levels).mean() > 0.99
+    assert (found >= levels).all() and (found == levels).mean() > 0.999
     absent = lm.probe(filled, lm.item(lm.PAIR, outside))
-    assert (absent > 0).mean() < 5e-5, (absent > 0).mean()
+    assert (absent > 0).mean() < 3e-5, (absent > 0).mean()
 
 
 def test_no_training_rows(spark):
