@@ -68,6 +68,8 @@ BITS, PROBES = 40, 8
 BUCKET_BYTES, GROUP_TOKENS = 8_000_000, 2_000_000
 #: What is broadcast at once, and read into the driver's buffer at once.
 SHARD_BYTES, STRIP_BYTES = 32 << 20, 4 << 20
+#: N-grams that are probed together.
+PROBED = 500_000
 #: Buckets whose rows share a folder.
 STRIPE = 8
 #: Bits of a pair's hash that it goes by within its bucket.
@@ -175,16 +177,16 @@ def item(kind: int, keys):
     return mix(keys + np.uint64(kind * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
 
 
-def places(items, levels, size: int):
-    """Of (item, level): two words of a filter of so many, and the bits that the entry sets in the first; it sets them in the second too, turned."""
+def places(items, levels, size):
+    """Of (item, level): two words of a filter of so many (for all, or each its own), and the bits that the entry sets in the first; it sets them in the second too, turned."""
     import numpy as np
 
     g = mix(items ^ (levels.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
     mask = np.uint64(1) << (g & np.uint64(63))
     for i in range(1, PROBES):
         mask |= np.uint64(1) << ((g >> np.uint64(6 * i)) & np.uint64(63))
-    g = mix(g)
-    return ((g & np.uint64(0xFFFFFFFF)) % np.uint64(size)).astype(np.int64), ((g >> np.uint64(32)) % np.uint64(size)).astype(np.int64), mask
+    g, size = mix(g), np.asarray(size).astype(np.uint64)
+    return ((g & np.uint64(0xFFFFFFFF)) % size).astype(np.int64), ((g >> np.uint64(32)) % size).astype(np.int64), mask
 
 
 def turned(mask):
@@ -193,13 +195,13 @@ def turned(mask):
     return (mask << np.uint64(21)) | (mask >> np.uint64(43))
 
 
-def hits(words, items, levels):
-    """Which (item, level) pairs are in a bucket's filter."""
-    first, second, mask = places(items, levels, len(words))
-    found = (words[first] & mask) == mask
+def hits(words, items, levels, start, size):
+    """Which (item, level) pairs are in their filters, each of which has ``size`` of the words from ``start`` on."""
+    first, second, mask = places(items, levels, size)
+    found = (words[start + first] & mask) == mask
     if found.any():
         some = turned(mask[found])
-        found[found] = (words[second[found]] & some) == some
+        found[found] = (words[start[found] + second[found]] & some) == some
     return found
 
 
@@ -220,17 +222,20 @@ def counts_of_levels():
     return np.where(level < EXACT, level, EXACT * RATIO ** (level - EXACT + 0.5))
 
 
-def probe(words, items):
-    """The level of each item by repeated membership probes of one bucket's filter; the few that go far, several levels at a time."""
+def probe(words, items, start=0, size=None):
+    """The level of each item by repeated membership probes of its bucket's filter; the few that go far, several levels at a time."""
     import numpy as np
 
     levels, live, level = np.zeros(len(items), dtype=np.uint8), np.arange(len(items)), 0
+    start, size = np.broadcast_to(start, len(items)), np.broadcast_to(len(words) if size is None else size, len(items))
     while len(live) and level < TOP_LEVEL:
         some = min(32, TOP_LEVEL - level, max(1, 1024 // len(live)))
-        found = hits(words, np.repeat(items, some), np.tile(np.arange(level + 1, level + some + 1), len(items))).reshape(-1, some)
+        each = lambda x: np.repeat(x, some)
+        found = hits(words, each(items), np.tile(np.arange(level + 1, level + some + 1), len(items)), each(start), each(size)).reshape(-1, some)
         reached = np.where(found.all(axis=1), some, np.argmin(found, axis=1))
         levels[live] = level + reached
-        live, items, level = live[reached == some], items[reached == some], level + some
+        on = reached == some
+        live, items, start, size, level = live[on], items[on], start[on], size[on], level + some
     return levels
 
 
@@ -435,16 +440,37 @@ def answers(rows: DataFrame, model: Model, shard_bytes: int = SHARD_BYTES) -> Da
             import pyarrow as pa
 
             data, places = held.value
+            filters = data.view("<u8")
+
+            def found(kind, keys, buckets):
+                """The levels of each row's keys: all rows are probed together."""
+                lengths = np.array([len(x) for x in keys])
+                of = np.array([places[b][:2] for b in buckets], dtype=np.int64).reshape(-1, 2)
+                levels = probe(filters, item(kind, np.concatenate(keys)), np.repeat(of[:, 0] // 8, lengths), np.repeat(of[:, 1], lengths))
+                return np.split(levels, np.cumsum(lengths)[:-1])
+
+            def exact(one, bucket):
+                _, known, counts = parts(data, places[bucket])
+                if not len(known):
+                    return np.zeros(len(one), dtype="<i8")
+                at = np.minimum(np.searchsorted(known, one), len(known) - 1)
+                return np.where(known[at] == one, counts[at], 0)
+
+            def answered(rows):
+                buckets, gids, one, two = (list(c) for c in zip(*rows))
+                out = {"bucket": pa.array(buckets, pa.int32()), "gid": pa.array(gids, pa.int64()), "counts": [_squeezed(exact(x, b)) for x, b in zip(one, buckets)]}
+                return pa.RecordBatch.from_pydict(out | {"word_levels": list(map(_squeezed, found(WORD, one, buckets))), "pair_levels": list(map(_squeezed, found(PAIR, two, buckets)))})
+
             for batch in batches:
-                out = {"bucket": batch.column(0), "gid": batch.column(1), "counts": [], "word_levels": [], "pair_levels": []}
-                for bucket, words, two in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3))):
-                    filled, known, counts = parts(data, places[bucket])
-                    one = _keys(words)
-                    at = np.minimum(np.searchsorted(known, one), max(0, len(known) - 1))
-                    out["counts"].append(_squeezed(np.where(known[at] == one, counts[at], 0) if len(known) else np.zeros(len(one), "<i8")))
-                    out["word_levels"].append(_squeezed(probe(filled, item(WORD, one))))
-                    out["pair_levels"].append(_squeezed(probe(filled, item(PAIR, _keys(two)))))
-                yield pa.RecordBatch.from_pydict(out)
+                rows, size = [], 0
+                for bucket, gid, words, two in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                    rows.append((bucket, gid, _keys(words), _keys(two)))
+                    size += len(rows[-1][2]) + len(rows[-1][3])
+                    if size >= PROBED:
+                        yield answered(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield answered(rows)
 
         first, last = shard[0][0], shard[-1][0]
         own = rows.where(F.col("stripe").between(first // STRIPE, last // STRIPE) & F.col("bucket").between(first, last))

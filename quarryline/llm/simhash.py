@@ -483,7 +483,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, names: tuple
 
 
 def similar_documents(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """``names``, component for every document of ``docs`` (text, names); rows of equal names have equal texts."""
+    """``names``, component for every document of ``docs`` (text, names); rows of equal names have equal texts. No name is key, words or one."""
     rows = written(wide_rows(docs, names), "similar-rows")
     classes = written(rows.groupBy("key").agg(F.min("words").alias("words"), F.min(F.struct(*names)).alias("one")).where("key != 0"), "similar-classes")
     pairs = written(candidates(classes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")

@@ -28,7 +28,7 @@ def rows(sf_dir, table):
 def awkward(tmp_path_factory):
     """Nulls in any column, empty and long texts, repeated rows, ids that tie, and columns whose names clash."""
     where = tmp_path_factory.mktemp("awkward")
-    clash = {n: "x" for n in ("fp", "key", "k", "v", "size", "n", "component", "__score", "word", "count", "start", "turns", "segments")}
+    clash = {n: "x" for n in ("fp", "key", "k", "v", "size", "n", "component", "__score", "word", "count", "start", "turns", "segments", "__id", "__text", "__mix_key", "__mix_copy", "__mix_times", "alone", "probe", "bucket", "stripe", "gid", "held_out", "wid", "set", "rid", "pos", "h", "span", "words", "row", "copies", "place", "last", "one", "items", "a", "b", "root", "stratum", "__good", "lines", "target", "score")}
     words = [f"w{i % 97}" for i in range(60_000)]
     texts = [None, "", " \n\t ", "One", "a b c", "the same text of five words", "the same text of five words", " ".join(words), "Ünïcode ẞ İ K words\nsecond line\n\nlast", "x\x0by\x0cz\x85q r"]
     texts += [f"doc {i} says a thing or two about number {i * i} and then it stops\nthe same line\nthe same line" for i in range(60)]
