@@ -65,7 +65,7 @@ TOP_LEVEL = 250
 #: Bits of filter for each entry, and bits that an entry sets in each of two 64-bit words, so that a probe reads memory twice at most.
 BITS, PROBES = 40, 8
 #: Text bytes for each bucket, and tokens of a group.
-BUCKET_BYTES, GROUP_TOKENS = 8_000_000, 2_000_000
+BUCKET_BYTES, GROUP_TOKENS = 8_000_000, 1_400_000
 #: What is broadcast at once, and read into the driver's buffer at once.
 SHARD_BYTES, STRIP_BYTES = 32 << 20, 4 << 20
 #: N-grams that are probed together.
@@ -285,11 +285,18 @@ def grouped(docs: DataFrame, bucket_bits: int) -> DataFrame:
         def flush():
             ids, out = [i for x in held for i in x[0]], [h for x in held for h in x[1]]
             words, lengths = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
+            held.clear()  # and what is done with goes below too: a group is most of what a worker holds
             train = np.repeat(~np.array(out, dtype=bool), lengths)
+            counted = lambda back, n: np.bincount(back[train], minlength=n).astype("<u4")
+            keys = pairs(words)
             one, back = np.unique(words, return_inverse=True)
-            two, back2 = np.unique(pairs(words), return_inverse=True)
-            n1, n2 = (np.bincount(b[train], minlength=len(x)).astype("<u4") for b, x in ((back, one), (back2, two)))
-            row = {"stripe": [-1], "bucket": [-1], "gid": [number], "words": [_steps(one)], "word_counts": [_squeezed(back.astype("<u4"))], "pairs": [None], "pair_counts": [None], "ids": [ids], "held": [out], "lengths": [lengths]}
+            del words
+            back, n1 = back.astype("<u4"), counted(back, len(one))
+            two, back2 = np.unique(keys, return_inverse=True)
+            del keys
+            n2 = counted(back2, len(two))
+            del back2
+            row = {"stripe": [-1], "bucket": [-1], "gid": [number], "words": [_steps(one)], "word_counts": [_squeezed(back)], "pairs": [None], "pair_counts": [None], "ids": [ids], "held": [out], "lengths": [lengths]}
             yield pa.RecordBatch.from_pydict(row, schema=schema)
             c1, c2 = bucket_cuts(one, bucket_bits), bucket_cuts(two, bucket_bits)
             two = rest_of(two, bucket_bits)
@@ -308,7 +315,7 @@ def grouped(docs: DataFrame, bucket_bits: int) -> DataFrame:
                 size += len(words)
                 if size >= GROUP_TOKENS:
                     yield from flush()
-                    number, held, size = number + 1, [], 0
+                    number, size = number + 1, 0
         if size:
             yield from flush()
 
@@ -494,13 +501,15 @@ def combined(rows: DataFrame, found: DataFrame, model: Model, mu: float = MU) ->
             starts = np.cumsum(lengths) - lengths
             joined = lambda c, dtype: np.concatenate([_expanded(x[c], dtype) for x in found])  # noqa: E731  bucket by bucket is in the order of the keys
             back2 = np.unique(pairs(one[back]), return_inverse=True)[1]
-            exact, word, pair = joined("counts", "<i8")[back], value[joined("word_levels", "u1")][back], value[joined("pair_levels", "u1")][back2]
+            sums = lambda x: np.add.reduceat(x, starts)
+            exact = joined("counts", "<i8")
+            base, known = sums(np.log10(exact + 1.0)[back]) - lengths * math.log10(n + v + 1), sums((exact > 0).astype(np.int64)[back])
+            word, pair = value[joined("word_levels", "u1")][back], value[joined("pair_levels", "u1")][back2]
+            del back2, exact
             of_history = before(word)
             pair = np.minimum(pair, np.minimum(word, of_history))  # no pair is more frequent than its words
             p = np.minimum(1.0, (pair + mu * ((word + 1) / (n + v + 1))) / (of_history + mu))
-            sums = lambda x: np.add.reduceat(x, starts)
-            base = sums(np.log10(exact + 1.0)) - lengths * math.log10(n + v + 1)
-            out = {"doc_id": pa.array(group["ids"], pa.int64()), "held_out": pa.array(group["held"], pa.bool_()), "n_tokens": lengths, "n_known": sums((exact > 0).astype(np.int64)), "base_score": base, "score": sums(np.log10(p))}
+            out = {"doc_id": pa.array(group["ids"], pa.int64()), "held_out": pa.array(group["held"], pa.bool_()), "n_tokens": lengths, "n_known": known, "base_score": base, "score": sums(np.log10(p))}
             return pa.RecordBatch.from_pydict(out)
 
         group, held = None, []
