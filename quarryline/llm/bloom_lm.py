@@ -11,8 +11,8 @@ clamped to the counts of its two words:
 
 Every pair of the training texts is in the filter, those seen once too, so
 with exact counts the p(w | h) of a history add up to 1. Quantised counts are
-off by 4 % at most above EXACT, and a filter has false hits, some 1 in 100,000
-for absent pairs: over a vocabulary of V words they add V / 100,000 / (c(h) + MU)
+off by 4 % at most above EXACT, and a filter has false hits, some 3 in 100,000
+for absent pairs: over a vocabulary of V words they add 3 V / 100,000 / (c(h) + MU)
 to the sum of a history, so the sums are near 1 and not 1 (the tests find 0.96
 to 1.04 on a small table; with many millions of words a rare history's is
 larger, unless BITS is raised). The add-one base score needs exact word counts; these ride along as
@@ -63,7 +63,7 @@ MU = 100.0
 EXACT, RATIO = 16, 1.08
 TOP_LEVEL = 250
 #: Bits of filter for each entry, and bits that an entry sets in each of two 64-bit words, so that a probe reads memory twice at most.
-BITS, PROBES = 40, 8
+BITS, PROBES = 32, 7
 #: Text bytes for each bucket, and tokens of a group.
 BUCKET_BYTES, GROUP_TOKENS = 8_000_000, 1_400_000
 #: What is broadcast at once, and read into the driver's buffer at once.
@@ -435,10 +435,13 @@ def train(rows: DataFrame, bits: int = BITS) -> Model:
 # ---------------------------------------------------------------- scoring
 
 
-def answers(rows: DataFrame, model: Model, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """ANSWER rows: for the n-grams of each bucket of each group, the exact counts of its words and the levels of all."""
+def answers(rows: DataFrame, model: Model, shard_bytes: int = SHARD_BYTES, spent: bool = False) -> DataFrame:
+    """ANSWER rows: for the n-grams of each bucket of each group, the exact counts of its words and the levels of all.
+
+    With ``spent``, a shard's files and the folders of its rows are deleted once it is done.
+    """
     spark = rows.sparkSession
-    path = new_folder(spark, "lm-answers")
+    path, gone = new_folder(spark, "lm-answers"), 0
     for shard in model.shards(shard_bytes):
         held = spark.sparkContext.broadcast(model.read(shard))
 
@@ -483,6 +486,10 @@ def answers(rows: DataFrame, model: Model, shard_bytes: int = SHARD_BYTES) -> Da
         own = rows.where(F.col("stripe").between(first // STRIPE, last // STRIPE) & F.col("bucket").between(first, last))
         own.select("bucket", "gid", "words", "pairs").mapInArrow(look_up, ANSWER).write.mode("append").parquet(path)
         held.destroy()  # its rows are written, so nothing reads this shard again
+        if spent:
+            whole = (last + 1) // STRIPE
+            discard(*[f"{model.folder}/{name}" for _, name, _, _ in shard], *[f"{rows.written_at}/stripe={i}" for i in range(gone, whole)], spark=spark)
+            gone = whole
     return spark.read.schema(ANSWER).parquet(path) if model.buckets else spark.createDataFrame([], ANSWER)
 
 
@@ -536,9 +543,7 @@ def score(docs: DataFrame, *, mu: float = MU, bits: int = BITS, shard_bytes: int
     bucket_bits = (size // bucket_bytes).bit_length()
     rows = written(grouped(docs, bucket_bits), "lm-groups", by=("stripe",))
     model = train(rows, bits)
-    found = answers(rows, model, shard_bytes)
-    discard(model.folder, *[f"{rows.written_at}/stripe={i}" for i in {b // STRIPE for b, *_ in model.buckets}], spark=docs.sparkSession)  # what is left is the groups' tokens
-    return combined(rows, found, model, mu)
+    return combined(rows, answers(rows, model, shard_bytes, spent=True), model, mu)
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,7 +78,7 @@ def test_false_hits():
     found = lm.probe(filled, lm.item(lm.PAIR, inside))
     assert (found >= levels).all() and (found == levels).mean() > 0.999
     absent = lm.probe(filled, lm.item(lm.PAIR, outside))
-    assert (absent > 0).mean() < 3e-5, (absent > 0).mean()
+    assert (absent > 0).mean() < 1e-4, (absent > 0).mean()
 
 
 def test_no_training_rows(spark):
