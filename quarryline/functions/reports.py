@@ -62,7 +62,12 @@ def cache_key(code: Column, prompt: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Search tokens: runs of letters and digits of three characters or more, lower-cased after that."""
-    return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}]+"), lambda w: F.char_length(w) > 2), lambda w: F.lower(w))
+    return F.transform(runs(text), lambda w: F.lower(w))
+
+
+def runs(text: Column) -> Column:
+    """The search tokens before they are lower-cased."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0))
 
 
 def latin1(text: Column) -> Column:

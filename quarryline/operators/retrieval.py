@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarryline.functions.reports import NO_NAME, context_text, file_id, tokens
+from quarryline.functions.reports import NO_NAME, context_text, file_id, runs, tokens
 from quarryline.names import fresh
 
 
@@ -36,7 +36,8 @@ def occurrences(files: DataFrame, *keys: str, text: Column | str = "content") ->
     """keys, token, n (1), total for each token of each row as often as it occurs: for ``scores``, which drops all but the queries' tokens at once."""
     text = F.col(text) if isinstance(text, str) else text
     found = fresh("found", files.select(*keys))
-    return files.select(*keys, tokens(text).alias(found)).select(*keys, F.size(found).cast("long").alias("total"), F.explode(found).alias("token")).select(*keys, "token", F.lit(1).cast("long").alias("n"), "total")
+    each = files.select(*keys, runs(text).alias(found)).select(*keys, F.size(found).cast("long").alias("total"), F.explode(found).alias("token"))
+    return each.select(*keys, F.lower("token").alias("token"), F.lit(1).cast("long").alias("n"), "total")  # lower-cased in generated code
 
 
 def query_counts(queries: DataFrame, key: str, text: str) -> DataFrame:
