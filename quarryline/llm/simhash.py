@@ -28,18 +28,21 @@ agree on at least one whole block; nodes with more than ``NODE_ROWS``
 fingerprints are cut again by the blocks of the remaining bits, which is exact
 for the same reason.
 
-``similar_documents`` links sets of word shingles by their Jaccard similarity.
-At 0.8, some 15 % of bits differ, too many for exact blocks. Its fingerprints,
-of distinct shingles, have ``WIDE_WORDS`` words, the blocks 13 bits, and a pair
-is a candidate where the words together differ in ``WIDE_BITS`` or fewer; a
-pair of similarity 0.8 agrees on one of the 30 blocks with a probability of
-0.98 and passes the bound with one of 0.99, pairs that are more alike nearly
-always. Forests grow by rising bounds, so the closest candidates are kept, and
-each of their pairs is decided by the whole sets: no link is wrong, and the
-recall is measured in the tests and stated in the README. Nodes with more than
-``NODE_ROWS`` members are dealt out by pairs of slices. The work in nodes grows
-with the square of their size; for far more than 10**8 distinct documents,
-longer blocks and more words are the parameters to raise.
+``similar_documents`` links sets of word shingles by their Jaccard similarity,
+0.8 or more, and loses no link. A set with more than a fifth of its shingles to
+itself has none: that is counted over the ids in the lowest 3/10 of all hashes,
+packed by buckets; ids that clash only leave more sets in. The sets that stay go
+through the index. At 0.8, some 15 % of bits differ, too many for exact blocks,
+so it finds most links, not all: its fingerprints, of distinct shingles, have
+``WIDE_WORDS`` words, the blocks 13 bits, and a pair is a candidate where the
+words together differ in ``WIDE_BITS`` or fewer. Forests grow by rising bounds,
+so the closest candidates are kept, and each of their pairs is decided by the
+whole sets. What that leaves apart is met by exact prefixes (``open_pairs``):
+each pair of sets of different components that share a shingle among the rarest
+of both, and may be similar by their sizes and places, is decided by the whole
+sets too. Nodes with more than ``NODE_ROWS`` members are dealt out by pairs of
+slices; the work in nodes grows with the square of their size, and so do the
+pairs of a shingle that is among the rarest of many sets in different components.
 
 Defined results: fewer words than a shingle make one shingle, no words (null
 or empty text) the fingerprint zero, which links like any other in
@@ -50,7 +53,7 @@ no other; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.llm.shared import discard, written
@@ -68,6 +71,8 @@ PIVOTS = 8
 WIDE_SHINGLE, WIDE_WORDS, WIDE_BLOCKS, WIDE_BITS = 5, 6, 5, 76
 #: The similarity that links, in fifths.
 FIFTHS = 4
+#: Words whose hashes a task keeps; 40-bit ids of shingles below this are counted over all sets; ids of a bucket, and ids that a task packs at a time.
+KNOWN_WORDS, FIRST_IDS, BUCKET_IDS, DEALT_IDS = 200_000, 3 * (1 << 40) // 10, 250_000, 1 << 19
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -102,15 +107,20 @@ def wide_fingerprint(hashes, words: int = WIDE_WORDS) -> list[int]:
 
     out = []
     for k in range(words):
-        x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        if k:
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x = x ^ (x >> np.uint64(31))
+        x = _mixed(hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if k else hashes
         out.append(majority(x) if len(x) else 0)
     return out
 
 
+def _mixed(x):
+    """64-bit integers, their bits mixed (SplitMix64's last steps)."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def majority(hashes) -> int:
     """Bits that are set in more than half the hashes: bytes are counted by value, then values turn into bits."""
     import numpy as np
@@ -413,12 +423,33 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", shingl
 
 
 def _hashed_sets(texts):
-    """The sorted distinct shingle hashes of each text of an Arrow column."""
+    """The sorted distinct shingle hashes of each text of an Arrow column: mixed sums of the XXH64 of their words, times a factor for each place."""
     import numpy as np
     import pyarrow as pa
+    from xxhash import xxh64_intdigest
+
+    known: dict[bytes, int] = {}
+    factors = np.array([xxh64_intdigest(bytes([i]), SEED) | 1 for i in range(WIDE_SHINGLE)], dtype=np.uint64)
+
+    def hashed(word: bytes) -> int:
+        if (found := known.get(word)) is None:
+            if len(known) >= KNOWN_WORDS:
+                known.clear()
+            found = known[word] = xxh64_intdigest(word, SEED)
+        return found
 
     for x in texts.cast(pa.binary()):
-        yield np.unique(shingle_hashes(x.as_buffer().to_pybytes() if x.is_valid else b"", WIDE_SHINGLE))
+        words = x.as_buffer().to_pybytes().lower().split() if x.is_valid else []
+        if not words:
+            yield np.zeros(0, dtype="<u8")
+            continue
+        w = np.fromiter(map(hashed, words), dtype=np.uint64, count=len(words))
+        size = min(WIDE_SHINGLE, len(w))
+        n = len(w) - size + 1
+        sums = np.full(n, size, dtype=np.uint64)
+        for i in range(size):
+            sums += w[i : i + n] * factors[i]
+        yield np.unique(_mixed(sums)).astype("<u8", copy=False)
 
 
 def _set_key(found) -> int:
@@ -428,21 +459,126 @@ def _set_key(found) -> int:
     return xxh64_intdigest(found.tobytes(), SEED) - (1 << 63) if len(found) else 0
 
 
-def wide_rows(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """``names``, key (of the set of shingles), words (its wide fingerprint, big-endian) of each document of ``docs`` (text, names)."""
+def _first_ids(found):
+    """The distinct 40-bit ids of a set's shingles, as far as they are below FIRST_IDS."""
+    import numpy as np
+
+    return np.unique(found[: np.searchsorted(found, np.uint64(FIRST_IDS << 24))] >> np.uint64(24))
+
+
+def set_rows(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``names``, key (of the set of shingles), size (of the set), first (its ids below FIRST_IDS) of each document of ``docs`` (text, names)."""
 
     def compute(batches):
         import pyarrow as pa
 
         for batch in batches:
-            keys, words = [], []
+            keys, sizes, firsts = [], [], []
             for found in _hashed_sets(batch.column(0)):
                 keys.append(_set_key(found))
-                words.append(b"".join(x.to_bytes(8, "big") for x in wide_fingerprint(found)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(keys, type=pa.int64()), pa.array(words, type=pa.binary())], names=[*names, "key", "words"])
+                sizes.append(len(found))
+                firsts.append(len(_first_ids(found)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[pa.array(x, type=pa.int64()) for x in (keys, sizes, firsts)]], names=[*names, "key", "size", "first"])
 
     kept = docs.select("text", *names)
-    return kept.mapInArrow(compute, kept.select(*names, F.lit(0).cast("long").alias("key"), F.lit(b"").alias("words")).schema)
+    zero = F.lit(0).cast("long")
+    return kept.mapInArrow(compute, kept.select(*names, zero.alias("key"), zero.alias("size"), zero.alias("first")).schema)
+
+
+def shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
+    """key, shared: how many of a set's ids below FIRST_IDS another set of ``docs`` (text) has too; sets without one have no row.
+
+    The ids go by buckets (id modulo ``buckets``, 256 at least, so that the
+    quotient has 32 bits), packed; of a task's copies one is sent.
+    """
+
+    def deal(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        seen, keys, ids, n = set(), [], [], 0
+
+        def packed():
+            each = np.concatenate(ids)
+            owner = np.repeat(np.array(keys, dtype="<i8"), [len(x) for x in ids])
+            bucket = each % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            bucket, owner, each = bucket[order], owner[order], (each[order] // np.uint64(buckets)).astype("<u4")
+            starts = np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1, [len(bucket)]])
+            cut = lambda x: pa.array([x[s:e].tobytes() for s, e in zip(starts[:-1], starts[1:])], type=pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(bucket[starts[:-1]].astype(np.int64)), cut(each), cut(owner)], names=["bucket", "ids", "keys"])
+
+        for batch in batches:
+            for found in _hashed_sets(batch.column(0)):
+                if (key := _set_key(found)) in seen or not len(some := _first_ids(found)):
+                    continue
+                seen.add(key)
+                keys.append(key)
+                ids.append(some)
+                n += len(some)
+                if n >= DEALT_IDS:
+                    yield packed()
+                    keys, ids, n = [], [], 0
+        if n:
+            yield packed()
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        now, held, found, n = None, [], [], 0
+
+        def close():
+            ids, keys = (np.concatenate([np.frombuffer(x[i], dtype=kind) for x in held]) for i, kind in enumerate(("<u4", "<i8")))
+            order = np.lexsort((keys, ids))
+            ids, keys = ids[order], keys[order]
+            once = np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])
+            ids, keys = ids[once], keys[once]
+            same = ids[1:] == ids[:-1]
+            shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            found.append(np.unique(keys[shared], return_counts=True))
+            return len(found[-1][0])
+
+        def summed():
+            keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+            sums = np.bincount(at, weights=np.concatenate([c for _, c in found]), minlength=len(keys)).astype(np.int64)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys, type=pa.int64()), pa.array(sums)], names=["key", "shared"])
+
+        for batch in batches:
+            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != now and held:
+                    n += close()
+                    held = []
+                    if n >= DEALT_IDS:
+                        yield summed()
+                        n = 0
+                now = bucket
+                held.append(row)
+        if held:
+            close()
+        if found:
+            yield summed()
+
+    dealt = docs.select("text").mapInArrow(deal, "bucket long, ids binary, keys binary").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(count, "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
+
+
+def hashed_sets(docs: DataFrame, one: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """key, size, items (the set), words (its wide fingerprint, big-endian) of the documents of ``docs`` (text, names) that ``one`` (names) names, each once."""
+
+    def compute(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                found = list(_hashed_sets(batch.column(0).slice(at, 256)))
+                words = [b"".join(x.to_bytes(8, "big") for x in wide_fingerprint(x)) for x in found]
+                columns = [pa.array([_set_key(x) for x in found], type=pa.int64()), pa.array([len(x) for x in found], type=pa.int64()), pa.array([x.view("<i8") for x in found], type=pa.list_(pa.int64())), pa.array(words, type=pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "size", "items", "words"])
+
+    texts = docs.join(one, list(names), "left_semi").dropDuplicates(list(names)).select("text")
+    return texts.mapInArrow(compute, "key long, size long, items array<long>, words binary")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -460,38 +596,66 @@ def candidates(classes: DataFrame) -> DataFrame:
     return nodes.repartition("k", "v", "s", "w").sortWithinPartitions("k", "v", "s", "w").mapInArrow(_searcher(bounds, WIDE_WORDS), "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """Those of the pairs a, b of keys whose whole sets have a similarity of FIFTHS / 5 or more; ``one`` of ``classes`` names a document of each key."""
-
-    def compute(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            found = list(_hashed_sets(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array([_set_key(x) for x in found], type=pa.int64()), pa.array([x.view("<i8") for x in found], type=pa.list_(pa.int64()))], names=["key", "items"])
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    one = written(classes.join(wanted, "key", "left_semi").select("one.*"), "similar-wanted")
-    texts = docs.join(one, list(names), "left_semi").dropDuplicates(list(names)).select("text")
-    sets = written(texts.mapInArrow(compute, "key long, items array<long>"), "similar-sets")
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs a, b of keys whose whole sets have a similarity of FIFTHS / 5 or more."""
     side = lambda c: sets.select(F.col("key").alias(c), F.col("items").alias(f"set_{c}"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     alike = (5 + FIFTHS) * both >= FIFTHS * (F.size("set_a") + F.size("set_b"))  # both / (a + b - both)
-    out = written(pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b"), "similar-links")
-    discard(one, sets)
-    return out
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b")
+
+
+def open_pairs(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b: every pair of keys that may be similar and that ``roots`` (fp, root) does not join yet, by exact prefixes.
+
+    In one order of all shingles, the rarest first, two similar sets have
+    their first common shingle among the first size / 5 + 1 of each; from
+    there on both must be long enough for what they have to share. Shingles
+    of one set alone come first and meet nothing.
+    """
+    entries = sets.select("key", "size", F.explode("items").alias("item"))
+    often = written(entries.groupBy("item").agg(F.count("*").alias("sets")).where("sets > 1"), "similar-often")
+    common = entries.join(often, "item")
+    own = Window.partitionBy("key")
+    place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("sets", "item"))  # from 1, those of this set alone before
+    placed = common.select("key", "size", "item", place.alias("place")).where(f"5 * (place - 1) <= {5 - FIFTHS} * size")
+    prefixes = written(placed.join(roots.withColumnRenamed("fp", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "similar-prefixes")
+    mixed = written(prefixes.groupBy("item").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("item"), "similar-mixed")
+    met = written(prefixes.join(mixed, "item", "left_semi"), "similar-met")
+    discard(often, prefixes, mixed)
+    a, b = (met.select("item", *[F.col(c).alias(f"{c}_{x}") for c in ("key", "size", "place", "root")]) for x in "ab")
+    left = 1 + F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    may = (F.col("root_a") < F.col("root_b")) & ((5 + FIFTHS) * left >= FIFTHS * (F.col("size_a") + F.col("size_b")))
+    may &= 5 * F.least("size_a", "size_b") >= FIFTHS * F.greatest("size_a", "size_b")
+    pairs = written(a.join(b, "item").where(may).select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct(), "similar-open")
+    discard(met)
+    return pairs
 
 
 def similar_documents(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """``names``, component for every document of ``docs`` (text, names); rows of equal names have equal texts. No name is key, words or one."""
-    rows = written(wide_rows(docs, names), "similar-rows")
-    classes = written(rows.groupBy("key").agg(F.min("words").alias("words"), F.min(F.struct(*names)).alias("one")).where("key != 0"), "similar-classes")
-    pairs = written(candidates(classes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
-    links = verified(pairs, docs, classes, names)
-    discard(pairs, classes)
-    found = written(components(links).withColumnRenamed("fp", "key"), "similar-components")
-    discard(links)
-    return rows.join(found, "key", "left").select(*names, F.coalesce("root", "key").alias("component"))
+    """``names``, component for every document of ``docs`` (text, names); rows of equal names have equal texts. No name is key, size, first or one."""
+    spark = docs.sparkSession
+    rows = written(set_rows(docs, names), "similar-rows")
+    classes = written(rows.groupBy("key").agg(F.min("size").alias("size"), F.min("first").alias("first"), F.min(F.struct(*names)).alias("one")).where("key != 0"), "similar-classes")
+    ids = classes.agg(F.sum("first")).first()[0] or 0
+    buckets = max(256, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")), ids // BUCKET_IDS)
+    shared = written(shared_counts(docs, buckets), "similar-shared")
+    alone = F.col("first") - F.coalesce("shared", F.lit(0))
+    one = written(classes.join(shared, "key", "left").where(5 * alone <= (5 - FIFTHS) * F.col("size")).select("one.*"), "similar-wanted")
+    sets = written(hashed_sets(docs, one, names), "similar-sets")
+    discard(classes, shared, one)
+    pairs = written(candidates(sets).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
+    links = written(verified(pairs, sets), "similar-links")
+    discard(pairs)
+    found = written(components(links), "similar-components")
+    rest = open_pairs(sets, found)
+    more = written(verified(rest, sets), "similar-links")
+    discard(sets, rest)
+    if not more.isEmpty():
+        joined = written(components(links.union(more)), "similar-components")
+        discard(found)
+        found = joined
+    discard(links, more)
+    return rows.join(found.withColumnRenamed("fp", "key"), "key", "left").select(*names, F.coalesce("root", "key").alias("component"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The index against all pairs: forests, dense and large nodes, and the recall of similar_documents."""
+"""The index against all pairs: forests, dense and large nodes, and the links of similar_documents."""
 
 import random
 from itertools import combinations
@@ -101,3 +101,57 @@ def test_near_dedup_keeps_the_least_of_each_component(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).select("doc_id").collect()}
     found = simhash.similar_documents(docs.select("text", "doc_id"), ("doc_id",)).groupBy("component").agg(F.min("doc_id").alias("least"))
     assert kept == {r["least"] for r in found.collect()}
+
+
+def five_word_sets(texts):
+    words = [(t or "").encode().lower().split() for t in texts]
+    return [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in words]
+
+
+@pytest.fixture(scope="module")
+def limit_texts():
+    """Pairs of texts just at the limit or just below, of many lengths, most with a passage that many share; longer texts that hold a whole one."""
+    rng = random.Random(11)
+    passage, texts = " ".join(f"p{i}" for i in range(12)), []
+    for c in range(600):
+        n = rng.choice((8, 9, 12, 25, 60, 130))
+        words = [f"c{c}w{i}" for i in range(n)]
+        tail = f" {passage}" if c % 3 else ""
+        texts.append(" ".join(words) + tail)
+        if c % 2:  # words in the middle of the text, each changes five shingles
+            size, changed = n - 4 + (12 if tail else 0), 0
+            while 9 * (size - 5 * (changed + 1)) >= 4 * 2 * size:
+                changed += 1
+            for i in range(changed + (c % 5 == 0)):
+                words[min(6 * i + 4, n - 1)] = f"e{c}x{i}"
+            texts.append(" ".join(words) + tail)
+        else:  # words before it
+            texts.append(" ".join([f"b{c}x{i}" for i in range((n + 8 if tail else n - 4) // 4 + (c % 5 == 0))] + words) + tail)
+    return [*texts, None, "", "a b", "A  b"]
+
+
+@pytest.mark.parametrize("bits", [simhash.WIDE_BITS, 0])
+def test_no_link_at_the_limit_is_lost(spark, limit_texts, monkeypatch, bits):
+    """Components are those of all pairs, whatever the index finds before."""
+    monkeypatch.setattr(simhash, "WIDE_BITS", bits)
+    sets = five_word_sets(limit_texts)
+    alike = [(i, j) for i, j in combinations(range(len(sets)), 2) if sets[i] == sets[j] or 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
+    docs = spark.createDataFrame(list(enumerate(limit_texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component"] for r in simhash.similar_documents(docs.select("text", "doc_id"), ("doc_id",)).collect()}
+    least = {}
+    for i in sorted(got):
+        least.setdefault(got[i], i)
+    assert len(alike) > 300 and [least[got[i]] for i in range(len(sets))] == components_of(len(sets), alike)
+
+
+def test_shared_counts(spark):
+    """Ids that two different sets have, copies counted once; the same for any number of buckets."""
+    texts = ["a b c d e f g h i j", "a b c d e f g h i j", "a b c d e f g h z z", "k l m n o p q"] + [f"x{i} " * 3 + "a b c d e f g" for i in range(40)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    rows = {r["key"]: r["first"] for r in simhash.set_rows(spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "text string, i int"), ("i",)).collect()}
+    ids = {simhash._set_key(s): set(simhash._first_ids(s).tolist()) for s in simhash._hashed_sets(pa.array(texts))}
+    assert rows == {k: len(v) for k, v in ids.items()}
+    want = {k: sum(any(x in w for q, w in ids.items() if q != k) for x in v) for k, v in ids.items()}
+    for buckets in (256, 1000):
+        got = {r["key"]: r["shared"] for r in simhash.shared_counts(docs, buckets).collect()}
+        assert got == {k: n for k, n in want.items() if n} and got
