@@ -638,23 +638,20 @@ def similar_documents(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
     classes = written(rows.groupBy("key").agg(F.min("size").alias("size"), F.min("first").alias("first"), F.min(F.struct(*names)).alias("one")).where("key != 0"), "similar-classes")
     ids = classes.agg(F.sum("first")).first()[0] or 0
     buckets = max(256, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")), ids // BUCKET_IDS)
-    shared = written(shared_counts(docs, buckets), "similar-shared")
     alone = F.col("first") - F.coalesce("shared", F.lit(0))
-    one = written(classes.join(shared, "key", "left").where(5 * alone <= (5 - FIFTHS) * F.col("size")).select("one.*"), "similar-wanted")
+    one = written(classes.join(shared_counts(docs, buckets), "key", "left").where(5 * alone <= (5 - FIFTHS) * F.col("size")).select("one.*"), "similar-wanted")
     sets = written(hashed_sets(docs, one, names), "similar-sets")
-    discard(classes, shared, one)
+    discard(classes, one)
     pairs = written(candidates(sets).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
-    links = written(verified(pairs, sets), "similar-links")
-    discard(pairs)
-    found = written(components(links), "similar-components")
+    found = written(components(verified(pairs, sets)), "similar-components")
     rest = open_pairs(sets, found)
     more = written(verified(rest, sets), "similar-links")
-    discard(sets, rest)
+    discard(sets, pairs, rest)
     if not more.isEmpty():
-        joined = written(components(links.union(more)), "similar-components")
+        joined = written(components(found.select(F.col("fp").alias("a"), F.col("root").alias("b")).union(more)), "similar-components")
         discard(found)
         found = joined
-    discard(links, more)
+    discard(more)
     return rows.join(found.withColumnRenamed("fp", "key"), "key", "left").select(*names, F.coalesce("root", "key").alias("component"))
 
 
