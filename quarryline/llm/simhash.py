@@ -8,11 +8,11 @@ number, block value): the block is the masked pattern that all below the node
 share. Within a node the fingerprints are sorted by Gray rank, so that
 neighbours share most bits, and a tree is laid over them: each upper node holds
 the mask of the bits that all below it share, and their pattern. Group is held
-against group from the root down, and a pair of groups goes as soon as the
-differences of their shared bits, added up word by word, exceed the bound, or
-where all of both groups are linked up already; what is left is compared bit by
-bit. Before that, a few fingerprints spread over the node are held against
-all of it, which links a dense group by one row for each member.
+against group from the root down, a group against itself first, and a pair of
+groups goes as soon as the differences of their shared bits, added up word by
+word, exceed the bound, or where all of both groups are linked up already; what
+is left is compared bit by bit in leaves of ``LEAF`` rows. All nodes of a task,
+of whatever size, lie in one such index and go down it together.
 
 A node gives a spanning forest of its links (at most one row for each member),
 never its pairs; the forests of all nodes connect what all links connect.
@@ -34,7 +34,7 @@ itself has none: that is counted over the ids in the lowest 3/10 of all hashes,
 packed by buckets; ids that clash only leave more sets in. The sets that stay go
 through the index. At 0.8, some 15 % of bits differ, too many for exact blocks,
 so it finds most links, not all: its fingerprints, of distinct shingles, have
-``WIDE_WORDS`` words, the blocks 13 bits, and a pair is a candidate where the
+``WIDE_WORDS`` words, the blocks 12 bits (the last 4 of each word are in none), and a pair is a candidate where the
 words together differ in ``WIDE_BITS`` or fewer. Forests grow by rising bounds,
 so the closest candidates are kept, and each of their pairs is decided by the
 whole sets. What that leaves apart is met by exact prefixes (``open_pairs``):
@@ -64,9 +64,9 @@ SEED = 42
 #: A node with more fingerprints is cut again.
 NODE_ROWS = 20_000
 #: Fingerprints in a leaf of the tree, and children of an upper node.
-LEAF, FANOUT = 16, 4
-#: Fingerprints that are held against all of their node first.
-PIVOTS = 8
+LEAF, FANOUT = 4, 4
+#: Rows of the nodes that a task lays one index over, about, and pairs of groups that go down it at a time.
+TREE_ROWS, PIECE = 1 << 17, 1 << 14
 #: Of similar_documents: words of a shingle, words of a fingerprint, blocks of each, and differing bits of a candidate pair.
 WIDE_SHINGLE, WIDE_WORDS, WIDE_BLOCKS, WIDE_BITS = 5, 6, 5, 76
 #: The similarity that links, in fifths.
@@ -181,18 +181,34 @@ def gray_rank(values):
     return out
 
 
-def tree(values):
-    """Levels of the index over sorted rows of words, leaves first: (pattern, shared mask) arrays for each level."""
-    import numpy as np
+class Trees:
+    """The trees of many nodes over rows of words, sorted by (node, Gray rank): each level's groups, leaves first, lie within one node."""
 
-    levels, conj, disj, step = [], values, values, LEAF
-    while True:
-        cuts = np.arange(0, len(conj), step)
-        conj, disj = np.bitwise_and.reduceat(conj, cuts), np.bitwise_or.reduceat(disj, cuts)
-        levels.append((conj, ~(conj ^ disj)))  # a bit is shared if AND and OR agree on it
-        if len(cuts) == 1:
-            return levels
-        step = FANOUT
+    def __init__(self, values, sizes):
+        """``sizes``: the rows of each node, in order."""
+        import numpy as np
+
+        self.values, self.levels, conj, disj, counts, step = values, [], values, values, sizes, LEAF
+        while True:
+            groups = -(-counts // step)
+            within = np.arange(groups.sum()) - np.repeat(np.cumsum(groups) - groups, groups)
+            cuts = np.repeat(np.cumsum(counts) - counts, groups) + step * within
+            ends = np.concatenate([cuts[1:], [len(conj)]])
+            conj, disj = np.bitwise_and.reduceat(conj, cuts), np.bitwise_or.reduceat(disj, cuts)
+            self.levels.append((conj, ~(conj ^ disj), cuts, ends))  # a bit is shared if AND and OR agree on it
+            if (groups == 1).all():
+                return
+            counts, step = groups, FANOUT
+
+    def spans(self, labels):
+        """The least and the greatest label of each group, by level."""
+        import numpy as np
+
+        out, low, high = [], labels, labels
+        for _, _, cuts, _ in self.levels:
+            low, high = np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
+            out.append((low, high))
+        return out
 
 
 def near(x, y, masks, max_bits: int):
@@ -212,59 +228,62 @@ def near(x, y, masks, max_bits: int):
     return left
 
 
-def linked_pairs(values, max_bits: int, labels):
-    """Index pairs (i < j) of Gray-sorted distinct rows of words at max_bits differing bits or fewer, in pieces.
+def linked_pairs(trees: Trees, max_bits: int, labels):
+    """Index pairs (i < j) of rows of one node at max_bits differing bits or fewer, in pieces.
 
-    Pairs of groups that lie in one and the same label are left out.
+    A group is held against itself before it is held against others. Pairs of
+    rows or groups that lie in one and the same label are left out;
+    ``labels()`` gives the labels as they are by then, and whether they changed.
     """
     import numpy as np
 
-    levels, bounds, low, high = tree(values), [], labels, labels
-    for k in range(len(levels)):
-        cuts = np.arange(0, len(low), FANOUT if k else LEAF)
-        low, high = np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
-        bounds.append((low, high))
-    stack = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    now, spans = labels()[0], None
+    top = len(trees.levels) - 1
+    roots = np.arange(len(trees.levels[top][0]))
+    stack = [(top, roots, roots)]
     while stack:
         depth, a, b = stack.pop()
-        if len(a) > 1 << 14:  # keeps every step within bounded memory
+        if len(a) > PIECE:  # keeps every step within bounded memory
             half = len(a) // 2
-            stack += [(depth, a[:half], b[:half]), (depth, a[half:], b[half:])]
+            stack += [(depth, a[half:], b[half:]), (depth, a[:half], b[:half])]
             continue
-        low, high = bounds[depth]
+        now, changed = labels()
+        if changed or spans is None:
+            spans = trees.spans(now)
+        low, high = spans[depth]
         open_ = ~((low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b]))
         a, b = a[open_], b[open_]
-        pattern, mask = levels[depth]
+        pattern, mask, first, end = trees.levels[depth]
         keep = near((a, pattern), (b, pattern), mask, max_bits)
         a, b = a[keep], b[keep]
         if not len(a):
             continue
-        width = LEAF if depth == 0 else FANOUT
-        size = len(values) if depth == 0 else len(levels[depth - 1][0])
-        i, j = np.divmod(np.arange(width * width), width)
-        x, y = (a[:, None] * width + i).ravel(), (b[:, None] * width + j).ravel()
-        within = (y < size) & ((x < y) if depth == 0 else (x <= y))
-        x, y = x[within], y[within]
+        wide = end[b] - first[b]
+        n = (end[a] - first[a]) * wide
+        pair = np.repeat(np.arange(len(a)), n)
+        k = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+        x, y = first[a][pair] + k // wide[pair], first[b][pair] + k % wide[pair]
         if depth:
-            stack.append((depth - 1, x, y))
+            own = x == y
+            stack += [(depth - 1, x[z], y[z]) for z in (x < y, own) if z.any()]
         else:
-            found = near((x, values), (y, values), None, max_bits)
+            z = (x < y) & (now[x] != now[y])
+            x, y = x[z], y[z]
+            found = near((x, trees.values), (y, trees.values), None, max_bits)
             if len(found):
                 yield x[found], y[found]
 
 
-def forest(values, bounds: tuple[int, ...]):
-    """Spanning edges (index pairs) of the links among Gray-sorted distinct rows of words; the links of each bound come before those of the next."""
+def forest(values, sizes, bounds: tuple[int, ...]):
+    """Spanning edges (index pairs) of the links within each node, of rows of words sorted by (node, Gray rank); the links of each bound come before those of the next."""
     import numpy as np
 
     n = len(values)
-    labels, out_a, out_b = np.arange(n), [], []
+    labels, out_a, out_b, changed = np.arange(n), [], [], True
 
     def joined(x, y):
-        """Add the edges x, y that a spanning forest needs; labels stay the least index of each tree."""
-        nonlocal labels
-        apart = labels[x] != labels[y]
-        x, y = x[apart], y[apart]
+        """Add the edges x, y that a spanning forest needs, the closest first; labels stay the least index of each tree."""
+        nonlocal labels, changed
         root: dict[int, int] = {}
 
         def find(i: int) -> int:
@@ -273,6 +292,8 @@ def forest(values, bounds: tuple[int, ...]):
                 i = up
             return i
 
+        order = np.argsort(np.bitwise_count(values[x] ^ values[y]).sum(axis=1), kind="stable")
+        x, y = x[order], y[order]
         u, v = labels[x], labels[y]
         _, first = np.unique(np.minimum(u, v) * n + np.maximum(u, v), return_index=True)
         for i in sorted(first.tolist()):
@@ -285,24 +306,16 @@ def forest(values, bounds: tuple[int, ...]):
             old = np.array(sorted(root))
             new = np.array([find(int(i)) for i in old])
             at = np.minimum(np.searchsorted(old, labels), len(old) - 1)
-            labels = np.where(old[at] == labels, new[at], labels)
-
-    if n <= 4 * LEAF:  # every pair at once, the closest first
-        x, y = np.triu_indices(n, 1)
-        found = near((x, values), (y, values), None, bounds[-1])
-        if len(found):
-            x, y = x[found], y[found]
-            order = np.argsort(np.bitwise_count(values[x] ^ values[y]).sum(axis=1), kind="stable")
-            joined(x[order], y[order])
-        return np.array(out_a, dtype=np.int64), np.array(out_b, dtype=np.int64)
+            labels, changed = np.where(old[at] == labels, new[at], labels), True
+
+    def current():
+        nonlocal changed
+        was, changed = changed, False
+        return labels, was
+
+    trees = Trees(values, sizes)
     for max_bits in bounds:
-        for p in np.linspace(0, n - 1, PIVOTS).astype(np.int64):
-            every = np.arange(n)
-            found = near((every, values), (np.full(n, p), values), None, max_bits)
-            found = found[found != p]
-            if len(found):
-                joined(np.full(len(found), p), found)
-        for x, y in linked_pairs(values, max_bits, labels):
+        for x, y in linked_pairs(trees, max_bits, current):
             joined(x, y)
     return np.array(out_a, dtype=np.int64), np.array(out_b, dtype=np.int64)
 
@@ -310,40 +323,46 @@ def forest(values, bounds: tuple[int, ...]):
 def _searcher(bounds: tuple[int, ...], words: int):
     """Rows (four columns that name a node, key, fingerprint words as bytes) in the order of their nodes to spanning edges a, b between keys."""
 
-    def edges(keys, values):
+    def edges(nodes, keys, values):
         import numpy as np
 
-        order = np.argsort(gray_rank(values[:, 0]), kind="stable")
+        number = np.concatenate([[0], np.cumsum((nodes[1:] != nodes[:-1]).any(axis=1))])
+        met = np.bincount(number)[number] > 1  # a node of one row has no link
+        number, keys, values = number[met], keys[met], values[met]
+        if not len(keys):
+            return keys, keys
+        order = np.lexsort((gray_rank(values[:, 0]), number))
         keys, values = keys[order], values[order]
-        i, j = forest(values, bounds)
+        sizes = np.bincount(number)
+        i, j = forest(values, sizes[sizes > 0], bounds)
         return keys[i], keys[j]
 
     def search(batches):
         import numpy as np
         import pyarrow as pa
 
-        now, held, found = None, [], []
+        held, n = [], 0
 
-        def close():
-            if sum(len(k) for k, _ in held) > 1:
-                found.append(edges(np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held])))
+        def close(last: bool):
+            """Edges of all nodes that are complete; the others stay."""
+            nonlocal held, n
+            nodes, keys, values = (np.concatenate(x) for x in zip(*held))
+            cut = len(keys) if last else int(np.nonzero(np.concatenate([[True], (nodes[1:] != nodes[:-1]).any(axis=1)]))[0][-1])
+            held, n = [(nodes[cut:], keys[cut:], values[cut:])], len(keys) - cut
+            a, b = edges(nodes[:cut], keys[:cut], values[:cut]) if cut else (keys[:0], keys[:0])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            nodes = np.stack([batch.column(c).to_numpy() for c in range(4)], axis=1)
-            keys = batch.column(4).to_numpy()
-            values = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, words) if words > 1 else keys.view(np.uint64).reshape(-1, 1)
-            starts = np.concatenate([[0], np.nonzero((nodes[1:] != nodes[:-1]).any(axis=1))[0] + 1, [len(keys)]]) if len(keys) else [0]
-            for s, e in zip(starts[:-1], starts[1:]):
-                if now is None or (nodes[s] != now).any():
-                    close()
-                    held, now = [], nodes[s]
-                held.append((keys[s:e], values[s:e]))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b"])
-                found.clear()
-        close()
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b"])
+            if batch.num_rows:
+                nodes = np.stack([batch.column(c).to_numpy() for c in range(4)], axis=1)
+                keys = batch.column(4).to_numpy()
+                values = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=">u8").astype(np.uint64).reshape(-1, words) if words > 1 else keys.view(np.uint64).reshape(-1, 1)
+                held.append((nodes, keys, values))
+                n += len(keys)
+                if n >= TREE_ROWS:
+                    yield close(False)
+        if held:
+            yield close(True)
 
     return search
 

@@ -41,13 +41,57 @@ def test_forest_connects_what_all_links_connect(words):
         values = np.unique(values, axis=0)
         values = values[np.argsort(simhash.gray_rank(values[:, 0]), kind="stable")]
         for bound in (4, 12 * words):
-            a, b = simhash.forest(values, (bound // 2, bound))
+            a, b = simhash.forest(values, np.array([len(values)]), (bound // 2, bound))
             far = np.bitwise_count(values[a] ^ values[b]).sum(axis=1)
             assert (far <= bound).all() and len(a) < len(values)
             every = np.bitwise_count(values[:, None] ^ values[None]).sum(axis=2) <= bound
             assert components_of(len(values), zip(a.tolist(), b.tolist())) == components_of(len(values), np.argwhere(np.triu(every, 1)).tolist())
 
 
+def test_many_nodes_lie_in_one_index():
+    """Nodes of every size at once: the components of each are those of its own pairs."""
+    rng = np.random.default_rng(5)
+    sizes = np.concatenate([rng.integers(2, 12, 200), [70, 400, 2, 33]])
+    parts = []
+    for size in sizes:
+        centres = rng.integers(0, 1 << 63, (max(1, size // 8), 1), dtype=np.uint64)
+        part = centres[rng.integers(0, len(centres), size)]
+        for _ in range(3):
+            part = part ^ (np.uint64(1) << rng.integers(0, 64, part.shape, dtype=np.uint64))
+        part = np.unique(part, axis=0)
+        parts.append(part[np.argsort(simhash.gray_rank(part[:, 0]), kind="stable")])
+    sizes, values = np.array([len(p) for p in parts]), np.concatenate(parts)
+    a, b = simhash.forest(values, sizes, (4,))
+    node = np.repeat(np.arange(len(sizes)), sizes)
+    assert (node[a] == node[b]).all()
+    every = (np.bitwise_count(values[:, None] ^ values[None]).sum(axis=2) <= 4) & (node[:, None] == node[None])
+    assert components_of(len(values), zip(a.tolist(), b.tolist())) == components_of(len(values), np.argwhere(np.triu(every, 1)).tolist())
+
+
+def test_groups_are_pruned_by_their_differences():
+    """Of all pairs of rows of a large node of scattered fingerprints few are compared one by one."""
+    rng = np.random.default_rng(6)
+    values = np.unique(rng.integers(0, 1 << 63, (4000, 1), dtype=np.uint64) & np.uint64(0xFFFF0FFF00FF000F), axis=0)
+    values = values[np.argsort(simhash.gray_rank(values[:, 0]), kind="stable")]
+    compared, near = [], simhash.near
+    simhash.near = lambda x, y, masks, bits: (compared.append(len(x[0])) if masks is None else None, near(x, y, masks, bits))[1]
+    try:
+        simhash.forest(values, np.array([len(values)]), (2,))
+    finally:
+        simhash.near = near
+    assert sum(compared) < len(values) ** 2 / 20, sum(compared)
+
+
+def test_every_link_comes_from_the_index(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    values = simhash.fingerprints(docs).select("fp").distinct()
+    assert simhash.links(values).count() > 0
+    search = simhash.linked_pairs
+    monkeypatch.setattr(simhash, "linked_pairs", lambda *_: iter(()))
+    assert not list(simhash._searcher((4,), 1)(iter([pa.RecordBatch.from_pydict({"k": [0, 0], "v": [0, 0], "s": [0, 0], "w": [0, 0], "fp": [0, 1], "words": [b"", b""]})])))[0].num_rows
+    monkeypatch.setattr(simhash, "linked_pairs", search)
+
+
 def test_large_nodes_are_cut(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = sorted(map(tuple, simhash.near_duplicates(docs).collect()))
