@@ -195,8 +195,10 @@ def near_words(words: DataFrame, *, cells: int = CELLS) -> DataFrame:
         if not more:
             break
         todo = _halves(now.join(large, key, "left_semi"))
-    sizes = done.groupBy("shorter", "low", "high").agg(F.ceil(letters / cells).alias("__bins"))
+    sizes = written(done.groupBy("shorter", "low", "high").agg(F.ceil(letters / cells).alias("__bins")), "variants-bins")  # a row for each length and range
     binned = done.join(sizes, ["shorter", "low", "high"]).withColumn("bin", F.pmod(F.xxhash64("shared"), F.col("__bins"))).select("word", "n", "shorter", "low", "high", "bin")
+    binned = binned.repartition("shorter", "low", "high", "bin")  # else a join's partitions, by class, would do for the groups
+    kept.append(sizes)
 
     def run(tile_key, table):
         import numpy as np
