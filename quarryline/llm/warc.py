@@ -11,7 +11,9 @@ digest). While it rewrites, a record whose payload another page also has turns
 into a revisit of that page: its payload goes, its HTTP header stays.
 
 ``read_archives`` follows the sidecars: it seeks to a record, inflates that
-member alone, and checks the payload against its digest.
+member alone, and checks the payload against its digest. A gzip stream that is not
+finished, or an archive with fewer or more records than were written, is an
+error, wherever the file ends.
 
 Payload equality is equality of SHA-1 and length. The page with the largest id
 keeps the payload; which pages are copies is decided on (digest, page id) rows,
@@ -128,16 +130,16 @@ class Inflated:
 
     def __init__(self, source):
         self.source, self.buffer, self.left = source, bytearray(), b""
-        self.zip = zlib.decompressobj(wbits=31)
+        self.zip, self.begun = zlib.decompressobj(wbits=31), False
 
     def _more(self) -> bool:
         """Inflate another piece. False at the end of the file; an unfinished stream is an error."""
         data = self.left or self.source.read(CHUNK)
         if not data:
-            if not self.zip.eof and (self.buffer or self.zip.unconsumed_tail):
-                raise EOFError("the gzip stream ends within a record")
+            if self.begun and not self.zip.eof:
+                raise EOFError("the file ends within a gzip stream")
             return False
-        self.left = b""
+        self.left, self.begun = b"", True
         if self.zip.eof:
             self.zip = zlib.decompressobj(wbits=31)
         self.buffer += self.zip.decompress(data, CHUNK)
@@ -178,7 +180,7 @@ def records(source):
 
 
 def _normaliser(folder: str):
-    """Rows (file, copies: those records that become revisits) to archives with a member for each record."""
+    """Rows (file, n records, copies: those records that become revisits) to archives with a member for each record."""
 
     def rewrite(batches):
         import pyarrow as pa
@@ -208,6 +210,8 @@ def _normaliser(folder: str):
                         entry = {"offset": offset, "length": len(member), "id": fields["WARC-Record-ID"], "type": fields["WARC-Type"], "page": fields.get("X-Page-ID"), "digest": fields.get("WARC-Payload-Digest")}
                         index.write((json.dumps(entry) + "\n").encode())
                         offset, count = offset + len(member), count + 1
+                    if count != row["n"]:
+                        raise ValueError(f"{row['file']} has {count} of {row['n']} records")
                 yield pa.RecordBatch.from_pydict({"file": [file], "records": pa.array([count], pa.int64()), "bytes": pa.array([offset], pa.int64())})
 
     return rewrite
@@ -234,7 +238,8 @@ def normalise(rows: DataFrame, folder: str, *, min_bytes: int = 0) -> DataFrame:
     """
     slots = max(1, rows.sparkSession.sparkContext.defaultParallelism)
     known = copies(rows, min_bytes).groupBy("file").agg(F.collect_list(F.struct("record", "to_file", "to_record", "to_page")).alias("copies"))
-    jobs = rows.select("file").distinct().join(known, "file", "left").repartition(4 * slots, "file").select("file", "copies")
+    sizes = rows.groupBy("file").agg(F.count("*").alias("n"))
+    jobs = sizes.join(known, "file", "left").repartition(4 * slots, "file").select("file", "n", "copies")
     return written(jobs.mapInArrow(_normaliser(folder), "file string, records long, bytes long"), "warc-manifest")
 
 
