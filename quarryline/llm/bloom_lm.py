@@ -7,16 +7,19 @@ misses. Probabilities are smoothed from the counts c read back, that of a pair
 clamped to the counts of its two words:
 
     p(w)     = (c(w) + 1) / (N + V + 1)
-    p(w | h) = (c(h w) + MU p(w)) / (c(h) + MU)
+    p(w | h) = (c(h w) + MU p(w)) / (c(h) + F V + MU)
 
 Every pair of the training texts is in the filter, those seen once too, so
-with exact counts the p(w | h) of a history add up to 1. Quantised counts are
-off by 4 % at most above EXACT, and a filter has false hits, some 3 in 100,000
-for absent pairs: over a vocabulary of V words they add 3 V / 100,000 / (c(h) + MU)
-to the sum of a history, so the sums are near 1 and not 1 (the tests find 0.96
-to 1.04 on a small table; with many millions of words a rare history's is
-larger, unless BITS is raised). The add-one base score needs exact word counts; these ride along as
-sorted arrays beside the filter.
+with exact counts and no false hits (F = 0) the p(w | h) of a history add up to
+1. Quantised counts are off by 4 % at most above EXACT. A filter has false
+hits: F, the share of absent pairs that are found, some 3 in 100,000, follows
+from how many bits each word of the filter has set (``false_hits``) and from how
+many pairs of a bucket may have the same key. Over a vocabulary of V words a known history has F V of them, of count
+1 nearly always, so that mass is taken out in the denominator, and the sums
+stay near 1 at any V: what is left is chance, sqrt(F V) / (c(h) + F V + MU),
+2.5 % of the sum at the worst V. MU is the best of a grid by the likelihood of
+held-out texts (README). The add-one base score needs exact word counts; these
+ride along as sorted arrays beside the filter.
 
 The texts are read and tokenised once. Each task gathers documents into groups
 and writes, for each group, the numbers of its words in order and, for each of
@@ -58,7 +61,7 @@ from quarryline.llm.shared import discard, fold_of, new_folder, open_fs, written
 
 FOLDS, HELD_OUT = 7, 2
 #: Pseudo-counts that the word distribution adds to each history.
-MU = 100.0
+MU = 400.0
 #: Levels 1 to EXACT are counts; above, each level is RATIO times the one before.
 EXACT, RATIO = 16, 1.08
 TOP_LEVEL = 250
@@ -259,6 +262,18 @@ def built(found: list, bits: int = BITS):
     return out
 
 
+def false_hits(words) -> float:
+    """The share of absent entries that a filter finds: the chance that the bits of an entry are set in both of its words."""
+    import numpy as np
+
+    sizes = np.bincount(np.bitwise_count(words), minlength=65)
+    distinct = [1.0] + [0.0] * PROBES  # of PROBES drawn bits, how many differ
+    for _ in range(PROBES):
+        distinct = [distinct[d] * d / 64 + (distinct[d - 1] * (65 - d) / 64 if d else 0.0) for d in range(PROBES + 1)]
+    held = [sum(int(n) * math.comb(k, d) for k, n in enumerate(sizes)) / math.comb(64, d) / max(1, len(words)) for d in range(PROBES + 1)]
+    return math.fsum(p * x * x for p, x in zip(distinct, held, strict=True))
+
+
 # ---------------------------------------------------------------- groups of documents
 
 
@@ -333,6 +348,7 @@ class Model:
     buckets: list[tuple[int, str, int, int]]  # bucket, file, 64-bit words of filter, distinct words
     n: int
     v: int
+    false_hits: float = 0.0  # the share of absent n-grams that are found
 
     def shards(self, shard_bytes: int = SHARD_BYTES) -> list[list[tuple[int, str, int, int]]]:
         """The buckets in runs of ``shard_bytes`` at most."""
@@ -376,7 +392,7 @@ def parts(data, place):
     return one, two, cut(words).view("<i8")
 
 
-MANIFEST = "bucket int, name string, bits long, words long, n long"
+MANIFEST = "bucket int, name string, bits long, words long, n long, absent double"
 
 
 def _summed(keys: list, counts: list):
@@ -415,7 +431,7 @@ def train(rows: DataFrame, bits: int = BITS) -> Model:
             with fs.open_output_stream(f"{where}/{name}") as f:
                 for x in (words, w.astype("<u8"), n.astype("<i8")):
                     f.write(x.tobytes())
-            return pa.RecordBatch.from_pydict({"bucket": pa.array([now], pa.int32()), "name": [name], "bits": [len(words)], "words": [len(w)], "n": [int(n.sum())]})
+            return pa.RecordBatch.from_pydict({"bucket": pa.array([now], pa.int32()), "name": [name], "bits": [len(words)], "words": [len(w)], "n": [int(n.sum())], "absent": [false_hits(words) + len(p) / (1 << KEY_BITS)]})
 
         for batch in batches:
             for bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -429,7 +445,8 @@ def train(rows: DataFrame, bits: int = BITS) -> Model:
 
     keyed = rows.where("bucket >= 0").select("bucket", "words", "word_counts", "pairs", "pair_counts")
     manifest = written(keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, MANIFEST), "lm-manifest").collect()  # one short row for each bucket
-    return Model(folder, [(r.bucket, r.name, r.bits, r.words) for r in manifest], sum(r.n for r in manifest), sum(r.words for r in manifest))
+    rate = math.fsum(r.absent for r in manifest) / max(1, len(manifest))  # absent pairs go to all buckets alike
+    return Model(folder, [(r.bucket, r.name, r.bits, r.words) for r in manifest], sum(r.n for r in manifest), sum(r.words for r in manifest), rate)
 
 
 # ---------------------------------------------------------------- scoring
@@ -495,7 +512,7 @@ def answers(rows: DataFrame, model: Model, shard_bytes: int = SHARD_BYTES, spent
 
 def combined(rows: DataFrame, found: DataFrame, model: Model, mu: float = MU) -> DataFrame:
     """SCORES of all documents, from the groups' tokens and what was found for their n-grams."""
-    n, v = model.n, model.v
+    n, v, extra = model.n, model.v, model.v * model.false_hits
 
     def run(batches):
         import numpy as np
@@ -515,7 +532,7 @@ def combined(rows: DataFrame, found: DataFrame, model: Model, mu: float = MU) ->
             del back2, exact
             of_history = before(word)
             pair = np.minimum(pair, np.minimum(word, of_history))  # no pair is more frequent than its words
-            p = np.minimum(1.0, (pair + mu * ((word + 1) / (n + v + 1))) / (of_history + mu))
+            p = np.minimum(1.0, (pair + mu * ((word + 1) / (n + v + 1))) / (of_history + np.where(of_history > 0, extra, 0.0) + mu))
             out = {"doc_id": pa.array(group["ids"], pa.int64()), "held_out": pa.array(group["held"], pa.bool_()), "n_tokens": lengths, "n_known": known, "base_score": base, "score": sums(np.log10(p))}
             return pa.RecordBatch.from_pydict(out)
 
