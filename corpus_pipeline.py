@@ -3,8 +3,16 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the docs of the next. All but the last return
 the columns of ``documents``. A document is known by its id and a hash of its
-text, so rows that share an id are judged apart, and equal rows alike. A null
-id stands behind all others.
+text, so rows that share an id are judged apart, and rows of equal id and text
+alike.
+
+Defined results: a null text is an empty one; empty texts are scored like any
+other, are copies of one another, contain no benchmark window and have the
+size 0, so a source's mixture may leave them out; a null id stands behind all
+others; of rows with equal id and text the first in the order of their other
+columns stays, as text, so a rerun or another order of the rows keeps the same;
+an empty table gives empty tables; further columns are kept, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -37,7 +45,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed, names = _keyed(docs)
     rows = simhash.similar_documents(keyed.select("text", *names), tuple(names))
     kept = written(rows.groupBy("component").agg(F.min(F.struct(*names)).alias("first")).select("first.*"), "dedup-kept")
-    return keyed.join(kept, names, "left_semi").dropDuplicates(names).select(*docs.columns)
+    order = fresh(keyed, "__order")
+    others = [F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(docs.columns) if c.lower() != "text"]
+    ordered = keyed.join(kept, names, "left_semi").withColumn(order, F.to_json(F.struct(*others)))
+    least = written(ordered.groupBy(*names).agg(F.min(order).alias(order)), "dedup-least")
+    return ordered.join(least, [*names, order], "left_semi").dropDuplicates(names).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

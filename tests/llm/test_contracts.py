@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import html
 import math
 import re
 import struct
@@ -270,6 +271,67 @@ def test_mixing(spark, sf_dir):
     same(result(spark, "op10_mixing", sf_dir), got, ["doc_id", "taken"])
 
 
+def test_site_template(spark, sf_dir):
+    """The article of each generated page, cut by a pattern that knows its form; elsewhere by hand."""
+    by_hand = {"<p>a</p>": "a", "é" * 50_000: "é" * 50_000, "x\r\n\r\nWARC/1.0\r\n": "x WARC/1.0"}
+    want = []
+    for p in rows(sf_dir, "pages"):
+        page = p["html"] or ""
+        article = re.search(r"<article>(.*)</article>", page, re.S)
+        text = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", article[1])).split()) if article else by_hand.get(page, "")
+        want.append({"page_id": p["page_id"], "url": p["url"], "text": text, "n_chars": len(text)})
+    same(result(spark, "op11_site_template", sf_dir), want, list(want[0]))
+
+
+def test_bit_sliced(spark, sf_dir):
+    term, docs, items = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), rows(sf_dir, "documents"), rows(sf_dir, "benchmark")
+    terms = lambda t: term.findall((t or "").translate(UPPER))
+    counts = [Counter(terms(d["text"])) for d in docs]
+    n_docs, n_terms, df = sum(map(bool, counts)), sum(sum(c.values()) for c in counts), Counter(t for c in counts for t in c)
+    weight = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * n + 1))) for t, n in df.items()}
+    want = []
+    for item in items:
+        scored = []
+        for d, c in zip(docs, counts):
+            m = 50 + (50 * sum(c.values()) * n_docs) // n_terms
+            score = sum(weight[t] * ((1_000_000_000 * c[t]) // (1000 * c[t] + 20 * m)) for t in set(terms(item["text"])) if t in c)
+            scored += [(-score, d["doc_id"] is None, d["doc_id"] or 0)] if score > 0 else []
+        for rank, (score, no_id, doc_id) in enumerate(sorted(scored)[:50], 1):
+            want.append({"item_id": item["item_id"], "rank": rank, "doc_id": None if no_id else doc_id, "score": -score})
+    same(result(spark, "op12_bit_sliced", sf_dir), want, list(want[0]))
+
+
+def test_spelling_variants(spark, sf_dir):
+    """Near words by their deletions, roots step by step."""
+    seen, run = Counter(), re.compile("[A-Za-z\u00C0-\u00FF]+")
+    for d in rows(sf_dir, "documents"):
+        for word in run.findall(d["text"] or ""):
+            word = word.translate(UPPER)
+            h = zlib.crc32(f"{'' if d['doc_id'] is None else d['doc_id']}:{word}".encode())
+            seen[word[: h % len(word)] + word[h % len(word) + 1 :] if h % 31 == 0 else word] += 1
+    n = {w: c for w, c in seen.items() if len(w) >= 7 and c >= 2}
+    cut = defaultdict(set)
+    for w in n:
+        for i in range(len(w)):
+            cut[w[:i] + w[i + 1 :]].add((w, i))
+    near = defaultdict(set)
+    for short, longer in cut.items():
+        for w, i in longer:
+            near[w] |= {v for v, j in longer if v != w and i == j} | ({short} if short in n else set())
+            if short in n:
+                near[short].add(w)
+    best = {w: min(vs, key=lambda v: (-n[v], v)) for w, vs in near.items() if vs}
+    form = {w: v for w, v in best.items() if n[v] >= 10 * n[w]}
+    want = []
+    for w in n:
+        root = w
+        while root in form:
+            root = form[root]
+        want.append({"word": w, "form": form.get(w), "root": root, "n": n[w], "n_near": len(near[w]), "form_n": n[form[w]] if w in form else None})
+    assert sf_dir != SF or sum(r["form"] is not None for r in want) > 0
+    same(result(spark, "op13_spelling_variants", sf_dir), want, ["word", "form", "root", "n", "n_near", "form_n"])
+
+
 def test_pipeline(spark, sf_dir, empty):
     import corpus_pipeline
 

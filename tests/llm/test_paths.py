@@ -148,6 +148,35 @@ def test_streams_of_several_chunks_and_members(monkeypatch):
         list(warc.records(io.BytesIO(whole[: len(whole) // 2])))
 
 
+def test_a_cut_stream_is_an_error_wherever_it_ends(monkeypatch):
+    """At every byte, and after every record where the writer flushed."""
+    monkeypatch.setattr(warc, "CHUNK", 100)
+    zipper, whole, ends = zlib.compressobj(6, wbits=31), b"", []
+    for n in range(3):
+        block = f"block {n} ".encode() * 20
+        whole += zipper.compress(f"WARC/1.1\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n") + zipper.flush(zlib.Z_SYNC_FLUSH)
+        ends.append(len(whole))
+    whole += zipper.flush()
+    assert len(list(warc.records(io.BytesIO(whole)))) == 3 and not list(warc.records(io.BytesIO(b"")))
+    for n in [*range(1, len(whole)), *ends]:
+        with pytest.raises(EOFError):
+            list(warc.records(io.BytesIO(whole[:n])))
+
+
+def test_an_archive_without_all_its_records_is_an_error(spark):
+    folder = new_folder(spark, "warc")
+    rows = warc.write_archives(spark.createDataFrame([(1, None, "a"), (2, None, "b")], "page_id long, url string, html string").coalesce(1), folder)
+    fs, where = open_fs(folder)
+    file = f"{where}/{rows.first()['file']}.warc.gz"
+    with fs.open_input_stream(file, compression=None) as f:
+        first = next(iter(warc.records(f)))
+    zipper = zlib.compressobj(6, wbits=31)
+    with fs.open_output_stream(file, compression=None) as f:
+        f.write(zipper.compress(warc._header(first[0]) + first[1] + b"\r\n\r\n") + zipper.flush())
+    with pytest.raises(Exception, match="1 of 2 records"):
+        warc.normalise(rows, folder).collect()
+
+
 def test_a_damaged_payload_is_an_error(spark):
     folder = new_folder(spark, "warc")
     rows = warc.write_archives(spark.createDataFrame([(1, None, "a payload")], "page_id long, url string, html string"), folder)

@@ -119,3 +119,12 @@ def test_token_output(spark, stages):
 def test_a_null_id_stands_behind_all_others(spark):
     docs = spark.createDataFrame([(None, "one text of five words", "en", "s", 1), (7, "one text of five words", "en", "s", 1), (None, "another text of just five", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted((str(r["doc_id"]), r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == [("7", "one text of five words"), ("None", "another text of just five")]
+
+
+def test_equal_ids_and_texts_keep_the_same_row_in_any_order(spark):
+    found = [(7, "one text of five words", "en", s, 1) for s in ("b", "a", None)] + [(8, "", None, None, None), (9, None, "en", "b", 0)]
+    kept = []
+    for order in (found, found[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        kept.append(sorted(map(repr, corpus_pipeline.near_dedup(spark, docs, SF).collect())))
+    assert kept[0] == kept[1] and len(kept[0]) == 2 and "source='a'" in kept[0][0]
