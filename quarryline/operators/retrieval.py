@@ -14,10 +14,13 @@ def latest_files(files: DataFrame) -> DataFrame:
 
     files: repo_id, filename, content, seq (anything that has an order). A null
     file name is that of ``sources.tables.ingest_requests`` for a missing one,
-    and null content is empty.
+    and null content is empty. ``seq`` differs between the rows of a file.
     """
-    named = files.withColumns({"filename": F.coalesce("filename", F.lit(NO_NAME)), "content": F.coalesce("content", F.lit(""))})
-    return named.groupBy("repo_id", file_id(F.col("filename")).alias("file_id")).agg(F.max_by(F.struct("filename", "content"), "seq").alias("f"), F.min("seq").alias("place")).select("repo_id", "file_id", "f.*", "place")
+    named = files.withColumns({"filename": F.coalesce("filename", F.lit(NO_NAME)), "content": F.coalesce("content", F.lit(""))}).withColumn("file_id", file_id(F.col("filename")))
+    # contents stay out of the aggregate: the narrow rows that it gives are built into a hash table, and each content passes it once
+    last = named.groupBy("repo_id", "file_id").agg(F.max("seq").alias("last"), F.min("seq").alias("place")).withColumnRenamed("repo_id", "repo")
+    same = F.col("repo_id").eqNullSafe(F.col("repo")) & (F.col("id") == F.col("file_id")) & (F.col("last") == F.col("seq"))
+    return named.withColumnRenamed("file_id", "id").join(last.hint("shuffle_hash"), same).select("repo_id", "file_id", "filename", "content", "place")
 
 
 def term_counts(files: DataFrame, *keys: str, text: Column | str = "content") -> DataFrame:

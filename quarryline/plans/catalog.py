@@ -235,3 +235,4 @@ ORACLE_SQL = {
     "findings_by_window": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "findings_rollup": "SELECT l_returnflag AS vulnerability_type, l_linestatus AS risk_level, count(*) AS n, CAST(grouping(l_returnflag) * 2 + grouping(l_linestatus) AS BIGINT) AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
 } | workflows.ORACLE_SQL
+ORACLE_SQL["retrieve_stored"] = ORACLE_SQL["retrieve_topk"]

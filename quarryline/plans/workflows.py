@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions import reports
-from quarryline.operators import compliance, dashboard, hotspots, responder, retrieval, state
-from quarryline.sources import sinks, tables
+from quarryline.operators import asof, compliance, dashboard, file_index, hotspots, responder, retrieval, state
+from quarryline.sources import sinks, stored, tables
 from quarryline.sources.tables import table
 from quarryline.streaming import jobs
 
@@ -52,6 +52,7 @@ SCANS = [
 KEY_PREFIX = "key_"
 PRODUCT = "Code"
 RSD = 0.02
+TOP_K = 2
 
 
 def _dealt(column: str, values: list) -> F.Column:
@@ -129,6 +130,59 @@ def scan_counts(spark: SparkSession, sf: str) -> DataFrame:
     return state.scan_counts(requests, user="user_id", order=("ts", "event_id"), key="event_id", is_scan=F.col("event_type") == "view", premium=F.col("user_id") % 10 == 0, used=F.col("user_id") % 3)
 
 
+def _paid(spark: SparkSession, sf: str, kinds: tuple[str, ...]) -> DataFrame:
+    """Events of some kinds with payment: the last purchase of their user at or before them, from which on the user is premium."""
+    events = table(spark, sf, "events")
+    payments = events.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("payment"))
+    return asof.as_of(events.where(F.col("event_type").isin(*kinds)).select("event_id", "user_id", "ts", "event_type"), payments, by=("user_id",), at="ts", carried=("payment",))
+
+
+def quota_asof(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests with the user's payment as of then; scans of users who have not paid by then count against the quota."""
+    requests = _paid(spark, sf, ("view", "click"))
+    judged = state.admitted_scans(requests, user="user_id", order=("ts", "event_id"), key="event_id", is_scan=F.col("event_type") == "view", premium=F.col("payment").isNotNull(), used=F.col("user_id") % 3)
+    return judged.select("event_id", "user_id", "payment", "accepted")
+
+
+def user_settings(spark: SparkSession, sf: str) -> DataFrame:
+    """The users' stored rows after all requests: settings set the webhook, key requests the key where the user has paid by then.
+
+    Batches arrive out of order and one of them twice.
+    """
+    users = stored.Stored(stored.shared_folder(spark, "users"), ("user_id",), (("webhook_url", "string"), ("api_key", "string"), ("is_premium", "boolean")), buckets=16)
+    requests = _paid(spark, sf, ("signup", "click", "purchase"))
+    url = F.when(F.col("event_type") == "signup", F.concat(F.lit("http://h/"), F.col("event_id").cast("string")))
+    key = F.when((F.col("event_type") == "click") & F.col("payment").isNotNull(), F.concat(F.lit(KEY_PREFIX), F.col("event_id").cast("string")))
+    premium = F.when(F.col("event_type") == "purchase", True)
+    changes = requests.select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), url.alias("webhook_url"), key.alias("api_key"), premium.alias("is_premium"))
+    for part in (2, 0, 1, 0):
+        users.apply(changes.where(F.col("event_id") % 3 == part), "seq")
+    return users.read(spark).select("user_id", "webhook_url", "api_key", F.coalesce("is_premium", F.lit(False)).alias("is_premium"))
+
+
+def job_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored job rows: a view asks for a job, a purchase completes it with its report, an error fails it, a signup corrects the report alone."""
+    rows = stored.Stored(stored.shared_folder(spark, "jobs"), ("job_id",), (("code_hash", "string"), ("status", "string"), ("report_text", "string")), buckets=16)
+    kind, props = F.col("event_type"), F.col("props")
+    status = F.when(kind == "view", "pending").when(kind == "purchase", "completed").when(kind == "error", "failed")
+    report = F.when(kind == "purchase", props).when(kind == "error", F.concat(F.lit("Error: "), props)).when(kind == "signup", F.concat(F.lit("! "), props))
+    events = table(spark, sf, "events").select(F.col("user_id").alias("job_id"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), F.when(kind == "view", F.sha2(props, 256)).alias("code_hash"), status.alias("status"), report.alias("report_text"))
+    for part in (1, 0, 1):
+        rows.apply(events.where(F.col("event_id") % 2 == part), "seq")
+    return rows.read(spark)
+
+
+def retrieve_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """``retrieve_topk`` over a stored index: built once, a part of the files ingested again with their present text, then searched."""
+    index = file_index.FileIndex(stored.shared_folder(spark, "file-index"), buckets=16)
+    old = F.col("doc_id") % 8 == 0
+    files = table(spark, sf, "documents").select(F.coalesce("source", F.lit("")).alias("repo_id"), F.col("doc_id").cast("string").alias("file_id"), "text", "lang", F.col("doc_id").alias("place"), old.alias("old"))
+    index.ingest(files.select("repo_id", "file_id", F.when(F.col("old"), F.reverse("text")).otherwise(F.col("text")).alias("content"), F.lit(0).alias("version"), "place"))
+    index.ingest(files.where("old").select("repo_id", "file_id", F.col("text").alias("content"), F.lit(1).alias("version"), "place"))
+    asked = retrieval.query_counts(table(spark, sf, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "key")
+    return index.search(asked, TOP_K).select(F.col("key").alias("item_id"), "rank", F.col("file_id").cast("long").alias("doc_id"), "score")
+
+
 def cache_probe(spark: SparkSession, sf: str) -> DataFrame:
     """Requests with the report of the first completed cache row of their code, null where there is none."""
     code = lambda c, n: F.sha2((F.col(c) % n).cast("string"), 256).alias("code_hash")
@@ -168,8 +222,9 @@ def review_comments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def webhook_payloads(spark: SparkSession, sf: str) -> DataFrame:
-    finished = table(spark, sf, "documents").select((F.col("doc_id") % 100).cast("string").alias("email"), F.col("text").alias("report_text"))
-    users = table(spark, sf, "customer").where("c_custkey < 100").select(F.col("c_custkey").cast("string").alias("email"), F.when(F.col("c_custkey") % 4 != 0, F.concat(F.lit("http://h/"), F.col("c_custkey").cast("string"))).alias("webhook_url"))
+    """A report for each document, of the user with its number (modulo 100,000) where there is one; every customer is a user."""
+    finished = table(spark, sf, "documents").select((F.col("doc_id") % 100_000).cast("string").alias("email"), F.col("text").alias("report_text"))
+    users = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("email"), F.when(F.col("c_custkey") % 4 != 0, F.concat(F.lit("http://h/"), F.col("c_custkey").cast("string"))).alias("webhook_url"))
     return sinks.webhook_rows(finished, users).select("url", F.char_length("payload").alias("payload_chars"), F.sha2("payload", 256).alias("payload_sha256"))
 
 
@@ -220,7 +275,7 @@ def findings_sessions(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        file_versions, ingest_counts, scan_reports, script_hotspots, patch_ranges, healed_scans, healed_patches, request_users, scan_counts, cache_probe, job_reports, key_rotation, workspace_members,
+        file_versions, ingest_counts, scan_reports, script_hotspots, patch_ranges, healed_scans, healed_patches, request_users, scan_counts, quota_asof, user_settings, job_table, retrieve_stored, cache_probe, job_reports, key_rotation, workspace_members,
         organization_members, review_comments, webhook_payloads, editor_scans, gate_status, retry_schedule, request_fields, distinct_codes, findings_sliding, findings_sessions,
     )
 }
@@ -235,6 +290,8 @@ def _values(rows: list[tuple]) -> str:
 
 
 _FOUND = f"found(k, pos, node_type, code_snippet, start_line, end_line, risk_level) AS (VALUES {_values(FOUND)}), h AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, node_type, code_snippet, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, risk_level FROM pages JOIN found ON page_id % {len(SCRIPTS)} = k)"
+_PAID = """p AS (SELECT user_id, ts, max(event_id) AS payment FROM events WHERE event_type = 'purchase' GROUP BY 1, 2),
+        paid AS (SELECT e.*, p.payment FROM events e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts >= p.ts)"""
 _COMMENT = "||".join(
     {"product": _text(PRODUCT), "severity": "coalesce(severity, 'None')", "report": "substr(coalesce(report, 'Analysis unavailable.'), 1, 500)", "fix": "coalesce(fix, 'Error generating fix.')"}[x] if i % 2 else _text(x) for i, x in enumerate(reports.re.split(r"\{(\w+)\}", reports.COMMENT))
 )
@@ -257,6 +314,13 @@ ORACLE_SQL = {
         SELECT event_id, CAST(c_custkey AS BIGINT) AS c_custkey, CASE WHEN c_custkey IS NULL THEN 401 ELSE 200 END AS code FROM m""",
     "scan_counts": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_type IN ('view', 'click'))
         SELECT user_id, CAST(user_id % 3 + count(*) FILTER (event_type = 'click' OR user_id % 10 = 0 OR user_id % 3 + rn <= 5) AS BIGINT) AS scan_count FROM r GROUP BY user_id""",
+    "quota_asof": f"""WITH {_PAID}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, payment IS NULL ORDER BY ts, event_id) AS rn FROM paid WHERE event_type IN ('view', 'click'))
+        SELECT event_id, user_id, payment, event_type = 'click' OR payment IS NOT NULL OR user_id % 3 + rn <= 5 AS accepted FROM r""",
+    "user_settings": f"""WITH {_PAID} SELECT user_id, 'http://h/' || arg_max(event_id, ts) FILTER (event_type = 'signup') AS webhook_url, '{KEY_PREFIX}' || arg_max(event_id, ts) FILTER (event_type = 'click' AND payment IS NOT NULL) AS api_key,
+        bool_or(event_type = 'purchase') AS is_premium FROM paid WHERE event_type IN ('signup', 'click', 'purchase') GROUP BY 1""",
+    "job_table": """SELECT user_id AS job_id, sha256(arg_max(props, ts) FILTER (event_type = 'view')) AS code_hash,
+        CASE arg_max(event_type, ts) FILTER (event_type IN ('view', 'purchase', 'error')) WHEN 'view' THEN 'pending' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END AS status,
+        arg_max(CASE event_type WHEN 'error' THEN 'Error: ' WHEN 'signup' THEN '! ' ELSE '' END || props, ts) FILTER (event_type IN ('purchase', 'error', 'signup')) AS report_text FROM events GROUP BY 1""",
     "cache_probe": """WITH c AS (SELECT c_custkey % 500 AS code, c_custkey % 3 = 0 AS is_fix, arg_min(c_name, c_custkey) AS report_text FROM customer WHERE c_custkey % 4 <> 0 GROUP BY 1, 2)
         SELECT event_id, report_text FROM events LEFT JOIN c ON code = event_id % 700 AND is_fix = (event_id % 2 = 0)""",
     "job_reports": """WITH j AS (SELECT user_id AS job_id, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'pending' END AS status, props FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
@@ -269,7 +333,7 @@ ORACLE_SQL = {
         c AS (SELECT doc_id, text, {_COMMENT} AS comment FROM r)
         SELECT doc_id, CAST(length(comment) AS INTEGER) AS comment_chars, sha256(comment) AS comment_sha256, sha256(substr(text, 1, 72)) AS hashable_sha256 FROM c""",
     "webhook_payloads": """SELECT 'http://h/' || c_custkey AS url, CAST(length(substr(text, 1, 1500)) AS INTEGER) AS payload_chars, sha256(substr(text, 1, 1500)) AS payload_sha256
-        FROM documents JOIN customer ON doc_id % 100 = c_custkey WHERE c_custkey < 100 AND c_custkey % 4 <> 0""",
+        FROM documents JOIN customer ON doc_id % 100000 = c_custkey WHERE c_custkey % 4 <> 0""",
     "editor_scans": """SELECT page_id, 'save' AS kind, CAST(NULL AS VARCHAR) AS filename FROM pages WHERE page_id % 3 <> 1
         UNION ALL SELECT page_id, 'command', CASE page_id % 5 WHEN 0 THEN 'a.js' WHEN 1 THEN 'b.ts' WHEN 2 THEN 'plain' WHEN 3 THEN '' ELSE 'c.py' END FROM pages WHERE page_id % 4 IN (0, 3)""",
     "gate_status": """WITH g AS (SELECT event_id, event_type, CASE WHEN event_id % 210 = 0 THEN 500 WHEN event_id % 17 = 0 THEN 401 ELSE 200 END AS code FROM events)
