@@ -35,6 +35,42 @@ def latest(events: DataFrame, key: str, *order: str) -> DataFrame:
     return events.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(*order)).alias(last)).select(key, f"{last}.*")
 
 
+#: What a job's state allows: (status, move) to the next status. A report may still be amended after the job is completed.
+JOB_MOVES = {(None, "ask"): "pending", ("pending", "complete"): "completed", ("pending", "fail"): "failed", ("completed", "amend"): "completed"}
+#: Finished jobs are forgotten so long after their last move, and may be asked for again.
+KEEP_SECONDS = 24 * 3600
+
+
+def job_transitions(events: DataFrame, *, key: str = "job_id", ts: str = "ts", place: str = "event_id", move: str = "move", report: str = "report", keep_seconds: int = KEEP_SECONDS) -> DataFrame:
+    """job_id, event_id, move, legal, status, report: each event in the order of (ts, place) with the job's state after it.
+
+    A move that the state does not allow leaves it, with legal = false. The
+    events of one job are folded together: a job has few.
+    """
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    one = F.struct(at.alias("at"), F.col(place).cast("long").alias("place"), F.col(move).alias("move"), F.col(report).alias("report"))
+    grouped = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull() & F.col(place).isNotNull()).groupBy(F.col(key).alias("job_id")).agg(F.array_sort(F.collect_list(one)).alias("events"))
+
+    def step(acc, e):
+        old = acc["finished"].isNotNull() & (e["at"] - acc["finished"] > F.lit(keep_seconds * 1_000_000))
+        before = lambda c: F.when(old, F.lit(None).cast(acc_types[c])).otherwise(acc[c])
+        status = before("status")
+        after = F.lit(None).cast("string")
+        for (was, what), then in JOB_MOVES.items():
+            after = F.when((status.isNull() if was is None else status.eqNullSafe(F.lit(was))) & (e["move"] == what), F.lit(then)).otherwise(after)
+        legal = after.isNotNull()
+        new_status, new_report = F.when(legal, after).otherwise(status), F.when(legal & e["report"].isNotNull(), e["report"]).otherwise(before("report"))
+        finished = F.when(legal, F.when(after != "pending", e["at"])).otherwise(before("finished"))
+        row = F.struct(e["place"].alias("event_id"), e["move"].alias("move"), legal.alias("legal"), new_status.alias("status"), new_report.alias("report"))
+        return F.struct(new_status.alias("status"), new_report.alias("report"), finished.alias("finished"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+
+    acc_types = {"status": "string", "report": "string", "finished": "long"}
+    none = F.lit(None)
+    rows = F.array().cast("array<struct<event_id: bigint, move: string, legal: boolean, status: string, report: string>>")
+    zero = F.struct(none.cast("string").alias("status"), none.cast("string").alias("report"), none.cast("long").alias("finished"), rows.alias("rows"))
+    return grouped.select("job_id", F.inline(F.aggregate("events", zero, step, lambda acc: acc["rows"])))
+
+
 def job_status(jobs: DataFrame) -> DataFrame:
     """job_id, status, report: the report only where the job is completed."""
     return jobs.select("job_id", "status", F.when(F.col("status") == "completed", F.col("report_text")).alias("report"))

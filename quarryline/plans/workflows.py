@@ -172,6 +172,17 @@ def job_table(spark: SparkSession, sf: str) -> DataFrame:
     return rows.read(spark)
 
 
+#: Which move of a job an event stands for.
+MOVES = {"signup": "ask", "view": "ask", "purchase": "complete", "error": "fail", "click": "amend"}
+
+
+def job_transitions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event as a move of its user's job, with the state after it; moves that are not allowed come out as such."""
+    move = F.create_map(*[F.lit(x) for pair in MOVES.items() for x in pair])
+    events = table(spark, sf, "events").select(F.col("user_id").alias("job_id"), "event_id", "ts", F.try_element_at(move, "event_type").alias("move"), F.col("props").alias("report"))
+    return state.job_transitions(events)
+
+
 def retrieve_stored(spark: SparkSession, sf: str) -> DataFrame:
     """``retrieve_topk`` over a stored index: built once, a part of the files ingested again with their present text, then searched."""
     index = file_index.FileIndex(stored.shared_folder(spark, "file-index"), buckets=16)
@@ -275,7 +286,7 @@ def findings_sessions(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        file_versions, ingest_counts, scan_reports, script_hotspots, patch_ranges, healed_scans, healed_patches, request_users, scan_counts, quota_asof, user_settings, job_table, retrieve_stored, cache_probe, job_reports, key_rotation, workspace_members,
+        file_versions, ingest_counts, scan_reports, script_hotspots, patch_ranges, healed_scans, healed_patches, request_users, scan_counts, quota_asof, user_settings, job_table, job_transitions, retrieve_stored, cache_probe, job_reports, key_rotation, workspace_members,
         organization_members, review_comments, webhook_payloads, editor_scans, gate_status, retry_schedule, request_fields, distinct_codes, findings_sliding, findings_sessions,
     )
 }
@@ -321,6 +332,17 @@ ORACLE_SQL = {
     "job_table": """SELECT user_id AS job_id, sha256(arg_max(props, ts) FILTER (event_type = 'view')) AS code_hash,
         CASE arg_max(event_type, ts) FILTER (event_type IN ('view', 'purchase', 'error')) WHEN 'view' THEN 'pending' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END AS status,
         arg_max(CASE event_type WHEN 'error' THEN 'Error: ' WHEN 'signup' THEN '! ' ELSE '' END || props, ts) FILTER (event_type IN ('purchase', 'error', 'signup')) AS report_text FROM events GROUP BY 1""",
+    "job_transitions": f"""WITH RECURSIVE m(event_type, move) AS (VALUES {_values(list(MOVES.items()))}), allowed(was, move, becomes) AS (VALUES {_values([(a, b, c) for (a, b), c in state.JOB_MOVES.items()])}),
+        e AS (SELECT user_id AS job_id, event_id, epoch_us(ts) AS at, move, props AS report, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events LEFT JOIN m USING (event_type)),
+        w(job_id, rn, event_id, move, legal, status, report, finished) AS (
+          SELECT DISTINCT job_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BOOLEAN), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT) FROM e
+          UNION ALL
+          SELECT x.job_id, x.rn, x.event_id, x.move, becomes IS NOT NULL, coalesce(becomes, status), CASE WHEN becomes IS NOT NULL THEN coalesce(x.new_report, x.report) ELSE x.report END,
+                 CASE WHEN becomes IS NULL THEN finished WHEN becomes <> 'pending' THEN x.at END
+          FROM (SELECT e.job_id, e.rn, e.event_id, e.move, e.at, e.report AS new_report, CASE WHEN old THEN NULL ELSE status END AS status, CASE WHEN old THEN NULL ELSE w.report END AS report, CASE WHEN old THEN NULL ELSE finished END AS finished
+                FROM w JOIN e ON e.job_id = w.job_id AND e.rn = w.rn + 1, LATERAL (SELECT coalesce(e.at - finished > {state.KEEP_SECONDS * 1_000_000}, false) AS old)) x
+          LEFT JOIN allowed a ON a.was IS NOT DISTINCT FROM x.status AND a.move = x.move)
+        SELECT job_id, event_id, move, legal, status, report FROM w WHERE rn > 0""",
     "cache_probe": """WITH c AS (SELECT c_custkey % 500 AS code, c_custkey % 3 = 0 AS is_fix, arg_min(c_name, c_custkey) AS report_text FROM customer WHERE c_custkey % 4 <> 0 GROUP BY 1, 2)
         SELECT event_id, report_text FROM events LEFT JOIN c ON code = event_id % 700 AND is_fix = (event_id % 2 = 0)""",
     "job_reports": """WITH j AS (SELECT user_id AS job_id, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'pending' END AS status, props FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)

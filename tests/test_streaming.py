@@ -47,15 +47,6 @@ def test_repeats_go(spark, tmp_path):
     assert sorted(r.event_id for r in collected(spark, jobs.without_repeats(stream), "append", "repeats", tmp_path).collect()) == [1, 2]
 
 
-def test_quota(spark, folder, tmp_path):
-    terms = {"user": "user_id", "key": "event_id", "is_scan": F.col("event_type") == "view", "premium": F.col("user_id") % 10 == 0, "used": F.col("user_id") % 3}
-    kept = F.col("event_type").isin("view", "click")
-    want = {(r.event_id, r.accepted) for r in state.admitted_scans(spark.read.parquet(folder).where(kept), order=("ts", "event_id"), **terms).collect()}
-    stream = jobs.quota(jobs.event_stream(spark, folder).where(kept), ts="ts", limit=state.FREE_SCANS, **terms)
-    got = {(r.key, r.accepted) for r in collected(spark, stream, "append", "quota", tmp_path).collect()}
-    assert got == want
-
-
 def test_sliding_windows_and_sessions(spark, folder, tmp_path):
     rows, stream = spark.read.parquet(folder), jobs.event_stream(spark, folder)
     want = {tuple(r) for r in jobs.finding_windows(rows, "event_type", slide="30 minutes").collect()}
