@@ -15,9 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.names import fresh
-
-#: A key with more rows and events than this is cut, into so many pieces (a square number).
-HOT_ROWS, PIECES = 1_000_000, 256
+from quarryline.operators.pieces import HOT_ROWS, PIECES, hot_cuts, piece_of
 
 
 def as_of(rows: DataFrame, events: DataFrame, *, by: tuple[str, ...], at: str, carried: tuple[str, ...], hot_rows: int = HOT_ROWS, pieces: int = PIECES) -> DataFrame:
@@ -38,17 +36,12 @@ def as_of(rows: DataFrame, events: DataFrame, *, by: tuple[str, ...], at: str, c
     both = last.select(*key, at, F.lit(0).alias(tag), value, F.lit(None).cast(sent.schema[row].dataType).alias(row)).unionByName(sent)
 
     times = both.select(*key, at)
-    hot = times.groupBy(*key).agg(F.count("*").alias(tag)).where(F.col(tag) > hot_rows).select(*key)
-    shares = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
-    cut = times.join(hot, key).groupBy(*key).agg(F.percentile_approx(at, shares, F.lit(100 * pieces)).alias(cuts))
-    # in two steps of the root's size: among every side-th cut, then among those after it
-    side = round(pieces**0.5)
-    coarse = F.size(F.filter(cuts, lambda c, i: (i % side == side - 1) & (c < F.col(at))))
-    fine = F.size(F.filter(F.slice(cuts, coarse * side + 1, side), lambda c: c < F.col(at)))
-    placed = both.join(cut, key, "left").withColumn(piece, F.when(F.col(cuts).isNull(), 0).otherwise(coarse * side + fine)).drop(cuts)
-
-    ends = times.join(hot, key).join(cut, key).select(*key, (coarse * side + fine).alias(piece)).distinct()
-    of_piece = last.join(cut, key).select(*key, (coarse * side + fine).alias(piece), at, value).groupBy(*key, piece).agg(F.max_by(value, at).alias(value))
+    cut = hot_cuts(times, key, at, cuts, hot_rows=hot_rows, pieces=pieces)
+    number = piece_of(F.col(at), F.col(cuts), pieces)
+    placed = both.join(cut, key, "left").withColumn(piece, number).drop(cuts)
+
+    ends = times.join(cut, key).select(*key, number.alias(piece)).distinct()
+    of_piece = last.join(cut, key).select(*key, number.alias(piece), at, value).groupBy(*key, piece).agg(F.max_by(value, at).alias(value))
     earlier = Window.partitionBy(*key).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.join(of_piece, [*key, piece], "left").select(*key, piece, F.last(value, ignorenulls=True).over(earlier).alias(before))
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions.reports import fixed_1, severity_of_report
 from quarryline.names import fresh
+from quarryline.operators.pieces import HOT_ROWS, numbered
 
 HEALED = "Auto-Healed"
 
@@ -29,9 +30,9 @@ def recent(scans: DataFrame, created: str, key: str, n: int = 5) -> DataFrame:
     return scans.orderBy(F.col(created).desc(), F.col(key).desc()).limit(n)
 
 
-def vault_by_org(vault: DataFrame, *, org: str, created: str, key: str) -> DataFrame:
-    """The vault rows of each organization, newest first by ``position``, once for all of its users."""
-    return vault.where(F.col(org).isNotNull()).withColumn("position", F.row_number().over(Window.partitionBy(org).orderBy(F.col(created).desc(), F.col(key).desc())))
+def vault_by_org(vault: DataFrame, *, org: str, created: str, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The vault rows of each organization, newest first by ``position``, once for all of its users. A large organization is numbered by many tasks."""
+    return numbered(vault, by=org, at=created, ties=key, name="position", hot_rows=hot_rows)
 
 
 def vault_of_user(users: DataFrame, vault: DataFrame, *, org: str, created: str, key: str) -> DataFrame:

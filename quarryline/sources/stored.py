@@ -35,6 +35,13 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{where.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: the same rows for every use, whatever executors are lost."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
