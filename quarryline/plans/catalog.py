@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import redaction, reports
 from quarryline.operators import compliance, dashboard, responder, retrieval, state, webhooks
-from quarryline.plans import workflows
+from quarryline.plans import sql, workflows
 from quarryline.sources.tables import table
 from quarryline.streaming import jobs
 
@@ -163,7 +163,7 @@ QUERIES = {
         redact_documents, secret_hits_by_source, severity_breakdown, ci_gate, cache_hits, term_frequency, retrieve_topk, prompt_context, compliance_score, compliance_violations, quota_admission, dashboard_summary,
         recent_scans, org_vault, user_profile, signup_conflicts, latest_job_state, webhook_route, pdf_text, responder_failover, retention, findings_by_window, findings_rollup,
     )
-} | workflows.QUERIES
+} | workflows.QUERIES | sql.QUERIES
 
 _GENERIC = r"""(?i)(?:password|secret|api_key|token|auth)[\s\x1c-\x1f=:]+['"]([^'"]+)['"]""".replace("'", "''")
 _REDACTED = f"""
@@ -234,5 +234,5 @@ ORACLE_SQL = {
         CASE WHEN event_id % 13 = 0 THEN 'Rate Limit Exceeded' WHEN event_id % 17 = 0 THEN 'Error' ELSE 'Auto-Healed' END AS status FROM events WHERE event_type <> 'purchase'""",
     "findings_by_window": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "findings_rollup": "SELECT l_returnflag AS vulnerability_type, l_linestatus AS risk_level, count(*) AS n, CAST(grouping(l_returnflag) * 2 + grouping(l_linestatus) AS BIGINT) AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
-} | workflows.ORACLE_SQL
+} | workflows.ORACLE_SQL | sql.ORACLE_SQL
 ORACLE_SQL["retrieve_stored"] = ORACLE_SQL["retrieve_topk"]

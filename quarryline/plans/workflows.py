@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions import reports
-from quarryline.operators import asof, compliance, dashboard, file_index, hotspots, responder, retrieval, state
+from quarryline.operators import asof, compliance, dashboard, difference, file_index, hotspots, intervals, responder, retrieval, sketches, state
 from quarryline.sources import sinks, stored, tables
 from quarryline.sources.tables import table
 from quarryline.streaming import jobs
@@ -51,7 +51,6 @@ SCANS = [
 ]
 KEY_PREFIX = "key_"
 PRODUCT = "Code"
-RSD = 0.02
 TOP_K = 2
 
 
@@ -268,10 +267,30 @@ def request_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def distinct_codes(spark: SparkSession, sf: str) -> DataFrame:
-    """Extension: the approximate number of different codes, and whether it is within three deviations of the exact one."""
-    codes = table(spark, sf, "documents").select(reports.cache_key(F.col("text"), F.lit("p")).alias("code_hash"))
-    both = codes.agg(F.approx_count_distinct("code_hash", RSD).alias("about"), F.count_distinct("code_hash").alias("n_codes"))
-    return both.select("n_codes", (F.abs(F.col("about") - F.col("n_codes")) <= 3 * RSD * F.col("n_codes")).alias("close"))
+    """Extension: documents by language from sketches that are stored by language and source: different codes, the middle size, codes that English has not."""
+    rows = table(spark, sf, "documents").select("lang", "source", reports.cache_key(F.col("text"), F.lit("p")).alias("code_hash"), "n_chars")
+    kept = stored.written(sketches.sketched(rows, "lang", "source", code="code_hash", size="n_chars"), "sketches")
+    by_lang = sketches.combined(kept, "lang")
+    beyond = sketches.not_in(by_lang, by_lang.where("lang = 'en'"))
+    return sketches.estimates(by_lang, "lang").join(beyond.select("lang", "n_not_in", "n_common"), "lang")
+
+
+def session_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of a user's session and the open time of a finding of theirs (an error, open for some hours) that overlap."""
+    events = table(spark, sf, "events")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    sessions = jobs.finding_sessions(events, "user_id", gap="6 hours").select("user_id", micros("session_start").alias("s_from"), micros("session_end").alias("s_to"))
+    opened = events.where("event_type = 'error'").select("user_id", "event_id", micros("ts").alias("f_from"), (micros("ts") + (F.col("event_id") % 200) * 3_600_000_000).alias("f_to"))
+    return intervals.overlaps(sessions, opened, by=("user_id",), start=("s_from", "f_from"), end=("s_to", "f_to"), unit=3_600_000_000).select("user_id", "s_from", "event_id")
+
+
+def ingest_difference(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of two ingests that differ, with how many more the second has: some texts changed, some rows gone, some given twice."""
+    k = F.col("doc_id")
+    one = table(spark, sf, "documents").select("source", "lang", F.sha2("text", 256).alias("content_sha256"), (k % 5).alias("part"), "doc_id")
+    two = one.where(k % 53 != 0).withColumn("content_sha256", F.when(k % 41 == 0, F.lit("changed")).otherwise(F.col("content_sha256"))).withColumn("times", F.when(k % 67 == 0, 2).otherwise(1)).withColumn("times", F.explode(F.sequence(F.lit(1), "times")))
+    columns = ["source", "lang", "content_sha256", "part"]
+    return difference.difference(two.select(*columns), one.select(*columns))
 
 
 def findings_sliding(spark: SparkSession, sf: str) -> DataFrame:
@@ -287,7 +306,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         file_versions, ingest_counts, scan_reports, script_hotspots, patch_ranges, healed_scans, healed_patches, request_users, scan_counts, quota_asof, user_settings, job_table, job_transitions, retrieve_stored, cache_probe, job_reports, key_rotation, workspace_members,
-        organization_members, review_comments, webhook_payloads, editor_scans, gate_status, retry_schedule, request_fields, distinct_codes, findings_sliding, findings_sessions,
+        organization_members, review_comments, webhook_payloads, editor_scans, gate_status, retry_schedule, request_fields, distinct_codes, session_findings, ingest_difference, findings_sliding, findings_sessions,
     )
 }
 
@@ -364,7 +383,17 @@ ORACLE_SQL = {
         SELECT event_id, outcome, CAST(CASE WHEN outcome = 'again' THEN attempt + 1 ELSE attempt END AS INTEGER) AS attempt, CASE WHEN outcome = 'again' THEN CAST(ts AS TIMESTAMP) + INTERVAL 60 SECOND END AS not_before FROM t""",
     "request_fields": f"""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN date_part('microsecond', ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END || 'Z' AS created,
         '{KEY_PREFIX}' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 32) AS api_key, 'a|' || event_type || '|b' AS keys, event_type AS reply, CASE WHEN event_id % 40 = 29 THEN 'limited' ELSE 'open' END AS "limit" FROM events""",
-    "distinct_codes": "SELECT count(DISTINCT sha256(text || '_p')) AS n_codes, true AS close FROM documents",
+    "distinct_codes": """WITH c AS (SELECT lang, sha256(text || '_p') AS code, n_chars FROM documents), en AS (SELECT DISTINCT code FROM c WHERE lang = 'en')
+        SELECT lang, count(*) AS n, count(DISTINCT code) AS n_codes, count(DISTINCT code) AS n_codes_hll, quantile_disc(n_chars, 0.5) AS size_quantile,
+               count(DISTINCT CASE WHEN code NOT IN (FROM en) THEN code END) AS n_not_in, count(DISTINCT CASE WHEN code IN (FROM en) THEN code END) AS n_common FROM c WHERE lang IS NOT NULL GROUP BY 1""",
+    "session_findings": """WITH a AS (SELECT user_id, epoch_us(ts) AS ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 21600000000 THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+        b AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a),
+        sess AS (SELECT user_id, min(ts) AS s_from, max(ts) + 21600000000 AS s_to FROM b GROUP BY user_id, s)
+        SELECT s.user_id, s_from, event_id FROM sess s JOIN events e ON e.user_id = s.user_id AND event_type = 'error' AND event_id % 200 > 0 AND s_from < epoch_us(e.ts) + (event_id % 200) * 3600000000 AND epoch_us(e.ts) < s_to""",
+    "ingest_difference": """WITH one AS (SELECT doc_id, source, lang, sha256(text) AS h, doc_id % 5 AS part FROM documents),
+        ab AS (SELECT source, lang, h, part, -1 AS n FROM one
+          UNION ALL SELECT source, lang, CASE WHEN doc_id % 41 = 0 THEN 'changed' ELSE h END, part, CASE WHEN doc_id % 67 = 0 THEN 2 ELSE 1 END FROM one WHERE doc_id % 53 <> 0)
+        SELECT source, lang, h AS content_sha256, part, CAST(sum(n) AS BIGINT) AS n FROM ab GROUP BY ALL HAVING sum(n) <> 0""",
     "findings_sliding": """WITH w AS (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, CAST(ts AS TIMESTAMP)), time_bucket(INTERVAL 30 MINUTE, CAST(ts AS TIMESTAMP)) - INTERVAL 30 MINUTE]) AS window_start FROM events)
         SELECT window_start, event_type, count(*) AS n FROM w GROUP BY 1, 2""",
     "findings_sessions": """WITH a AS (SELECT user_id, CAST(ts AS TIMESTAMP) AS ts, CASE WHEN CAST(ts AS TIMESTAMP) - lag(CAST(ts AS TIMESTAMP)) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

@@ -64,6 +64,29 @@ def database(spark: SparkSession, url: str, name: str, *, key: str | None = None
     return reader.load()
 
 
+def database_by_quantiles(spark: SparkSession, url: str, name: str, *, key: str, parts: int = CONNECTIONS, **options: str) -> DataFrame:
+    """A table over JDBC in ``parts`` reads of about equally many rows: cut at quantiles of ``key`` (numbers, text, dates or times), which is read before, alone.
+
+    No two reads overlap, and the rows without a key go with the first. Rows of
+    one key stay together, so a key of very many rows is a read of its own.
+    """
+    keys = spark.read.format("jdbc").options(url=url, dbtable=name, **options).load().select(key).where(F.col(key).isNotNull())
+    numeric = keys.schema[key].dataType.simpleString().split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+    if numeric or keys.schema[key].dataType.simpleString() in ("date", "timestamp", "timestamp_ntz"):
+        shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+        found = keys.agg(F.percentile_approx(key, shares, F.lit(1000 * parts))).first()[0] if parts > 1 else None
+    else:  # text has no percentiles: by the keys of a sample that is bounded by its rate
+        sample = sorted(r[0] for r in keys.sample(min(1.0, 1000.0 * parts / max(keys.count(), 1)), seed=1).collect())
+        found = [sample[len(sample) * i // parts] for i in range(1, parts)] if sample else None
+    cuts = sorted(set(found or ()))
+    text = lambda v: str(v) if numeric else "'" + str(v).replace("'", "''") + "'"
+    column = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+    below, from_ = [f"{column} <= {text(v)}" for v in cuts], [f"{column} > {text(v)}" for v in cuts]
+    predicates = [" AND ".join(x) for x in zip(["1 = 1", *from_], [*below, "1 = 1"])]
+    predicates[0] = f"({predicates[0]}) OR {column} IS NULL" if cuts else "1 = 1"
+    return spark.read.jdbc(url, name, predicates=predicates, properties=options)
+
+
 def code_files(spark: SparkSession, path: str, repo_id: str) -> DataFrame:
     """Whole text files as repo_id, filename, content, seq: the order of ingestion, which is that of modification, then of the name."""
     seq = F.struct(F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("path"))

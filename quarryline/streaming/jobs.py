@@ -59,3 +59,17 @@ def latest_state(events: DataFrame, key: str, *order: str) -> DataFrame:
     """The last row of each key as a running aggregate (update or complete mode)."""
     others = [c for c in events.columns if c != key]
     return events.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("last")).select(key, "last.*")
+
+
+def finished_requests(requests: DataFrame, finished: DataFrame, *, within: str, key: str = "request_id", lateness: str = LATENESS) -> DataFrame:
+    """request_id, asked, ended, status: each request with the job that ended within that time after it, null where none did.
+
+    requests: key, ts; finished: key, ts, status. As a stream, a request
+    without an end comes out once its time and the lateness are over, and both
+    sides' rows leave the state then.
+    """
+    marked = lambda df: df.withWatermark("ts", lateness) if df.isStreaming else df
+    r = marked(requests).select(F.col(key).alias("request_id"), F.col("ts").alias("asked"))
+    f = marked(finished).select(F.col(key).alias("of"), F.col("ts").alias("ended"), "status")
+    near = (F.col("of") == F.col("request_id")) & (F.col("ended") >= F.col("asked")) & (F.col("ended") <= F.col("asked") + F.expr(f"INTERVAL {within}"))
+    return r.join(f, near, "left").select("request_id", "asked", "ended", "status")
