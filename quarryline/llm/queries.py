@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quarryline.llm.bloom_lm import op1_lm_score
-from quarryline.llm import bit_sliced, chat_format, decontaminate
+from quarryline.llm import bit_sliced, chat_format, decontaminate, spelling_variants
 from quarryline.llm.bit_sliced import op12_bit_sliced
 from quarryline.llm.chat_format import op5_chat_format
 from quarryline.llm.decontaminate import op7_decontaminate
@@ -38,4 +38,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_chat_format": chat_format.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op12_bit_sliced": bit_sliced.ORACLE,
+    "op13_spelling_variants": spelling_variants.ORACLE,
 }

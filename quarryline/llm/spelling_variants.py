@@ -250,3 +250,35 @@ def variants(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: CRC-32 is linear: a message's is the exclusive or of what each byte gives at its distance from the end, and of what the start value gives over the length.
+ORACLE = r"""
+WITH RECURSIVE bits(b, k, v) AS (
+  SELECT CAST(range AS BIGINT), 0, CAST(range AS BIGINT) FROM range(256)
+  UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8
+), tab AS (SELECT b, v FROM bits WHERE k = 8),
+runs AS (
+  SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, sum(times) AS times
+  FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, run, 1 AS times FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]{7,}')) AS run FROM documents)) GROUP BY 1, 2
+), messages AS (SELECT id, run, times, hex(id || ':' || run) AS h FROM runs),
+longest AS (SELECT coalesce(max(length(h)) // 2, 0) AS most FROM messages),
+start(n, z) AS (SELECT 0, CAST(4294967295 AS BIGINT) UNION ALL SELECT n + 1, xor(v, z >> 8) FROM start JOIN tab ON b = z & 255, longest WHERE n < most),
+gives(d, b, v) AS (SELECT 0, b, v FROM tab UNION ALL SELECT d + 1, g.b, xor(t.v, g.v >> 8) FROM gives g JOIN tab t ON t.b = g.v & 255, longest WHERE d + 1 < most),
+bytes AS (SELECT id, run, times, length(h) // 2 AS n, unnest(range(length(h) // 2)) AS k, h FROM messages),
+hashed AS (
+  SELECT id, run, any_value(times) AS times, xor(xor(any_value(z), bit_xor(v)), 4294967295) AS crc
+  FROM bytes JOIN gives ON gives.d = bytes.n - 1 - k AND gives.b = CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT) JOIN start ON start.n = bytes.n GROUP BY id, run
+), words AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (SELECT CASE WHEN crc % 31 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, times FROM hashed)
+  WHERE length(word) >= 7 GROUP BY 1 HAVING sum(times) >= 2
+), cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, w.word, w.n FROM cut a JOIN words w ON w.word = a.rest
+  UNION SELECT w.word, a.word, a.n FROM cut a JOIN words w ON w.word = a.rest
+), best AS (SELECT word, count(*) AS n_near, max(near_n) AS best_n, min(near) FILTER (near_n = most) AS best FROM (SELECT *, max(near_n) OVER (PARTITION BY word) AS most FROM pairs) GROUP BY 1),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+chain(word, upto, steps) AS (SELECT word, word, 0 FROM forms UNION ALL SELECT c.word, f.form, steps + 1 FROM chain c JOIN forms f ON f.word = c.upto WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM forms f JOIN (SELECT word, arg_max(upto, steps) AS root FROM chain GROUP BY 1) USING (word)
+"""
