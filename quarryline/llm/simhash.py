@@ -508,24 +508,38 @@ def shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
     """key, shared: how many of a set's ids below FIRST_IDS another set of ``docs`` (text) has too; sets without one have no row.
 
     The ids go by buckets (id modulo ``buckets``, 256 at least, so that the
-    quotient has 32 bits), packed; of a task's copies one is sent.
+    quotient has 32 bits), packed. An id that several sets of a task's group
+    have is counted there, and goes to its bucket once, as known to be shared;
+    so what very many sets have weighs one entry for each group. A set is
+    dealt once by each task, and each task's count of it is the whole one.
     """
 
     def deal(batches):
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        seen, keys, ids, n = set(), [], [], 0
+        task, seen, keys, ids, n = TaskContext.get().partitionId(), set(), [], [], 0
 
         def packed():
-            each = np.concatenate(ids)
-            owner = np.repeat(np.array(keys, dtype="<i8"), [len(x) for x in ids])
-            bucket = each % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            bucket, owner, each = bucket[order], owner[order], (each[order] // np.uint64(buckets)).astype("<u4")
+            owners, each = np.array(keys, dtype="<i8"), np.concatenate(ids)
+            owner = np.repeat(np.arange(len(owners)), [len(x) for x in ids])
+            found, back, times = np.unique(each, return_inverse=True, return_counts=True)
+            alone = times[back] == 1
+            counted = np.bincount(owner[~alone], minlength=len(owners))
+            sent = np.concatenate([each[alone], found[times > 1]])  # what is known to be shared comes without a set
+            of = np.concatenate([owners[owner[alone]], np.zeros(int((times > 1).sum()), dtype="<i8")])
+            known = np.arange(len(sent)) >= int(alone.sum())
+            bucket = sent % np.uint64(buckets)
+            order = np.lexsort((known, bucket))
+            bucket, of, known, rest = bucket[order], of[order], known[order], (sent[order] // np.uint64(buckets)).astype("<u4")
             starts = np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1, [len(bucket)]])
-            cut = lambda x: pa.array([x[s:e].tobytes() for s, e in zip(starts[:-1], starts[1:])], type=pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(bucket[starts[:-1]].astype(np.int64)), cut(each), cut(owner)], names=["bucket", "ids", "keys"])
+            ends = [s + int((~known[s:e]).sum()) for s, e in zip(starts[:-1], starts[1:])]  # those with a set come first
+            own = np.nonzero(counted)[0]
+            rows = [(int(bucket[s]), rest[s:m].tobytes(), of[s:m].tobytes(), rest[m:e].tobytes(), b"") for s, m, e in zip(starts[:-1], ends, starts[1:])]
+            rows.append((task % buckets, b"", owners[own].tobytes(), b"", counted[own].astype("<i8").tobytes()))
+            columns = [pa.array(c, type=k) for c, k in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 4))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([task] * len(rows), pa.int32())], names=["bucket", "ids", "keys", "known", "counts", "task"])
 
         for batch in batches:
             for found in _hashed_sets(batch.column(0)):
@@ -548,24 +562,32 @@ def shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
         now, held, found, n = None, [], [], 0
 
         def close():
-            ids, keys = (np.concatenate([np.frombuffer(x[i], dtype=kind) for x in held]) for i, kind in enumerate(("<u4", "<i8")))
+            """The bucket's shared ids, by set and task."""
+            joined = lambda i, kind: np.concatenate([np.frombuffer(x[i], dtype=kind) for x in held])
+            ids, keys, known = joined(0, "<u4"), joined(1, "<i8"), np.unique(joined(2, "<u4"))
+            tasks = np.repeat(np.array([x[3] for x in held], dtype=np.int32), [len(x[0]) // 4 for x in held])
             order = np.lexsort((keys, ids))
-            ids, keys = ids[order], keys[order]
-            once = np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])
-            ids, keys = ids[once], keys[once]
-            same = ids[1:] == ids[:-1]
-            shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            found.append(np.unique(keys[shared], return_counts=True))
+            ids, keys, tasks = ids[order], keys[order], tasks[order]
+            starts = np.concatenate([[True], ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, dtype=bool)
+            group = np.cumsum(starts) - 1
+            # of an id's entries, sorted by set, the first and the last differ where two sets have it
+            first = np.nonzero(starts)[0]
+            last = np.concatenate([first[1:] - 1, [len(ids) - 1]])[: len(first)]
+            shared = (keys[first] != keys[last])[group] | np.isin(ids, known) if len(ids) else starts
+            found.append((keys[shared], tasks[shared], np.ones(int(shared.sum()), dtype=np.int64)))
             return len(found[-1][0])
 
         def summed():
-            keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
-            sums = np.bincount(at, weights=np.concatenate([c for _, c in found]), minlength=len(keys)).astype(np.int64)
+            keys, tasks, counts = (np.concatenate(x) for x in zip(*found))
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys, type=pa.int64()), pa.array(sums)], names=["key", "shared"])
+            order = np.lexsort((tasks, keys))
+            keys, tasks, counts = keys[order], tasks[order], counts[order]
+            starts = np.nonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (tasks[1:] != tasks[:-1])]))[0] if len(keys) else np.zeros(0, dtype=np.int64)
+            sums = np.add.reduceat(counts, starts) if len(starts) else counts
+            return pa.RecordBatch.from_arrays([pa.array(keys[starts], pa.int64()), pa.array(tasks[starts], pa.int32()), pa.array(sums, pa.int64())], names=["key", "task", "shared"])
 
         for batch in batches:
-            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            for bucket, ids, keys, known, counts, task in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != now and held:
                     n += close()
                     held = []
@@ -573,14 +595,20 @@ def shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
                         yield summed()
                         n = 0
                 now = bucket
-                held.append(row)
+                if counts:  # a task's own
+                    own = np.frombuffer(keys, dtype="<i8")
+                    found.append((own, np.full(len(own), task, dtype=np.int32), np.frombuffer(counts, dtype="<i8")))
+                    n += len(own)
+                else:
+                    held.append((ids, keys, known, task))
         if held:
             close()
         if found:
             yield summed()
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket long, ids binary, keys binary").repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(count, "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
+    dealt = docs.select("text").mapInArrow(deal, "bucket long, ids binary, keys binary, known binary, counts binary, task int").repartition("bucket").sortWithinPartitions("bucket")
+    by_task = dealt.mapInArrow(count, "key long, task int, shared long").groupBy("key", "task").agg(F.sum("shared").alias("shared"))
+    return by_task.groupBy("key").agg(F.max("shared").alias("shared"))
 
 
 def hashed_sets(docs: DataFrame, one: DataFrame, names: tuple[str, ...]) -> DataFrame:

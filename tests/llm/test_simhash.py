@@ -199,3 +199,13 @@ def test_shared_counts(spark):
     for buckets in (256, 1000):
         got = {r["key"]: r["shared"] for r in simhash.shared_counts(docs, buckets).collect()}
         assert got == {k: n for k, n in want.items() if n} and got
+
+
+def test_what_all_sets_share_weighs_one_entry_for_a_group(spark, monkeypatch):
+    """A passage in every text: small groups and large ones give the same counts, and copies in several tasks count once."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [f"{passage} own{i} " + " ".join(f"o{i}x{j}" for j in range(5)) for i in range(300)] * 2
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    want = sorted(map(tuple, simhash.shared_counts(docs, 256).collect()))
+    monkeypatch.setattr(simhash, "DEALT_IDS", 60)
+    assert sorted(map(tuple, simhash.shared_counts(docs, 300).collect())) == want and len(want) == 300 and len({n for _, n in want}) <= 3
