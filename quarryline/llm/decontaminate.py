@@ -56,15 +56,13 @@ def benchmark_windows(items: DataFrame, *, id_col="item_id", text_col="text", wi
     return worded.select("item", F.explode(cut).alias("window_words")).groupBy("window_words").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def _size_checked(df: DataFrame, rows: int, most: int) -> DataFrame:
-    return F.broadcast(df) if rows <= most else df
-
-
 def rarest_first(docs_text: DataFrame, windows: DataFrame) -> DataFrame:
     """Adds ``h`` and ``offset`` of each window's rarest shingle, by its count over all texts."""
     known = written(windows.select(F.explode("window_words").alias("w")).select(F.xxhash64("w").alias("h")).distinct(), "decon-words")
     seen = docs_text.select(F.explode(words_of(F.col("text"))).alias("w")).select(F.xxhash64("w").alias("h"))
-    counts = seen.join(_size_checked(known, known.count(), COUNTED_ROWS), "h").groupBy("h").agg(F.count("*").alias("n"))
+    counted = lambda rows: rows.groupBy("h").agg(F.count("*").alias("n"))
+    # words that cannot be broadcast meet the corpus's counts, which are summed in each task before they are shuffled, not its words
+    counts = counted(seen.join(F.broadcast(known), "h")) if known.count() <= COUNTED_ROWS else counted(seen).join(known, "h")
     shingles = windows.select("wid", F.posexplode("window_words").alias("offset", "w")).select("wid", "offset", F.xxhash64("w").alias("h"))
     first = shingles.join(counts, "h", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("offset"), F.col("h"))).alias("rare"))
     return windows.join(first, "wid").select("wid", "window_words", "set", F.col("rare.h").alias("h"), F.col("rare.offset").alias("offset"))
