@@ -23,8 +23,8 @@ are rejected by mistake, with a guarantee:
 A stratum with too few good documents for any safe cutoff gets none, and keeps
 everything that the fixed rules keep.
 
-Measures are rounded down to a grid, so that a stratum's holdout is a
-histogram of bounded size; counts are aggregated before they are shuffled, and
+Measures are rounded down to a grid that ends at ``TOP``, so that a stratum's
+holdout is a histogram of bounded size; counts are aggregated before they are shuffled, and
 no stratum is gathered. Everything about one text is computed within its row.
 
 Defined results: a null or empty text has no words and fails the fixed rules;
@@ -44,11 +44,13 @@ from quarryline.llm.shared import WORD, written
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 ALPHA, DELTA = 0.02, 0.05
 GRID, GOOD_WEIGHT = 1000, 10
+#: Measures end here: eight marks for each word and more are one value.
+TOP = 8 * GRID
 
 
 def _rules() -> dict[str, Column]:
     """Each rule's measure of a row of ``measures``; higher is worse. All are whole numbers of the grid."""
-    per_word = lambda c: F.floor(F.lit(GRID) * F.col(c) / F.greatest(F.col("n_words"), F.lit(1)))
+    per_word = lambda c: F.least(F.floor(F.lit(GRID) * F.col(c) / F.greatest(F.col("n_words"), F.lit(1))), F.lit(TOP))
     return {
         "symbols": per_word("n_symbols"),
         "dup_lines": per_word("n_dup_lines"),

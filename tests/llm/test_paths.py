@@ -79,7 +79,7 @@ def test_cutoffs_and_kept_against_plain_python(spark):
     rows = quality_rules.measures(docs)
     measured = [r.asDict() for r in rows.collect()]
     rules = {"symbols": "n_symbols", "dup_lines": "n_dup_lines", "repeats": "n_repeat_words"}
-    value = lambda r, c: 1000 * r[c] // max(r["n_words"], 1)
+    value = lambda r, c: min(1000 * r[c] // max(r["n_words"], 1), quality_rules.TOP)
     failed = lambda r: r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]
     mark = {r["doc_id"]: r["quality"] for r in labels.collect()}
     held = {r["doc_id"]: r for r in measured if not failed(r) and r["doc_id"] in mark}
@@ -107,6 +107,18 @@ def test_cutoffs_and_kept_against_plain_python(spark):
     assert any(not k and not failed(r) for (_, k), r in zip(kept, sorted(measured, key=lambda r: r["doc_id"])))
 
 
+def test_the_histogram_is_bounded(spark):
+    """Texts of ever more marks have one value from TOP on; the strictest cutoff below it rejects them all."""
+    words = " ".join(f"w{i}" for i in range(30))
+    docs = [(i, words + "#" * (240 + 60 * i), "en") for i in range(400)] + [(1000 + i, words, "en") for i in range(400)]
+    labels = [(i, int(i >= 1000)) for i, _, _ in docs]
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    rows = quality_rules.measures(docs)
+    assert rows.select(quality_rules._rules()["symbols"].alias("v")).distinct().count() <= 3
+    got = quality_rules.quality_rules(docs, labels).collect()
+    assert all(r["kept"] == (r["doc_id"] >= 1000) for r in got)
+
+
 def test_cutoffs_hold_their_limit_on_real_labels(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
