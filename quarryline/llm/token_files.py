@@ -61,7 +61,7 @@ MARKS = ".,;:!?*$%&#|()\""
 PRE_TOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 #: Characters of a text that deal out rows of one id (or of none).
-TIE_CHARS = 16
+TIE_CHARS = 128
 
 _encoders: dict[tuple, "ChunkEncoder"] = {}
 
