@@ -18,6 +18,9 @@ Responder = Callable[[DataFrame], DataFrame]
 
 # Statuses that rows carry.
 HEALED, PENDING, RATE_LIMITED = "Auto-Healed", "Pending", "Rate Limit Exceeded - Pending"
+# What explains a patch, or a hotspot without one, for each status; and where no model is online.
+EXPLANATIONS = {HEALED: "AI Patch successfully generated.", RATE_LIMITED: "Groq API Rate Limit Exceeded.", PENDING: "LLM Generation failed due to an API error."}
+OFFLINE = "LLM Engine is offline. Missing API Key."
 ENTERPRISE_RATE_LIMITED, ERROR = "Rate Limit Exceeded", "Error"
 ENTERPRISE_FILE, ENTERPRISE_RISK = "Enterprise_API_Payload", "Critical"
 
@@ -40,14 +43,26 @@ def hotspot_status(online: Column | None = None) -> Column:
     return base if online is None else F.when(online, base).otherwise(PENDING)
 
 
+def explanation(status: Column, online: Column | None = None) -> Column:
+    """The sentence that goes with a hotspot's status."""
+    text = F.element_at(F.create_map(*[F.lit(x) for pair in EXPLANATIONS.items() for x in pair]), status)
+    return text if online is None else F.when(online, text).otherwise(F.lit(OFFLINE))
+
+
 def heal(found: DataFrame, responder: Responder, *keys: str, file_name: str = "file_name") -> tuple[DataFrame, DataFrame]:
-    """(scan rows, patches): one row for each hotspot, one patch for each that got a reply with text in it."""
+    """(scan rows, patches): one row for each hotspot, one patch with its explanation for each that got a reply with text in it."""
     answered = responder(found).withColumns({"suggested_code": stripped(F.col("reply")), "status": hotspot_status()})
     scans = answered.select(*keys, F.col(file_name).alias("fileName"), F.col("node_type").alias("vulnerabilityType"), F.col("risk_level").alias("riskLevel"), "status")
-    patches = answered.where(F.col("suggested_code") != "").select(*keys, F.col("pos").alias("hotspot_index"), F.col("code_snippet").alias("original_code"), "suggested_code")
+    patches = answered.where(F.col("suggested_code") != "").select(*keys, F.col("pos").alias("hotspot_index"), F.col("code_snippet").alias("original_code"), "suggested_code", explanation(F.col("status")).alias("explanation"))
     return scans, patches
 
 
+def file_counts(found: DataFrame, patches: DataFrame, *keys: str) -> DataFrame:
+    """keys, n_hotspots, n_patches of each file with a hotspot; both are counted before they are joined."""
+    counted = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    return counted(found, "n_hotspots").join(counted(patches, "n_patches"), list(keys), "left").fillna(0, ["n_patches"])
+
+
 def enterprise(requests: DataFrame, responder: Responder, online: bool = True) -> tuple[DataFrame, DataFrame]:
     """(responses, scan rows). requests: request_id, code_snippet, vulnerability_type, zero_retention.
 

@@ -109,7 +109,11 @@ def healed_scans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def healed_patches(spark: SparkSession, sf: str) -> DataFrame:
-    return _healed(spark, sf)[1].select("page_id", "hotspot_index", "original_code", "suggested_code")
+    return _healed(spark, sf)[1].select("page_id", "hotspot_index", "original_code", "suggested_code", "explanation")
+
+
+def hotspot_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return responder.file_counts(script_hotspots(spark, sf), _healed(spark, sf)[1], "page_id")
 
 
 def request_users(spark: SparkSession, sf: str) -> DataFrame:
@@ -219,7 +223,8 @@ def workspace_members(spark: SparkSession, sf: str) -> DataFrame:
 
 def organization_members(spark: SparkSession, sf: str) -> DataFrame:
     users = table(spark, sf, "customer").select(F.when(F.col("c_custkey") % 10 != 0, F.col("c_nationkey")).alias("org_id"))
-    vault = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("org_id"))
+    owners = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 10 != 0, F.col("c_nationkey")).alias("org_id"))
+    vault = table(spark, sf, "orders").join(owners, F.col("o_custkey") == F.col("c_custkey")).select("org_id")  # as in org_vault
     return dashboard.members(table(spark, sf, "nation"), users, vault, org="org_id", org_key="n_nationkey").select("n_nationkey", "n_name", "n_users", "n_vault")
 
 
@@ -305,7 +310,7 @@ def findings_sessions(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        file_versions, ingest_counts, scan_reports, script_hotspots, patch_ranges, healed_scans, healed_patches, request_users, scan_counts, quota_asof, user_settings, job_table, job_transitions, retrieve_stored, cache_probe, job_reports, key_rotation, workspace_members,
+        file_versions, ingest_counts, scan_reports, script_hotspots, patch_ranges, healed_scans, healed_patches, hotspot_counts, request_users, scan_counts, quota_asof, user_settings, job_table, job_transitions, retrieve_stored, cache_probe, job_reports, key_rotation, workspace_members,
         organization_members, review_comments, webhook_payloads, editor_scans, gate_status, retry_schedule, request_fields, distinct_codes, session_findings, ingest_difference, findings_sliding, findings_sessions,
     )
 }
@@ -338,7 +343,8 @@ ORACLE_SQL = {
     "patch_ranges": f"""WITH r(k, pos, start_line, start_char, end_line, end_char) AS (VALUES {_values(RANGES)})
         SELECT page_id, CAST(pos AS INTEGER) AS pos, CAST(start_line AS INTEGER) AS start_line, CAST(start_char AS INTEGER) AS start_char, CAST(end_line AS INTEGER) AS end_line, CAST(end_char AS INTEGER) AS end_char FROM pages JOIN r ON page_id % {len(SCRIPTS)} = k""",
     "healed_scans": f"""WITH {_FOUND} SELECT page_id, pos, 'p' || page_id AS "fileName", node_type AS "vulnerabilityType", risk_level AS "riskLevel", CASE WHEN code_snippet LIKE '%raise-429%' THEN 'Rate Limit Exceeded - Pending' ELSE 'Auto-Healed' END AS status FROM h""",
-    "healed_patches": f"WITH {_FOUND} SELECT page_id, pos AS hotspot_index, code_snippet AS original_code, 'fixed ' || md5(code_snippet) AS suggested_code FROM h WHERE code_snippet NOT LIKE '%raise-429%'",
+    "healed_patches": f"WITH {_FOUND} SELECT page_id, pos AS hotspot_index, code_snippet AS original_code, 'fixed ' || md5(code_snippet) AS suggested_code, '{responder.EXPLANATIONS[responder.HEALED]}' AS explanation FROM h WHERE code_snippet NOT LIKE '%raise-429%'",
+    "hotspot_counts": f"WITH {_FOUND} SELECT page_id, count(*) AS n_hotspots, count(*) FILTER (code_snippet NOT LIKE '%raise-429%') AS n_patches FROM h GROUP BY 1",
     "request_users": f"""WITH r AS (SELECT event_id, user_id, event_id % 4 AS kind FROM events),
         m AS (SELECT event_id, c_custkey FROM r LEFT JOIN customer ON c_custkey = user_id AND (kind = 1 OR (kind = 0 AND c_custkey % 9 <> 0)))
         SELECT event_id, CAST(c_custkey AS BIGINT) AS c_custkey, CASE WHEN c_custkey IS NULL THEN 401 ELSE 200 END AS code FROM m""",
@@ -368,7 +374,7 @@ ORACLE_SQL = {
         SELECT job_id, status, CASE WHEN status = 'completed' THEN props END AS report FROM j""",
     "key_rotation": "SELECT l_orderkey AS file_name, l_linenumber AS pos, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1) % 3 AS key_index FROM lineitem",
     "workspace_members": "SELECT user_id, event_id % 25 AS org_id, CASE event_type WHEN 'signup' THEN 'admin' ELSE 'developer' END AS role FROM events WHERE event_type IN ('signup', 'click') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
-    "organization_members": """SELECT n_nationkey, n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_custkey % 10 <> 0) AS n_users, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n_vault FROM nation""",
+    "organization_members": """SELECT n_nationkey, n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_custkey % 10 <> 0) AS n_users, (SELECT count(*) FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = n_nationkey AND c_custkey % 10 <> 0) AS n_vault FROM nation""",
     "review_comments": f"""WITH r AS (SELECT doc_id, text, CASE WHEN doc_id % 7 <> 0 THEN text END AS report, CASE WHEN doc_id % 3 <> 0 THEN 'fix ' || doc_id END AS fix,
           CASE WHEN doc_id % 5 <> 0 THEN CASE WHEN upper(text) LIKE '%CRITICAL%' OR doc_id % 11 = 0 THEN 'CRITICAL' WHEN upper(text) LIKE '%HIGH%' THEN 'HIGH' WHEN upper(text) LIKE '%MEDIUM%' THEN 'MEDIUM' ELSE 'LOW' END END AS severity FROM documents),
         c AS (SELECT doc_id, text, {_COMMENT} AS comment FROM r)

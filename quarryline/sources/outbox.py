@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -35,6 +36,58 @@ def undelivered(rows: DataFrame, outbox: DataFrame) -> DataFrame:
     return rows.join(outbox.select("delivery_id"), "delivery_id", "left_anti").dropDuplicates(["delivery_id"])
 
 
+RESULT = "delivery_id string, error string, transient boolean"
+
+
+def deliver(rows: DataFrame, send: Callable[[str, str, str], None], *, passing: tuple[type[Exception], ...] = (OSError,), seconds: float = 5.0) -> DataFrame:
+    """delivery_id, error, transient: each row (delivery_id, url, payload) sent once by ``send(delivery_id, url, payload)`` within a task.
+
+    An error of the kinds ``passing`` (no connection, no answer in time) may
+    go by and is transient, any other is not; neither stops the others.
+    A task that is run again sends again, with the same id. ``seconds`` is set
+    as the default time limit of connections while a task sends.
+    """
+
+    def run(batches):
+        import socket
+
+        import pyarrow as pa
+
+        before = socket.getdefaulttimeout()
+        socket.setdefaulttimeout(seconds)
+        try:
+            for batch in batches:
+                errors, transient = [], []
+                for row in batch.to_pylist():
+                    try:
+                        send(row["delivery_id"], row["url"], row["payload"])
+                        errors.append(None)
+                        transient.append(False)
+                    except Exception as error:  # goes into the row
+                        errors.append(f"{type(error).__name__}: {error}"[:500])
+                        transient.append(isinstance(error, passing))
+                yield pa.RecordBatch.from_arrays([batch.column("delivery_id"), pa.array(errors, pa.string()), pa.array(transient, pa.bool_())], names=["delivery_id", "error", "transient"])
+        finally:
+            socket.setdefaulttimeout(before)
+
+    return rows.select("delivery_id", "url", "payload").mapInArrow(run, RESULT)
+
+
+def post(delivery: str, url: str, payload: str) -> None:
+    """Send one delivery as JSON over HTTP, its id as a header by which a receiver knows a second attempt. A refusal (4xx) is no passing error."""
+    import urllib.error
+    import urllib.request
+
+    request = urllib.request.Request(url, data=json.dumps({"content": payload}).encode(), headers={"Content-Type": "application/json", "Idempotency-Key": delivery}, method="POST")
+    try:
+        with urllib.request.urlopen(request) as answer:
+            answer.read()
+    except urllib.error.HTTPError as error:
+        if error.code < 500:
+            raise ValueError(f"refused with {error.code}") from error
+        raise
+
+
 def opened(uri: str):
     """(file system, path) of pyarrow for a URI or a plain path."""
     from pyarrow import fs

@@ -160,6 +160,36 @@ def test_outbox_as_a_stream_over_restarts(spark, tmp_path):
     assert len(got) == 8 == len(set(got))
 
 
+def test_deliveries_are_posted(spark):
+    """To a server of this test: what arrives, with its id; refused and unreachable ones come out as such."""
+    import http.server
+    import json
+    import threading
+
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.headers["Idempotency-Key"], body["content"]))
+            self.send_response(200 if self.path == "/ok" else 404)
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        rows = spark.createDataFrame([("a", f"{base}/ok", "text é\n"), ("b", f"{base}/no", "x"), ("c", "http://127.0.0.1:1/", "y"), ("d", "nonsense", "z")], outbox.SCHEMA)
+        got = {r["delivery_id"]: (r["error"], r["transient"]) for r in outbox.deliver(rows, outbox.post).collect()}
+    finally:
+        server.shutdown()
+    assert got["a"] == (None, False) and sorted(seen) == [("a", "text é\n"), ("b", "x")]
+    assert "404" in got["b"][0] and not got["b"][1] and got["c"][1] and not got["d"][1] and got["d"][0].startswith("ValueError")
+
+
 # ---------------------------------------------------------------- requests and ends
 
 
