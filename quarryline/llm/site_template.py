@@ -43,10 +43,10 @@ MIN_PAGES, SHARE, IN_MAIN = 3, 0.005, 0.5
 AT_ONCE = 200_000
 #: Elements that are no part of an article, wherever they stand; ``header`` outside of one only.
 DROPPED = frozenset("nav footer aside form button select option input label dialog menu head title textarea script style noscript template iframe svg canvas object video audio".split())
-#: Words of a class, id or role that mark such an element.
+#: Words of a class, id or role that mark such an element, inline ones too, also in the plural.
 MARKS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs masthead banner footer contentinfo copyright sidebar complementary ad ads advert adverts advertisement advertising sponsor sponsored promo promotion "
-    "cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login search share sharing social related recommended comment comments disqus replies respond pagination pager toolbar widget".split()
+    "cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login search share sharing social related recommended comment comments disqus replies respond pagination pager toolbar topbar subnav submenu skip disclaimer widget".split()
 )
 #: Class names with these first words speak of something else.
 NOT_MARKED = frozenset("no has with without".split())
@@ -70,7 +70,7 @@ def marked(attributes: str, in_main: bool = True) -> bool:
     for _, value in NAMED.findall(attributes):
         for name in value.lower().strip("\"'").split():
             words = WORDS.findall(name)
-            if words and words[0] not in NOT_MARKED and not MARKS.isdisjoint(words) or name in HEADERS and not in_main:
+            if words and words[0] not in NOT_MARKED and any(w in MARKS or w[-1] == "s" and w[:-1] in MARKS for w in words) or name in HEADERS and not in_main:
                 return True
     return False
 
@@ -97,6 +97,8 @@ def walk(html: str, closed) -> tuple[list, list, list]:
         digest = xxh64_digest(tag.encode("utf-8", "replace") + b"".join(parts))
         stack[-1][3].append(digest)
         if tag in INLINE:
+            if attributes and marked(attributes):
+                del runs[start:]
             return
         in_main -= main
         closed(tag, attributes, digest, runs, start, chars - before, in_main > 0, own)

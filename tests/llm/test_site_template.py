@@ -23,6 +23,8 @@ CASES = [
     ("<p>x</div></b></p>y<b>z", "x yz"),
     ("<form><label>l</label><select><option>o</select></form><button>b</button>a &amp b &#x41; &am", "a & b A &am"),
     ("<svg><path/><text>s</text></svg><p title='a\">b", "b"),
+    ("<article><p>a <span class='ad'>x</span>b <a class='share-link' href=y>s</a><em class=key>c</em></p><ul class='social-links'><li>t</ul></article>", "a b c"),
+    ("<a class=skip-link>skip</a><div class=notices><p>n</div><p>a", "a"),
     ("<div>" * 3000 + "deep", "deep"),
     ("<b>" * 3000 + "deep" + "</i>" * 3000, "deep"),
 ]
