@@ -67,6 +67,8 @@ NODE_ROWS = 20_000
 LEAF, FANOUT = 4, 4
 #: Rows of the nodes that a task lays one index over, about, and pairs of groups that go down it at a time.
 TREE_ROWS, PIECE = 1 << 17, 1 << 14
+#: Linked pairs that are held until the closest of them are joined first.
+HELD_PAIRS = 1 << 20
 #: Of similar_documents: words of a shingle, words of a fingerprint, blocks of each, and differing bits of a candidate pair.
 WIDE_SHINGLE, WIDE_WORDS, WIDE_BLOCKS, WIDE_BITS = 5, 6, 5, 76
 #: The similarity that links, in fifths.
@@ -315,8 +317,15 @@ def forest(values, sizes, bounds: tuple[int, ...]):
 
     trees = Trees(values, sizes)
     for max_bits in bounds:
-        for x, y in linked_pairs(trees, max_bits, current):
-            joined(x, y)
+        held, n_held = [], 0
+        for pair in linked_pairs(trees, max_bits, current):
+            held.append(pair)
+            n_held += len(pair[0])
+            if n_held >= HELD_PAIRS:
+                joined(*map(np.concatenate, zip(*held)))
+                held, n_held = [], 0
+        if held:
+            joined(*map(np.concatenate, zip(*held)))
     return np.array(out_a, dtype=np.int64), np.array(out_b, dtype=np.int64)
 
 
