@@ -587,13 +587,16 @@ def shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
             return len(found[-1][0])
 
         def summed():
+            """What was found so far, packed by the sets' own buckets."""
             keys, tasks, counts = (np.concatenate(x) for x in zip(*found))
             found.clear()
-            order = np.lexsort((tasks, keys))
-            keys, tasks, counts = keys[order], tasks[order], counts[order]
-            starts = np.nonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (tasks[1:] != tasks[:-1])]))[0] if len(keys) else np.zeros(0, dtype=np.int64)
-            sums = np.add.reduceat(counts, starts) if len(starts) else counts
-            return pa.RecordBatch.from_arrays([pa.array(keys[starts], pa.int64()), pa.array(tasks[starts], pa.int32()), pa.array(sums, pa.int64())], names=["key", "task", "shared"])
+            keys, tasks, counts = _added(keys, tasks, counts)
+            part = keys.astype(np.uint64) % np.uint64(buckets)
+            order = np.argsort(part, kind="stable")
+            part, keys, tasks, counts = part[order], keys[order], tasks[order], counts[order]
+            starts = np.concatenate([[0], np.nonzero(np.diff(part))[0] + 1, [len(part)]]) if len(part) else np.zeros(1, dtype=np.int64)
+            cut = lambda x: pa.array([x[s:e].tobytes() for s, e in zip(starts[:-1], starts[1:])], type=pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(part[starts[:-1]].astype(np.int64)), cut(keys), cut(tasks), cut(counts)], names=["part", "keys", "tasks", "counts"])
 
         for batch in batches:
             for bucket, ids, keys, known, counts, task in zip(*(c.to_pylist() for c in batch.columns)):
@@ -615,9 +618,43 @@ def shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
         if found:
             yield summed()
 
+    def merged(batches):
+        """Each set's count: the sum over its ids' buckets by task; the tasks that dealt it agree."""
+        import numpy as np
+        import pyarrow as pa
+
+        def whole(held):
+            keys, tasks, counts = (np.concatenate([np.frombuffer(x[i], dtype=kind) for x in held]) for i, kind in enumerate(("<i8", "<i4", "<i8")))
+            keys, _, counts = _added(keys, tasks, counts)
+            starts = np.concatenate([[0], np.nonzero(np.diff(keys))[0] + 1])
+            return pa.RecordBatch.from_arrays([pa.array(keys[starts], pa.int64()), pa.array(np.maximum.reduceat(counts, starts), pa.int64())], names=["key", "shared"])
+
+        now, held = None, []
+        for batch in batches:
+            for part, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != now and held:
+                    yield whole(held)
+                    held = []
+                now = part
+                held.append(row)
+        if held:
+            yield whole(held)
+
     dealt = docs.select("text").mapInArrow(deal, "bucket long, ids binary, keys binary, known binary, counts binary, task int").repartition("bucket").sortWithinPartitions("bucket")
-    by_task = dealt.mapInArrow(count, "key long, task int, shared long").groupBy("key", "task").agg(F.sum("shared").alias("shared"))
-    return by_task.groupBy("key").agg(F.max("shared").alias("shared"))
+    counted = dealt.mapInArrow(count, "part long, keys binary, tasks binary, counts binary")
+    return counted.repartition("part").sortWithinPartitions("part").mapInArrow(merged, "key long, shared long")
+
+
+def _added(keys, tasks, counts):
+    """The sums of the counts of equal (key, task), in that order."""
+    import numpy as np
+
+    order = np.lexsort((tasks, keys))
+    keys, tasks, counts = keys[order], tasks[order], counts[order]
+    if not len(keys):
+        return keys, tasks, counts
+    starts = np.concatenate([[0], np.nonzero((keys[1:] != keys[:-1]) | (tasks[1:] != tasks[:-1]))[0] + 1])
+    return keys[starts], tasks[starts], np.add.reduceat(counts, starts)
 
 
 def hashed_sets(docs: DataFrame, one: DataFrame, names: tuple[str, ...]) -> DataFrame:
