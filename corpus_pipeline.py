@@ -45,11 +45,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed, names = _keyed(docs)
     rows = simhash.similar_documents(keyed.select("text", *names), tuple(names))
     kept = written(rows.groupBy("component").agg(F.min(F.struct(*names)).alias("first")).select("first.*"), "dedup-kept")
-    order = fresh(keyed, "__order")
+    order, first = fresh(keyed, "__order"), fresh(keyed, "__first")
     others = [F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(docs.columns) if c.lower() != "text"]
-    ordered = keyed.join(kept, names, "left_semi").withColumn(order, F.to_json(F.struct(*others)))
-    least = written(ordered.groupBy(*names).agg(F.min(order).alias(order)), "dedup-least")
-    return ordered.join(least, [*names, order], "left_semi").dropDuplicates(names).select(*docs.columns)
+    ordered = keyed.withColumn(order, F.to_json(F.struct(*others)))
+    least = written(ordered.select(*names, order).join(kept, names, "left_semi").groupBy(*names).agg(F.min(order).alias(first)), "dedup-least")
+    # joined by the names alone, so that equal rows meet in the same partition and the texts are shuffled once
+    return ordered.join(least, names).where(F.col(order) == F.col(first)).dropDuplicates(names).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
