@@ -15,7 +15,8 @@ every document counts once, less L2 / 2 times the squares of all weights
 
 Fitted on a bounded sample: ``TRAIN_PER_CLASS`` labelled documents of each
 class at most, the first by a seeded hash of the id, of ``TRAIN_CHARS``
-characters at most each. Scoring takes every document and every line whole.
+characters at most each and ``SAMPLE_CHARS`` together; a row that is given twice
+counts once. Scoring takes every document and every line whole.
 Labels, language, source and id are no inputs.
 
 Defined results: a null or empty text is one empty line; equal texts have
@@ -26,13 +27,15 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.llm.shared import fold_of
 
 FOLDS, HELD_OUT = 3, 1
 TRAIN_PER_CLASS, TRAIN_CHARS, SEED = 2000, 200_000, 42
+#: Characters of the whole sample at most.
+SAMPLE_CHARS = 40_000_000
 STEPS, RATE, L2 = 150, 0.1, 1e-3
 
 UPPER = bytes(range(65, 91))
@@ -249,9 +252,14 @@ def training_sample(docs: DataFrame, labels: DataFrame, *, per_class=TRAIN_PER_C
         known = known.where(fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)
     first = lambda label: known.where(F.col("quality") == label).orderBy(F.xxhash64(F.lit(SEED), F.col("doc_id")), "doc_id").limit(per_class)
     chosen = F.broadcast(first(0).union(first(1)))  # 2 * per_class rows at most
-    rows = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars).join(chosen, "doc_id").select("text", "quality", "doc_id")
-    rows = rows.orderBy(F.xxhash64(F.lit(SEED), F.col("doc_id")), "doc_id", "text").limit(2 * per_class)
-    return [((r[0] or "").encode("utf-8", "replace"), r[1]) for r in rows.collect()]
+    order = [F.xxhash64(F.lit(SEED), F.col("doc_id")), "doc_id", "h"]
+    known_texts = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.xxhash64("text").alias("h")).where(F.col("n") <= max_chars)
+    narrow = known_texts.join(chosen, "doc_id").select("doc_id", "h", "n").distinct().orderBy(*order).limit(2 * per_class)
+    upto = Window.partitionBy().orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # over those rows
+    kept = F.broadcast(narrow.withColumn("sum", F.sum("n").over(upto)).where(F.col("sum") <= SAMPLE_CHARS).select("doc_id", "h"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(kept, ["doc_id", "h"]).join(chosen, "doc_id")
+    rows = rows.groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.first("quality").alias("quality")).orderBy(*order)
+    return [((r["text"] or "").encode("utf-8", "replace"), r["quality"]) for r in rows.collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, **options) -> dict:

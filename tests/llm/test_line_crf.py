@@ -77,3 +77,13 @@ def test_fit_climbs():
     assert crf.objective(model["w"], model["link"], x, gold, lengths)[0] > before
     scores = crf.score_texts([t for t, _ in docs[:2]], model)
     assert scores[0] > 0.5 > scores[1]
+
+
+def test_the_sample_is_bounded_by_its_characters(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{i} " + "x" * 100) for i in range(200)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    whole = crf.training_sample(docs, labels)
+    assert len(whole) == len(set(whole)) > 50
+    monkeypatch.setattr(crf, "SAMPLE_CHARS", 1500)
+    some = crf.training_sample(docs, labels)
+    assert some == whole[: len(some)] and 1000 < sum(len(t) for t, _ in some) <= 1500
