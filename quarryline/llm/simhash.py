@@ -66,15 +66,15 @@ NODE_ROWS = 20_000
 #: Fingerprints in a leaf of the tree, and children of an upper node.
 LEAF, FANOUT = 4, 4
 #: Rows of the nodes that a task lays one index over, about, and pairs of groups that go down it at a time.
-TREE_ROWS, PIECE = 1 << 17, 1 << 14
+TREE_ROWS, PIECE = 1 << 16, 1 << 13
 #: Linked pairs that are held until the closest of them are joined first.
-HELD_PAIRS = 1 << 20
+HELD_PAIRS = 1 << 16
 #: Of similar_documents: words of a shingle, words of a fingerprint, blocks of each, and differing bits of a candidate pair.
 WIDE_SHINGLE, WIDE_WORDS, WIDE_BLOCKS, WIDE_BITS = 5, 6, 5, 76
 #: The similarity that links, in fifths.
 FIFTHS = 4
 #: Words whose hashes a task keeps; 40-bit ids of shingles below this are counted over all sets; ids of a bucket, and ids that a task packs at a time.
-KNOWN_WORDS, FIRST_IDS, BUCKET_IDS, DEALT_IDS = 200_000, 3 * (1 << 40) // 10, 250_000, 1 << 19
+KNOWN_WORDS, FIRST_IDS, BUCKET_IDS, DEALT_IDS = 200_000, 3 * (1 << 40) // 10, 250_000, 1 << 18
 
 
 # ---------------------------------------------------------------- fingerprints
