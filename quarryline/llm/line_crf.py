@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.shared import fold_of
+from quarryline.llm.shared import fold_of, releasing
 
 FOLDS, HELD_OUT = 3, 1
 TRAIN_PER_CLASS, TRAIN_CHARS, SEED = 2000, 200_000, 42
@@ -282,7 +282,7 @@ def score(docs: DataFrame, model: dict, *, keep: tuple[str, ...] = ("doc_id",),
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, type=pa.float64())], names=[*keep, score_col])
 
     kept = docs.select(*names)
-    return kept.mapInArrow(run, kept.select(*keep, F.lit(0.0).alias(score_col)).schema)
+    return kept.mapInArrow(releasing(run), kept.select(*keep, F.lit(0.0).alias(score_col)).schema)
 
 
 def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

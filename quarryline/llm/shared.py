@@ -55,6 +55,25 @@ def discard(*tables: DataFrame | str, spark: SparkSession | None = None) -> None
         path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def releasing(run):
+    """``run``, a function for mapInArrow; what its task has freed goes back to the system in the end, as Python's workers live on and wait."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def open_fs(uri: str):
     """(file system, path) of pyarrow for a URI or a plain path, on any executor."""
     from pyarrow import fs

@@ -56,7 +56,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.shared import discard, written
+from quarryline.llm.shared import discard, releasing, written
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -152,7 +152,7 @@ def fingerprints(docs: DataFrame, *, id_col="doc_id", text_col="text", shingle=S
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *extra)
     names = ["doc_id", *extra, "fp"]
-    return kept.mapInArrow(compute, kept.select("doc_id", *extra, F.lit(0).cast("long").alias("fp")).schema)
+    return kept.mapInArrow(releasing(compute), kept.select("doc_id", *extra, F.lit(0).cast("long").alias("fp")).schema)
 
 
 # ---------------------------------------------------------------- the index
@@ -395,7 +395,7 @@ def _node_keys(distinct: DataFrame, max_bits: int) -> DataFrame:
 def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """a, b: spanning edges among the distinct fingerprints ``fp``; all links are connected by them."""
     nodes = _node_keys(distinct, max_bits).select("k", "v", "s", "w", "fp", F.lit(None).cast("binary").alias("words"))
-    return nodes.repartition("k", "v", "s", "w").sortWithinPartitions("k", "v", "s", "w").mapInArrow(_searcher((max_bits,), 1), "a long, b long")
+    return nodes.repartition("k", "v", "s", "w").sortWithinPartitions("k", "v", "s", "w").mapInArrow(releasing(_searcher((max_bits,), 1)), "a long, b long")
 
 
 # ---------------------------------------------------------------- components
@@ -510,7 +510,7 @@ def set_rows(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
 
     kept = docs.select("text", *names)
     zero = F.lit(0).cast("long")
-    return kept.mapInArrow(compute, kept.select(*names, zero.alias("key"), zero.alias("size"), zero.alias("first")).schema)
+    return kept.mapInArrow(releasing(compute), kept.select(*names, zero.alias("key"), zero.alias("size"), zero.alias("first")).schema)
 
 
 def shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
@@ -640,9 +640,9 @@ def shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield whole(held)
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket long, ids binary, keys binary, known binary, counts binary, task int").repartition("bucket").sortWithinPartitions("bucket")
-    counted = dealt.mapInArrow(count, "part long, keys binary, tasks binary, counts binary")
-    return counted.repartition("part").sortWithinPartitions("part").mapInArrow(merged, "key long, shared long")
+    dealt = docs.select("text").mapInArrow(releasing(deal), "bucket long, ids binary, keys binary, known binary, counts binary, task int").repartition("bucket").sortWithinPartitions("bucket")
+    counted = dealt.mapInArrow(releasing(count), "part long, keys binary, tasks binary, counts binary")
+    return counted.repartition("part").sortWithinPartitions("part").mapInArrow(releasing(merged), "key long, shared long")
 
 
 def _added(keys, tasks, counts):
@@ -671,7 +671,7 @@ def hashed_sets(docs: DataFrame, one: DataFrame, names: tuple[str, ...]) -> Data
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "size", "items", "words"])
 
     texts = docs.join(one, list(names), "left_semi").dropDuplicates(list(names)).select("text")
-    return texts.mapInArrow(compute, "key long, size long, items array<long>, words binary")
+    return texts.mapInArrow(releasing(compute), "key long, size long, items array<long>, words binary")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -686,7 +686,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     dealt = keyed.join(large, ["k", "v"], "left").withColumn("other", F.explode(slices)).withColumn("own", F.coalesce(own, F.lit(0).cast("long")))
     nodes = dealt.select("k", "v", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("w"), "key", "words")
     bounds = tuple(WIDE_BITS * i // 4 for i in (1, 2, 3, 4))
-    return nodes.repartition("k", "v", "s", "w").sortWithinPartitions("k", "v", "s", "w").mapInArrow(_searcher(bounds, WIDE_WORDS), "a long, b long")
+    return nodes.repartition("k", "v", "s", "w").sortWithinPartitions("k", "v", "s", "w").mapInArrow(releasing(_searcher(bounds, WIDE_WORDS)), "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.shared import new_folder, open_fs, written
+from quarryline.llm.shared import new_folder, open_fs, releasing, written
 
 END_ID = 1
 #: Chunks in each of a worker's two cache generations, give or take one group's.
@@ -259,7 +259,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, *, id_c
     """Write the files to ``folder``; returns the manifest: one row for each shard, with its base."""
     spark = docs.sparkSession
     dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("id", F.left("text", F.lit(TIE_CHARS))).sortWithinPartitions("id", "text")
-    shards = written(dealt.mapInArrow(_shard_writer(folder, tokenizer_path, end_id, whole_texts), MANIFEST), "token-shards")
+    shards = written(dealt.mapInArrow(releasing(_shard_writer(folder, tokenizer_path, end_id, whole_texts)), MANIFEST), "token-shards")
     before = Window.partitionBy().orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
     based = shards.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     slots = max(1, spark.sparkContext.defaultParallelism)
@@ -310,7 +310,7 @@ def read_token_files(manifest: DataFrame, folder: str, with_ids: bool = False) -
     """Read the files back: doc_id, start, n_tokens, ids_crc32, and the ids where asked for."""
     slots = max(1, manifest.sparkSession.sparkContext.defaultParallelism)
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return manifest.repartition(4 * slots, "shard").mapInArrow(_reader(folder, with_ids), schema)
+    return manifest.repartition(4 * slots, "shard").mapInArrow(releasing(_reader(folder, with_ids)), schema)
 
 
 def tokenize(docs: DataFrame, *, tokenizer_path: str | None = None, folder: str | None = None, **options) -> DataFrame:
