@@ -26,13 +26,15 @@ def latest_files(files: DataFrame) -> DataFrame:
 def term_counts(files: DataFrame, *keys: str, text: Column | str = "content") -> DataFrame:
     """keys, token, n, total for each distinct token of each row."""
     text = F.col(text) if isinstance(text, str) else text
-    s, at = fresh("sorted", files.select(*keys)), fresh("starts", files.select(*keys))
+    s, at, k, i = (fresh(x, files.select(*keys)) for x in ("sorted", "starts", "k", "i"))
     # counted within the row: the sorted tokens are cut where they change
-    ordered = files.select(*keys, F.array_sort(tokens(text)).alias(s)).where(F.size(s) > 0)
-    places = F.sequence(F.lit(0), F.size(s) - 1)
+    ordered = files.select(*keys, F.sort_array(tokens(text)).alias(s))
+    places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1))
     starts = ordered.select(*keys, s, F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))).alias(at))
-    entries = F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("token"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("n")))
-    return starts.select(*keys, F.size(s).cast("long").alias("total"), F.inline(entries)).select(*keys, "token", "n", "total")
+    # an inner explode, or a filter on the arrays, would be repeated below with the tokens of each row, and there for each place
+    each = starts.select(*keys, s, at, F.posexplode_outer(at).alias(k, i)).where(F.col(i).isNotNull())
+    end = F.coalesce(F.get(at, F.col(k) + 1), F.size(s))
+    return each.select(*keys, F.get(s, F.col(i)).alias("token"), (end - F.col(i)).cast("long").alias("n"), F.size(s).cast("long").alias("total"))
 
 
 def occurrences(files: DataFrame, *keys: str, text: Column | str = "content") -> DataFrame:

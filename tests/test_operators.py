@@ -262,3 +262,13 @@ def test_long_scripts_take_linear_steps():
         return run
 
     assert steps(1600) < 10 * steps(200)
+
+
+def test_terms_are_counted_once_per_row(spark):
+    """Each row by itself, also of equal keys; the text is cut into tokens once, not again in a filter."""
+    texts = ["Beta alpha beta ALPHA beta", None, "", "ab c", "\u00c9t\u00e9 \u00e9t\u00e9 x1y", "gamma " * 3000, "one"]
+    rows = [(n % 5, t) for n, t in enumerate(texts)]
+    counts = retrieval.term_counts(spark.createDataFrame(rows, "id int, content string"), "id")
+    found = [(k, [w for w in (t or "").lower().split() if len(w) >= 3]) for k, t in rows]
+    assert sorted(map(tuple, counts.collect())) == sorted((k, w, words.count(w), len(words)) for k, words in found for w in set(words))
+    assert counts._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all(") == 1
