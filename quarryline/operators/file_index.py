@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.reports import runs
 from quarryline.operators.retrieval import term_counts
-from quarryline.sources.stored import Stored, exists
+from quarryline.sources.stored import Stored, exists, written
 
 BUCKETS, BLOCK_FILES = 64, 512
 #: Length classes are so many to a doubling.
@@ -108,22 +108,26 @@ class FileIndex:
     def postings(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(POSTINGS).option("basePath", self.postings_path).parquet(self.postings_path)
 
-    def bounds(self, asked: DataFrame) -> DataFrame:
-        """key, block, bound: what a file of the block can score at most. ``asked``: key, token, qn."""
-        spark = asked.sparkSession
+    def _of(self, asked: DataFrame, rows: DataFrame) -> DataFrame:
+        """The postings in the folders of the queries' tokens; of few tokens, theirs alone."""
         wanted = asked.select("token").distinct().withColumn("bucket", self._bucket())
-        rows = self.postings(spark).select("token", "block", "highest", "bucket")
         rows = rows.where(F.col("bucket").isin([r[0] for r in wanted.select("bucket").distinct().collect()]))  # ``buckets`` numbers at most
         few = wanted.select("token").limit(LISTED + 1).collect()
-        if len(few) <= LISTED:
-            rows = rows.where(F.col("token").isin([r[0] for r in few]))
+        return rows.where(F.col("token").isin([r[0] for r in few])) if len(few) <= LISTED else rows
+
+    def bounds(self, asked: DataFrame) -> DataFrame:
+        """key, block, bound: what a file of the block can score at most. ``asked``: key, token, qn."""
+        spark = asked.sparkSession
+        rows = self._of(asked, self.postings(spark).select("token", "block", "highest", "bucket"))
         return rows.join(asked, "token").groupBy("key", "block").agg((F.sum(F.col("qn") * F.col("highest")) * (1 + 1e-9)).alias("bound"))
 
     def scored(self, asked: DataFrame, blocks: DataFrame, repo: str | None = None) -> DataFrame:
         """key, repo_id, file_id, place, score of the current files (of one repository or all) in the given blocks (key, block)."""
         spark = asked.sparkSession
-        wanted = blocks.join(asked, "key").withColumn("bucket", self._bucket())
-        found = self.postings(spark).select("token", "block", "bucket", "entries").join(wanted, ["bucket", "token", "block"]).select("key", "qn", F.inline("entries"))
+        # postings meet the queries' tokens and then the pairs of query and block, which are both narrow: Spark broadcasts them where
+        # their size lets it, and no entries are shuffled but as the matches' sums
+        rows = self._of(asked, self.postings(spark).select("token", "block", "bucket", "entries"))
+        found = rows.join(asked, "token").join(blocks, ["key", "block"], "left_semi").select("key", "qn", F.inline("entries"))
         found = found if repo is None else found.where(F.col("repo_id") == repo)
         sums = found.groupBy("key", "repo_id", "file_id", "version").agg((F.sum(F.col("qn") * F.col("n")) / F.first("total")).alias("score"))
         current = self.files.read(spark).select("repo_id", "file_id", "version", "place")
@@ -131,14 +135,14 @@ class FileIndex:
 
     def open_blocks(self, asked: DataFrame, k: int, repo: str | None = None) -> tuple[DataFrame, DataFrame]:
         """(the scores of the first blocks, the other blocks that can still matter): the bound of each reaches the k-th score so far."""
-        bounds = self.bounds(asked)
+        bounds = written(self.bounds(asked), "bounds")  # a row for each query and block, used three times
         best = Window.partitionBy("key").orderBy(F.col("bound").desc(), "block")
         first = bounds.withColumn("__n", F.row_number().over(best)).where("__n = 1").select("key", "block")
-        seeds = self.scored(asked, first, repo)
+        seeds = written(self.scored(asked, first, repo), "seeds")  # a block's files for each query, used twice
         ranked = Window.partitionBy("key").orderBy(F.col("score").desc(), "place")
         least = seeds.withColumn("__n", F.row_number().over(ranked)).where(F.col("__n") == k).select("key", F.col("score").alias("least"))
         rest = bounds.join(first, ["key", "block"], "left_anti").join(least, "key", "left").where(F.col("bound") >= F.coalesce("least", F.lit(0.0))).select("key", "block")
-        return seeds, rest
+        return seeds, written(rest, "rest")
 
     def search(self, asked: DataFrame, k: int, repo: str | None = None) -> DataFrame:
         """key, rank, repo_id, file_id, score: the k best files of each query, of one repository or all. ``asked``: key, token, qn (``retrieval.query_counts``)."""
