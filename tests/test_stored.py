@@ -137,3 +137,51 @@ def test_an_old_version_does_not_come_back(spark, tmp_path):
         index.ingest(one(text, version))
     asked = spark.createDataFrame([(1, "alpha", 1), (2, "gamma", 2)], "key int, token string, qn long")
     assert [tuple(r) for r in index.search(asked, 5).collect()] == [(2, 1, "r", "f", 2.0)]
+
+
+def shuffled(spark, run):
+    """Records that ``run`` shuffles."""
+    context = spark.sparkContext
+    stages = lambda: spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(spark._jvm.double, 0), None))
+    before = max((s.stageId() for s in stages()), default=-1)
+    run()
+    return sum(s.shuffleWriteRecords() for s in stages() if s.stageId() > before)
+
+
+def test_entries_are_not_shuffled_to_write_them(spark, tmp_path):
+    """Some rows for each file, not one for each of its tokens; a token's entries are in blocks of the size that is asked."""
+    index = file_index.FileIndex(str(tmp_path / "i"), buckets=4, block_files=8)
+    files = versions(spark, F.col("text"), 0)
+    n = shuffled(spark, lambda: index.ingest(files))
+    entries = index.postings(spark).select(F.explode("entries"))
+    assert n < 12 * files.count() < entries.count() / 4
+    assert entries.count() == retrieval.term_counts(files, "file_id").count()
+
+
+def test_a_version_that_is_ingested_again_counts_once(spark, tmp_path):
+    index = file_index.FileIndex(str(tmp_path / "i"), buckets=2)
+    one = spark.createDataFrame([("r", "f", "alpha beta", 1, 0)], "repo_id string, file_id string, content string, version long, place long")
+    for _ in range(2):
+        index.ingest(one)
+    asked = spark.createDataFrame([(1, "alpha", 1)], "key int, token string, qn long")
+    assert [tuple(r) for r in index.search(asked, 5).collect()] == [(1, 1, "r", "f", 0.5)]
+    index.compact(spark)
+    assert [tuple(r) for r in index.search(asked, 5).collect()] == [(1, 1, "r", "f", 0.5)]
+
+
+def test_long_files_have_blocks_of_their_own(spark, tmp_path, monkeypatch):
+    """Blocks are bounded by their tokens too; odd letters and nulls; nothing at all."""
+    monkeypatch.setattr(file_index, "BLOCK_TOKENS", 4)
+    index = file_index.FileIndex(str(tmp_path / "i"), buckets=2)
+    schema = "repo_id string, file_id string, content string, version long, place long"
+    texts = ["ΟΔΟΣ ΟΔΟΣ İstanbul", "straße STRASSE ǅungla", None, "", "a b", "οδος xyz xyz"] + ["xyz abc def"] * 20
+    files = spark.createDataFrame([("r", str(i), t, 1, i) for i, t in enumerate(texts)], schema)
+    index.ingest(files)
+    assert index.blocks(spark).select("block").distinct().count() > 5 and index.blocks(spark).count() == 23
+    asked = spark.createDataFrame([(i, t, 1) for i, t in enumerate(["οδος", "xyz", "strasse", "straße", "none"])], "key int, token string, qn long")
+    best = retrieval.top_k(retrieval.scores(retrieval.occurrences(files, "file_id", "place"), asked, "key", "file_id", "place"), "key", "place", 4)
+    want = sorted(map(tuple, best.select("key", "rank", "file_id", "score").collect()))
+    assert sorted(map(tuple, index.search(asked, 4).select("key", "rank", "file_id", "score").collect())) == want != []
+    nothing = file_index.FileIndex(str(tmp_path / "n"), buckets=2)
+    nothing.ingest(files.where("place = 3"))
+    assert nothing.search(asked, 4).count() == 0
